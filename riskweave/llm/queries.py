@@ -5,8 +5,12 @@ from __future__ import annotations
 import importlib
 
 _NAMED = {
+    "op1_substrings": "substrings",
     "op4_sharding": "sharding",
+    "op5_language": "langid",
     "op7_mixing": "mixing",
+    "op8_quality": "quality",
+    "op9_media": "media",
 }
 
 
@@ -15,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {}
+    for name, module in _NAMED.items():
+        sql = getattr(importlib.import_module(f"riskweave.llm.{module}"), "ORACLE", None)
+        if sql:
+            found[name] = sql
+    return found
