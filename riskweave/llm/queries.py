@@ -6,6 +6,8 @@ import importlib
 
 _NAMED = {
     "op1_substrings": "substrings",
+    "op2_pieces": "pieces",
+    "op3_jaccard": "jaccard",
     "op4_sharding": "sharding",
     "op5_language": "langid",
     "op7_mixing": "mixing",
