@@ -6,8 +6,10 @@ intersection is at least SHARE times the union.
 Blocks. Sets that link differ in at most H = (100 - SHARE) / (100 + SHARE) * (|x| + |y|) shingles. Names are dealt into
 m > H ranges, so some ranges hold the same names in both. Each document sends one key for each range, made of the
 names in it, so linked documents share a key; that is exact, with nothing dropped. (A range that is empty in both
-would say nothing: m leaves room for some, and a document with more empty ranges than that is dealt anew with other
-salts.) Sizes are grouped in bands, and a document sends keys for its band and, if it may link upwards, for the next.
+would say nothing: m leaves room for some.) Shingles that make up a FREQUENT-th of all or more are left out of the
+ranges, which keeps that true, so that documents don't meet over a passage that many have. A document with too many
+empty ranges, as all its shingles are frequent or as chance has it, also sends keys made of all its shingles, with
+other salts if need be; two documents that have no other key in common both do. Sizes are grouped in bands, and a document sends keys for its band and, if it may link upwards, for the next.
 Documents that share a key, directly or over others, form a block. Equal sets are one class, by a 128-bit name; its
 least document stands for it from there on.
 
@@ -43,6 +45,7 @@ SHINGLE = 4
 SHARE = 85
 GROWTH = 1.5  # from a band's least size to the next one's
 SALTS = 8
+FREQUENT = 1_000_000  # so at most as many shingles are frequent: 8 MB to broadcast, whatever the input
 CHUNK = 1 << 20  # shingles of a tree
 FAN = 8
 PAIRS = 4096  # node pairs expanded at a time
@@ -57,7 +60,7 @@ def band_table(share: int) -> list[tuple[int, int, int]]:
     while least < 1 << 40:
         after = max(least + 1, int(least * GROWTH))
         differ = (100 - share) * 2 * (after - 1) // (100 + share)
-        out.append((least, differ, differ + 1 + (1 + differ // 20 if differ else 0)))
+        out.append((least, differ, differ + 1 + (1 + differ // 6 if differ else 0)))
         least = after
     return out
 
@@ -92,48 +95,81 @@ def set_names(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def block_keys(values: np.ndarray, begins: np.ndarray, bands: list[tuple[int, int, int]], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of some sets, and the set of each key."""
+def block_keys(values: np.ndarray, begins: np.ndarray, rare: np.ndarray, bands: list[tuple[int, int, int]], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of some sets, and the set of each key. Rare shingles come first, all shingles (salts from 1) if need be."""
     sizes = np.diff(begins)
-    starts = np.array([b[0] for b in bands])
+    starts, differ, ranges = (np.array(x) for x in zip(*bands, strict=True))
     own = np.searchsorted(starts, sizes, side="right") - 1
+    of = np.repeat(np.arange(len(sizes)), sizes)
     keys, sets = [], []
     for step in (0, 1):
-        band = own + step
-        who = np.flatnonzero(sizes > 0)
+        band = np.minimum(own + step, len(bands) - 1)
+        open_ = sizes > 0
         if step:
-            who = who[100 * sizes[who] >= share * starts[np.minimum(band[who], len(bands) - 1)]]
+            open_ &= 100 * sizes >= share * starts[band]
         for salt in range(SALTS + 1):
-            if not len(who):
+            if not open_.any():
                 break
-            of = np.repeat(np.arange(len(who)), sizes[who])
-            at = np.repeat(begins[who] - (np.cumsum(sizes[who]) - sizes[who]), sizes[who]) + np.arange(len(of))
-            value = values[at]
-            ranges = np.array([b[2] for b in bands], dtype=np.uint64)[band[who]]
-            spare = np.array([b[2] - b[1] for b in bands])[band[who]]
+            at = np.flatnonzero(open_[of] & rare) if salt == 0 else np.flatnonzero(open_[of])
+            text, value = of[at], values[at]
             place = mix(value + np.uint64(salt * 0xA0761D6478BD642F % 2**64)) >> np.uint64(32)
-            place = (place * ranges[of]) >> np.uint64(32)
-            if salt == SALTS:  # few ids of a band, if any, ever come here
-                keys.append(mix(band[who].astype(np.uint64) * _ODD + np.uint64(12345)))
-                sets.append(who)
-                break
-            cell = of.astype(np.uint64) * np.uint64(1 << 32) + place
+            place = (place * ranges[band[text]].astype(np.uint64)) >> np.uint64(32)
+            cell = (text.astype(np.uint64) << np.uint64(32)) + place
             order = np.argsort(cell, kind="stable")
             cell, value = cell[order], value[order]
-            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            total = np.add.reduceat(mix(value * _ODD + np.uint64(salt + 1)), first)
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, dtype=np.int64)
+            total = np.add.reduceat(mix(value * _ODD + np.uint64(salt + 1)), first) if len(cell) else value
             cell = cell[first]
             row = (cell >> np.uint64(32)).astype(np.int64)
-            tag = (cell & np.uint64(0xFFFFFFFF)) + (band[who][row].astype(np.uint64) << np.uint64(40)) + (np.uint64(salt) << np.uint64(56))
+            tag = (cell & np.uint64(0xFFFFFFFF)) + (band[row].astype(np.uint64) << np.uint64(40)) + (np.uint64(salt) << np.uint64(56))
             keys.append(mix(total + mix(tag)))
-            sets.append(who[row])
-            filled = np.bincount(row, minlength=len(who))
-            who = who[ranges.astype(np.int64) - filled >= spare]
-    if not keys:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            sets.append(row)
+            filled = np.bincount(row, minlength=len(sizes))
+            open_ &= (ranges - differ)[band] <= ranges[band] - filled
+        left = np.flatnonzero(open_)  # by chance in all salts: next to none
+        keys.append(mix(band[left].astype(np.uint64) * _ODD + np.uint64(12345)))
+        sets.append(left)
     return np.concatenate(keys), np.concatenate(sets)
 
 
+def _counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shingles that are frequent in a batch, with their counts there, and the number of all under a null."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, dtype=np.uint64)]
+            for chunk in chunks(batch.column(0).to_pylist()):
+                all_of = grams(chunk.hashes(lower=True), n)
+                if len(all_of):
+                    found.append(all_of[chunk.text_of[: len(all_of)] == chunk.text_of[n - 1 :]])
+            value = np.sort(np.concatenate(found))
+            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.append(first, len(value)))
+            keep = times >= max(2, len(value) / FREQUENT)
+            names = pa.array([None, *value[first[keep]].view(np.int64).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(([len(value)], times[keep])), pa.int64())], names=["name", "times"])
+
+    return count
+
+
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted names of the shingles that are known to make up a FREQUENT-th of all, so FREQUENT at most.
+
+    What is frequent in all is frequent in some batch, by its share of the batch; only such counts leave the tasks. Which
+    shingles are found here has no bearing on the result, only on the work.
+    """
+    counts = written(docs.select("text").mapInArrow(_counts(n), "name long, times long").groupBy("name").agg(F.sum("times").alias("times")), "jaccard-counts")
+    total = counts.where("name IS NULL").agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    often = counts.where(F.col("name").isNotNull() & (F.col("times") >= max(16, total / FREQUENT))).select("name")
+    return np.sort(often.toPandas()["name"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     n = len(columns[0])
     zero = np.zeros(n, dtype=np.int64)
@@ -158,10 +194,11 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[begins], docs[begins], a[new], b[new]
 
 
-def _emit(n: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _emit(n: int, share: int, frequent: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     bands = band_table(share)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent()
         for batch in batches:
             ids, valid = batch.column(0), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc = ids.fill_null(0).to_numpy()
@@ -177,7 +214,8 @@ def _emit(n: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     fresh[i] = name not in seen
                     seen.add(name)
                 keep = np.repeat(fresh, sizes)
-                key, of = block_keys(values[keep], np.concatenate(([0], np.cumsum(sizes * fresh))), bands, share)
+                own = values[keep]
+                key, of = block_keys(own, np.concatenate(([0], np.cumsum(sizes * fresh))), ~_is_in(own, often), bands, share)
                 keys.append(key)
                 docs.append(doc[first + of])
             key, lead, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
@@ -330,7 +368,8 @@ def _parts(members: DataFrame) -> DataFrame:
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = written(docs.mapInArrow(_emit(n, share), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "jaccard-keys")
+    often = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
+    found = written(docs.mapInArrow(_emit(n, share, lambda: often.value), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "jaccard-keys")
     sizes = found.where(F.col("kind") == SIZE).select(F.col("a").alias("doc"), F.col("b").alias("size"), "c", "d")
     able = sizes.where("doc IS NOT NULL AND size > 0")
     least = able.groupBy("c", "d").agg(F.min("doc").alias("least"))

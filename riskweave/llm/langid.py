@@ -81,9 +81,14 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column) -> list[tuple[str, str]]:
     """The bounded sample: ids first, from two narrow columns, then their texts."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
-    most = [r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
-    picked = known.where(F.col("_lang").isin(most)).withColumn("_rank", rank).where(F.col("_rank") <= PER_LANG).select("_key").distinct()
+    most = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()}
+    # A hash threshold leaves about four times the rows wanted of each language, so that few rows are ranked at any size.
+    order, share = F.xxhash64("_key"), F.lit(0.0)
+    for name, count in most.items():
+        share = F.when(F.col("_lang") == name, F.lit(min(1.0, 4 * PER_LANG / count))).otherwise(share)
+    few = known.where(F.shiftrightunsigned(order, 11) < share * float(1 << 53))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_key"))
+    picked = few.withColumn("_rank", rank).where(F.col("_rank") <= PER_LANG).select("_key").distinct()
     # At most PER_LANG * MAX_LANGS ids: safe to broadcast.
     got = docs.where(learn).join(F.broadcast(picked), F.col(key) == F.col("_key"), "left_semi").select(key, text, lang).collect()
     got = [r for r in got if r[1] is not None and r[2] in most and _LETTER.search(r[1])]

@@ -14,7 +14,7 @@ sample's inclusion probability, 1 - exp(-p t). Noise comes from hashes of the ro
 a row's result depends on nothing else.
 
 No piece goes over a word's end, so equal words of a batch share one lattice, and steps of all words are drawn in one
-go. Texts are handled in chunks of about two megabytes (a longer text makes one of its own).
+go. Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
 
 Nulls: a null text gives null samples, an empty text one empty sample. A null key is a key like any other. A text with
 fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. An
@@ -42,7 +42,7 @@ LITERAL = "\udc01"  # stands for the space mark as an ordinary character, which
 SAMPLES = 2
 THETA = 0.5
 SEED = 29
-CHARS = 1 << 21
+CHARS = 1 << 19
 SLOT_BITS = 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 

@@ -10,9 +10,11 @@ _NAMED = {
     "op3_jaccard": "jaccard",
     "op4_sharding": "sharding",
     "op5_language": "langid",
+    "op6_quotes": "quotes",
     "op7_mixing": "mixing",
     "op8_quality": "quality",
     "op9_media": "media",
+    "op10_licenses": "licenses",
 }
 
 
