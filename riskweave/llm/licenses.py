@@ -89,11 +89,6 @@ def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
     return rows.select("license", "n", chosen.alias("own")).where(F.size("own") > 0)
 
 
-def _starts(size: Column, width: int, step: int) -> Column:
-    """Where windows begin; the last may be shorter than the others."""
-    return F.sequence(F.lit(0), F.greatest(F.ceil((size - width) / step).cast("int") * step, F.lit(0)), F.lit(step))
-
-
 def template_bands(templates: list) -> dict[tuple[int, int], list[set[int]]]:
     """For each class (n, length of short templates or 0): the MinHashes of each band."""
     out: dict[tuple[int, int], list[set[int]]] = {}
@@ -107,32 +102,32 @@ def template_bands(templates: list) -> dict[tuple[int, int], list[set[int]]]:
     return out
 
 
-def _masked(values: Column, mask: int) -> Column:
-    return F.transform(values, lambda x: x.bitwiseXOR(F.lit(mask)))
-
+def _short_hit(shingled: str, length: int, keys: set[int]) -> Column:
+    """Whether the window of a short template's length that begins at ``at`` equals one."""
+    values = [F.get(shingled, F.col("at") + k).bitwiseXOR(F.lit(_MASKS[0])) for k in range(length)]
+    least = F.least(*values) if length > 1 else values[0]
+    return F.coalesce((F.col("at") + length <= F.size(shingled)) & least.isin(sorted(keys)), F.lit(False))
 
-def _tagged(name: str, n: int, k: int) -> Column:
-    return F.transform(name, lambda i: F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), i.alias("at")))
 
+def _long_hits(shingled: Column, bands: list[set[int]]) -> Column:
+    """Starts of the windows of WIDTH shingles that share a band with a long template."""
 
-def _hits(shingled: Column, length: int, bands: list[set[int]]) -> Column:
-    """Starts of the windows that share a band with a template."""
-    masks = F.struct(*[_masked(shingled, _MASKS[b]).alias(f"m{b}") for b in range(len(bands))])
-    return _let(masks, lambda m: _windows_hit([m[f"m{b}"] for b in range(len(bands))], length, bands))
+    def least(window: Column, band: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(_MASKS[band]))))
 
+    def shared(window: Column) -> Column:
+        found = least(window, 0).isin(sorted(bands[0]))
+        for band in range(1, len(bands)):
+            found = found | least(window, band).isin(sorted(bands[band]))
+        return found
 
-def _windows_hit(masked: list[Column], length: int, bands: list[set[int]]) -> Column:
-    width, step = (length, 1) if length else (WIDTH, STEP)
-    size = F.size(masked[0])
+    starts = F.sequence(F.lit(0), F.size(shingled) - 1, F.lit(STEP))
+    found = F.filter(starts, lambda i: _let(F.slice(shingled, i + 1, WIDTH), shared))
+    return F.when(F.size(shingled) > 0, found).otherwise(F.array().cast("array<int>"))
 
-    def any_band(i: Column) -> Column:
-        found = F.lit(False)
-        for values, keys in zip(masked, bands, strict=True):
-            least = F.get(values, i) if width == 1 else F.array_min(F.slice(values, i + 1, width))
-            found = found | least.isin(sorted(keys))
-        return found
 
-    return F.when(size >= (length or 1), F.filter(_starts(size, width, step), any_band)).otherwise(F.array().cast("array<int>"))
+def _long_of(bands: list[set[int]]):
+    return lambda own: _long_hits(own, bands)
 
 
 def license_matches(df: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -143,13 +138,21 @@ def license_matches(df: DataFrame, key: str, text: str, templates: dict[str, str
     docs = df.select(F.col(key).alias("doc"), split_words(F.col(text)).alias("_words"))
     for n in sorted({n for n, _ in bands}):
         docs = docs.withColumn(f"_s{n}", shingles(F.col("_words"), n))
-    classes = [(n, length, f"_h{n}_{length}", sets) for (n, length), sets in sorted(bands.items())]
+    classes = [(n, length, sets) for (n, length), sets in sorted(bands.items())]
     sizes = sorted({n for n, *_ in classes})
+    longest = F.greatest(F.lit(0), *[F.size(f"_s{n}") for n in sizes])
     docs = docs.select("doc", *[f"_s{n}" for n in sizes])
-    docs = docs.withColumns({name: _hits(F.col(f"_s{n}"), length, sets) for n, length, name, sets in classes})
-    docs = docs.where(F.greatest(F.lit(0), *[F.size(name) for *_, name, _ in classes]) > 0)
-    found = F.concat(*[_tagged(name, n, k) for n, k, name, _ in classes])
-    hits = docs.withColumn("_hit", F.explode(found))
+    long = [(n, sets) for n, length, sets in classes if not length]
+    docs = docs.withColumns({f"_l{n}": _let(F.col(f"_s{n}"), _long_of(sets)) for n, sets in long})
+    conditions = [(n, length, _short_hit(f"_s{n}", length, sets[0])) for n, length, sets in classes if length]
+    conditions += [(n, 0, F.array_contains(f"_l{n}", F.col("at"))) for n, _ in long]
+    any_hit = F.lit(False)
+    for *_, hit in conditions:
+        any_hit = any_hit | hit
+    # The filter is compiled together with the explode: no row is made for a window without a hit.
+    docs = docs.withColumn("at", F.explode(F.sequence(F.lit(0), longest))).where(any_hit)
+    tags = F.array(*[F.when(hit, F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.col("at"))) for n, k, hit in conditions])
+    hits = docs.withColumn("_hit", F.explode(F.filter(tags, lambda x: x.isNotNull())))
     kind = F.when(F.size("own") <= SHORT, F.size("own")).otherwise(F.lit(0))
     same = (F.col("_hit.n") == F.col("n")) & (F.col("_hit.k") == F.col("kind"))
     pairs = hits.join(F.broadcast(known.withColumn("kind", kind)), same)
