@@ -1,16 +1,51 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
+
+language       rows without a recognisable language go
+near_copies    of each component of the Jaccard join, the document with the smallest id stays
+repeats        passages of 13 words and more that an earlier document has are cut out; empty rests go
+mixture        sources are repeated to the target weights; every row stays at least once
+pieces         two sampled segmentations of each text, with their inclusion scores
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from riskweave.llm import jaccard, langid, mixing, pieces, substrings
+from riskweave.llm.common import written
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskweave.llm.common import written
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(docs)
+
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_top_k(docs, "doc_id", "text", keep=("lang", "source")).drop("text")
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("mixture", mixture),
+    ("pieces", encoded),
+]
+ORACLE_SQL = None  # the kernel classifier and the sampled segmentations have no SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -342,8 +342,10 @@ def _units(v: Vocabulary, text: str) -> list[str]:
     return v.split.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
 
 
-def encode_top_k(df: DataFrame, key: str, text: str, k: int = SAMPLES, path: str = MODEL, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """key, text and samples: an array of (ids, log_p, perturbed, log_inclusion), the largest perturbed value first."""
+def encode_top_k(
+    df: DataFrame, key: str, text: str, k: int = SAMPLES, path: str = MODEL, theta: float = THETA, seed: int = SEED, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, text, kept columns and samples: an array of (ids, log_p, perturbed, log_inclusion), the largest value first."""
     v = load(path, theta)
     item = pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
 
@@ -378,11 +380,12 @@ def encode_top_k(df: DataFrame, key: str, text: str, k: int = SAMPLES, path: str
                 structs = pa.StructArray.from_arrays([lists, *(pa.array([x[j] for x in values], pa.float64()) for j in range(3))], fields=list(item))
                 offsets = np.cumsum([0, *(c or 0 for c in counts)]).tolist()
                 marks = pa.array([None if i < len(counts) and counts[i] is None else o for i, o in enumerate(offsets)], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(marks, structs)], names=[key, "text", "samples"])
+                kept = [batch.column(i)[a:b] for i in (0, 1, *range(3, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(marks, structs)], names=[key, "text", *keep, "samples"])
 
-    rows = df.select(F.col(key), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(encode, f"`{key}` {kind}, text string, samples array<struct<ids: array<int>, log_p: double, perturbed: double, log_inclusion: double>>")
+    rows = df.select(F.col(key), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_seed")
+    return rows.mapInArrow(encode, schema + ", samples array<struct<ids: array<int>, log_p: double, perturbed: double, log_inclusion: double>>")
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:

@@ -276,7 +276,7 @@ def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids, texts = _texts(batch)
-            shared = _lists(batch.column(2))
+            shared = _lists(batch.column(3))
             keys, docs, spans, span_docs = [np.zeros(0, dtype=np.uint64)], [ids[:0]], [], []
             for chunk in chunks(texts):
                 names = chunk.hashes()
@@ -307,7 +307,7 @@ def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, spans = batch.column(1).to_pylist(), _lists(batch.column(2)), _lists(batch.column(3))
+            texts, gone, spans = batch.column(1).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4))
             for chunk in chunks(texts):
                 names = chunk.hashes()
                 n, here = len(names), slice(chunk.first, chunk.first + chunk.n)
@@ -334,30 +334,44 @@ def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         words = [w for w, k in zip(words, own.tolist(), strict=True) if k]
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[here], pa.array(chunk.counts.astype(np.int64)), pa.array(counts), pa.array(kept, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_text"],
+                    [batch.column(0)[here], pa.array(chunk.counts.astype(np.int64)), pa.array(counts), pa.array(kept, pa.string()), batch.column(2)[here]],
+                    names=["doc_id", "n_words", "n_removed", "kept_text", "rest"],
                 )
 
     return strip
 
 
-def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text for every row.
+def dedup_substrings(
+    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and the kept columns (in a struct ``rest``) for every row.
 
     The texts are shuffled by id once; both joins read that shuffle.
     """
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rest = F.struct(*keep) if keep else F.lit(None).cast("boolean")
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest.alias("rest"))
+    kind = docs.schema["rest"].dataType.simpleString()
     rows = "key long, doc long, kind byte"
-    found = docs.mapInArrow(_reveal(window, long), rows).repartition("key").mapInArrow(_decide(True), rows)
+    found = docs.select("doc_id", "text").mapInArrow(_reveal(window, long), rows).repartition("key").mapInArrow(_decide(True), rows)
     shared = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("key").alias("shared"))
-    asked = docs.join(shared, docs["doc_id"] == shared["_doc"], "left").select("doc_id", "text", "shared")
+    asked = docs.join(shared, docs["doc_id"] == shared["_doc"], "left").select("doc_id", "text", "rest", "shared")
     told = asked.mapInArrow(_verify(window, long), rows).repartition("key").mapInArrow(_decide(False), rows)
     gone = told.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list(F.when(F.col("kind") != SPAN, F.col("key"))).alias("gone"),
         F.collect_list(F.when(F.col("kind") == SPAN, F.col("key"))).alias("spans"),
     )
-    last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "gone", "spans")
-    return last.mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "rest", "gone", "spans")
+    return last.mapInArrow(_strip(window), f"doc_id long, n_words long, n_removed long, kept_text string, rest {kind}")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents table with what is kept of each text; rows of which nothing is left go."""
+    others = tuple(c for c in docs.columns if c != "text")
+    kept = dedup_substrings(docs, keep=others).where("n_words = 0 OR n_removed < n_words")
+    columns = {c: F.col(f"rest.{c}") for c in others} | {"text": F.col("kept_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
