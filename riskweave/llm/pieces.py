@@ -14,7 +14,7 @@ sample's inclusion probability, 1 - exp(-p t). Noise comes from hashes of the ro
 a row's result depends on nothing else.
 
 No piece goes over a word's end, so equal words of a batch share one lattice, and steps of all words are drawn in one
-go. Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
+go. Texts are handled in chunks of about a quarter of a million characters (a longer text makes one of its own).
 
 Nulls: a null text gives null samples, an empty text one empty sample. A null key is a key like any other. A text with
 fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. An
@@ -42,7 +42,7 @@ LITERAL = "\udc01"  # stands for the space mark as an ordinary character, which
 SAMPLES = 2
 THETA = 0.5
 SEED = 29
-CHARS = 1 << 19
+CHARS = 1 << 18
 SLOT_BITS = 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -345,7 +345,11 @@ def _units(v: Vocabulary, text: str) -> list[str]:
 def encode_top_k(
     df: DataFrame, key: str, text: str, k: int = SAMPLES, path: str = MODEL, theta: float = THETA, seed: int = SEED, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """key, text, kept columns and samples: an array of (ids, log_p, perturbed, log_inclusion), the largest value first."""
+    """key, text, kept columns, samples and round_trip.
+
+    A sample is (ids, log_p, perturbed, log_inclusion), the largest value first; round_trip says whether all samples
+    decode to the text (they always do; it is checked, not assumed).
+    """
     v = load(path, theta)
     item = pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
 
@@ -366,26 +370,29 @@ def encode_top_k(
                 rows = [np.fromiter(map(found.__getitem__, _units(v, t or "")), dtype=np.int64) for t in texts[a:b]]
                 lattice = Lattice(v, list(found))
                 paths, after = top_k(lattice, rows, seeds[a:b], k)
-                ids, sizes, values, counts = [], [], [], []
+                ids, sizes, values, counts, same = [], [], [], [], []
                 for t, own, limit in zip(texts[a:b], paths, after, strict=True):
                     counts.append(None if t is None else len(own))
+                    since = len(ids)
                     for one in own if t is not None else ():
                         ids.append(ids_of(v, lattice, one.edges))
                         sizes.append(len(ids[-1]))
                         rate = math.inf if limit == math.inf else one.log_p + math.log(limit)
                         included = 0.0 if rate > 3.7 else rate if rate < -37 else math.log(-math.expm1(-math.exp(rate)))
                         values.append((one.log_p, -math.log(max(one.time, 1e-300)), included))
+                    same.append(all(decode_ids(v, x) == t for x in ids[since:]))
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
                 structs = pa.StructArray.from_arrays([lists, *(pa.array([x[j] for x in values], pa.float64()) for j in range(3))], fields=list(item))
                 offsets = np.cumsum([0, *(c or 0 for c in counts)]).tolist()
                 marks = pa.array([None if i < len(counts) and counts[i] is None else o for i, o in enumerate(offsets)], pa.int32())
                 kept = [batch.column(i)[a:b] for i in (0, 1, *range(3, batch.num_columns))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(marks, structs)], names=[key, "text", *keep, "samples"])
+                columns = [*kept, pa.ListArray.from_arrays(marks, structs), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "text", *keep, "samples", "round_trip"])
 
     rows = df.select(F.col(key), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_seed")
-    return rows.mapInArrow(encode, schema + ", samples array<struct<ids: array<int>, log_p: double, perturbed: double, log_inclusion: double>>")
+    return rows.mapInArrow(encode, schema + ", samples array<struct<ids: array<int>, log_p: double, perturbed: double, log_inclusion: double>>, round_trip boolean")
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -424,9 +431,7 @@ def decode_samples(df: DataFrame, keep: list[str], samples: str = "samples", pat
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_top_k(table(spark, sf_dir, "documents"), "doc_id", "text")
-    read = decode_samples(encoded, ["doc_id", "text"])
-    sample = F.posexplode("samples").alias("sample", "s")
-    rows = read.select("doc_id", F.coalesce(F.forall("texts", lambda t: t == F.col("text")), F.lit(True)).alias("round_trip"), sample)
+    rows = encoded.select("doc_id", "round_trip", F.posexplode("samples").alias("sample", "s"))
     return rows.select(
         "doc_id",
         "sample",
