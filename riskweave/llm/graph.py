@@ -16,6 +16,13 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every larger node has one edge and no least node is a larger one of another."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """doc and component (its least member) for every id that has an edge, the least ones included.
 
@@ -36,7 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         held = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
         after = _mark(held)
-        if after == mark:
+        if after == mark or _stars_only(held):
             break
         mark = after
     members = held.select(F.col("u").alias("doc"), F.col("v").alias("component"))

@@ -48,7 +48,7 @@ SALTS = 8
 FREQUENT = 1_000_000  # so at most as many shingles are frequent: 8 MB to broadcast, whatever the input
 CHUNK = 1 << 20  # shingles of a tree
 FAN = 8
-PAIRS = 4096  # node pairs expanded at a time
+PAIRS = 1024  # node pairs expanded at a time
 ASK, EDGE, SIZE = 0, 1, 2
 _ROWS = "kind byte, a long, b long, c long, d long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -264,7 +264,7 @@ class Tree:
         packed, low, high, excess = self.levels[level]
         out = (100 * high[i] >= share * low[j]) & (100 * high[j] >= share * low[i])
         at = np.flatnonzero(out)
-        step = max(1, (1 << 22) // packed.shape[1])
+        step = max(1, (1 << 20) // packed.shape[1])
         for a in range(0, len(at), step):
             x, y = i[at[a : a + step]], j[at[a : a + step]]
             most = np.bitwise_count(packed[x] & packed[y]).sum(axis=1, dtype=np.int64) + np.minimum(excess[x], excess[y])
@@ -274,12 +274,13 @@ class Tree:
 
 
 def tree_join(sets: list[np.ndarray], labels: np.ndarray, share: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the components of ``labels`` as far as links do. With ``cross``, only between its two values."""
+    """Pairs that join the components of ``labels`` as far as links do: each set that has joined another component, with
+    the first set of all. With ``cross``, links only between its two values."""
     order = np.lexsort(([int(s[0]) if len(s) else 0 for s in sets], [len(s) for s in sets]))
     sets = [sets[i] for i in order]
     labels = np.unique(labels, return_inverse=True)[1][order].copy()
     side = None if cross is None else cross[order]
-    tree, links = Tree(sets), []
+    tree, before = Tree(sets), labels.copy()
     top = len(tree.levels) - 1
     i = j = np.zeros(1, dtype=np.int64)
     for level in range(top, 0, -1):
@@ -309,9 +310,13 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, share: int, cross: np.
             one, two = sets[u], sets[v]
             both = int(np.count_nonzero(one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two))
             if 100 * both >= share * (len(one) + len(two) - both):
-                links.append((int(order[u]), int(order[v])))
                 labels[labels == labels[v]] = labels[u]
-    return links
+    out = []
+    for label in np.unique(labels[labels != before]).tolist():
+        heads = np.unique(before[labels == label], return_index=True)[1]  # one set of each component that has joined
+        own = order[np.flatnonzero(labels == label)[heads]]
+        out += [(int(own[0]), int(x)) for x in own[1:]]
+    return out
 
 
 def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +357,8 @@ def _join_groups(n: int, share: int, width: int) -> Callable[[Iterator[pa.Record
 
 def _tree_links(docs: DataFrame, members: DataFrame, keys: list[str], n: int, share: int) -> DataFrame:
     """Links of each group of ``members`` (keys, side, label, doc)."""
-    rows = docs.join(members, F.col("doc_id") == F.col("doc")).select(*keys, "side", "label", "doc", "text")
+    # The same kind of join at every size; the members grow with the documents.
+    rows = docs.join(members.hint("merge"), F.col("doc_id") == F.col("doc")).select(*keys, "side", "label", "doc", "text")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "doc")
     return rows.mapInArrow(_join_groups(n, share, len(keys)), "a long, b long")
 
