@@ -1,0 +1 @@
+"""Privacy-risk scans and training-data operators on Spark."""

@@ -1,19 +1,202 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library and their SQL.
+
+The given tables hold no source trees, so some queries derive one from orders, customers or events, row by row: the
+same SQL text builds it in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskweave.functions import columns, rules, urls
+from riskweave.functions.catalog import ROWS, risk_catalog
+from riskweave.operators import facts, pii, risk
+from riskweave.operators.matches import matches
+from riskweave.operators.python_facts import python_facts
+
+NUMBERS = """
+SELECT o_orderkey AS k, lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR(20)), 9, '0') || lpad(CAST(o_orderkey % 100 AS VARCHAR(20)), 2, '0') AS v11,
+  lpad(CAST(o_orderkey * 104729 % 1000000000000 AS VARCHAR(20)), 12, '0') || lpad(CAST(o_orderkey % 89 AS VARCHAR(20)), 2, '0') AS v14,
+  lpad(CAST(o_orderkey * 7 % 100000000 AS VARCHAR(20)), 8, '0') || lpad(CAST(o_orderkey % 31 AS VARCHAR(20)), 2, '0') || lpad(CAST(o_orderkey % 97 AS VARCHAR(20)), 2, '0') AS v12
+FROM orders
+"""
+#: Files of a few lines: an identifier, an e-mail address and a phone number, with keywords and markers near some.
+FILES = (
+    "SELECT CASE k % 7 WHEN 0 THEN 'src/a' || k || '.py' WHEN 1 THEN 'tests/a' || k || '.py' WHEN 2 THEN 'docs/a' || k || '.md' WHEN 3 THEN 'pkg/README.md'"
+    " WHEN 4 THEN 'src/a' || k || '_test.py' WHEN 5 THEN 'src/conftest.py' ELSE 'lib/b' || k || '.py' END || '#' || k AS path,"
+    " concat_ws(chr(10), CASE WHEN k % 3 = 0 THEN 'customer_cpf = 1' ELSE 'value = 2' END, CASE WHEN k % 5 = 0 THEN '# sample row' ELSE '# row' END, 'x = 1', 'y = 2',"
+    " 'number \"' || v11 || '\"', CASE WHEN k % 4 = 0 THEN 'user-email: u' || k || '@mail.example.com' ELSE 'to u' || k || '@host.org' END, 'z = 3',"
+    " CASE WHEN k % 6 = 0 THEN 'mock_data = [' ELSE 'data = [' END, 'tel +55 11 9' || substr(v11, 1, 4) || '-' || substr(v11, 5, 4), ']') AS text"
+    f" FROM ({NUMBERS})"
+)
+JS = """
+SELECT 'web/r' || c_custkey || '.ts' AS path, concat_ws(chr(10), CASE c_custkey % 3 WHEN 0 THEN 'import { generateText } from ''ai''' WHEN 1 THEN 'import OpenAI from "openai"' ELSE '// none' END,
+  'export async function POST(req) {', '  // ask the model', '  const a = generateText({x: 1})', '}', CASE WHEN c_custkey % 2 = 0 THEN 'app.get("/v1/' || c_custkey || '", h)' ELSE 'embedMany(y)' END,
+  'tool({ name: 1 })') AS text
+FROM customer
+"""
+MANIFESTS = """
+SELECT CASE o_orderkey % 4 WHEN 0 THEN '.env' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'requirements.txt' ELSE 'notes.txt' END AS name, o_orderkey AS k,
+  concat_ws(chr(10), 'OPENAI_API_KEY=x', 'SERVICE_BASE_URL = "https://h' || o_orderkey || '.org/v1"', 'CACHE_TTL: ' || o_orderkey % 900, CASE WHEN o_orderkey % 3 = 0 THEN 'langchain-core==0.2' ELSE 'openai>=1' END, 'anthropic==0.3') AS text
+FROM orders
+"""
+OPERATIONS = """
+SELECT 'src/u' || (user_id % 50) || '.py' AS path, CAST(event_id % 40 + 1 AS INT) AS line,
+  CASE event_id % 5 WHEN 0 THEN 'invoke_llm' WHEN 1 THEN 'embed' WHEN 2 THEN 'telemetry' WHEN 3 THEN 'vector_store_write' ELSE 'external' END AS kind,
+  CASE event_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'langsmith' ELSE '' END AS provider
+FROM events
+"""
+_TABLES = ("orders", "customer", "events")
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in sql}
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
+    return spark.sql(sql, **frames)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_files(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.substring_index("path", "/", -1).alias("name"), F.split("path", "/").alias("parts"), "text")
+
+
+def numbers_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, NUMBERS)
+    return rows.select(
+        "k", columns.is_cpf(F.col("v11")).alias("cpf"), columns.is_cnh(F.col("v11")).alias("cnh"), columns.is_pis(F.col("v11")).alias("pis"),
+        columns.is_cnpj(F.col("v14")).alias("cnpj"), columns.is_titulo_eleitor(F.col("v12")).alias("titulo"),
+    )
+
+
+def masked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, NUMBERS)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("cpf", F.col("v11")), ("cnpj", F.col("v14")), ("cnh", F.col("v11")), ("titulo_eleitor", F.col("v12")), ("email", F.col("v11")))])
+    return rows.select("k", F.explode(kinds).alias("x")).select("k", "x.kind", columns.masked(F.col("x.kind"), F.col("x.v")).alias("mask"))
+
+
+def documents_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail and phone candidates of all documents, with their lines."""
+    wanted = [(k, p, 0) for k, p, *_ in rules.CANDIDATES if k in ("email", "phone")]
+    found = matches(table(spark, sf_dir, "documents"), ["doc_id"], "text", wanted)
+    return found.select("doc_id", "kind", "seq", "value", F.col("line").cast("long").alias("line"))
+
+
+def pages_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [(k, p, 0) for k, p, *_ in rules.CANDIDATES if k in ("email", "phone", "cep")]
+    found = matches(table(spark, sf_dir, "pages"), ["page_id"], "html", wanted)
+    return found.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
+
+
+def path_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, FILES).select(F.substring_index("path", "#", 1).alias("path"))
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", "n", columns.is_test_path(F.col("path")).alias("test"), columns.is_meta_path(F.col("path")).alias("meta"))
+
+
+def context_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CPF and e-mail candidates of derived files with tier and signals, discarded ones too."""
+    files = as_files(derived(spark, sf_dir, FILES))
+    found = pii.candidates(files).where(F.col("kind").isin("cpf", "email"))
+    return pii.tiered(files, found).select("path", "kind", "line", "tier", F.array_join("signals", ",").alias("signals"))
+
+
+def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tiers(spark, sf_dir).groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def js_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.js_facts(as_files(derived(spark, sf_dir, JS)))
+    return rows.select("path", "fact", "kind", "name", "provider", F.col("line").cast("int").alias("line"), "enclosing", "prev_comment")
+
+
+def framework(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, MANIFESTS)
+    files = rows.select("name", F.array("name").alias("parts"), "text")
+    return facts.frameworks(files).select("framework", F.round("confidence", 9).alias("confidence"))
+
+
+def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, MANIFESTS)
+    found = facts.config_facts(rows.select(F.concat(F.col("k").cast("string"), F.lit("/"), "name").alias("path"), "name", "text"))
+    return found.where("fact != 'file'").select("path", "fact", "name", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def provider_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.operation_share(derived(spark, sf_dir, OPERATIONS))
+    return rows.select("provider", F.round("share", 9).alias("share"))
+
+
+def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    operations = derived(spark, sf_dir, OPERATIONS)
+    findings = context_tiers(spark, sf_dir).where("tier != 'discarded'")
+    return risk.register(risk_catalog(spark), operations, findings)
+
+
+def risk_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored register of the derived scan, with the number of places of evidence."""
+    return _risks(spark, sf_dir).select(
+        "id", "nivel_inerente", "probabilidade_residual", "impacto_residual", "nivel_residual", "tratamento", F.size("evidencia").cast("long").alias("places"),
+    )
+
+
+def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.verdict(_risks(spark, sf_dir), "Alto")
+
+
+def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.histogram(_risks(spark, sf_dir)).select("level", "n")
+
+
+def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks in the order of the findings list: worst first, then as in the catalog."""
+    rows = _risks(spark, sf_dir).select("id", "ord", "nivel_inerente", columns.ordinal(F.col("nivel_inerente")).alias("o"))
+    from pyspark.sql import Window
+
+    return rows.select("id", "nivel_inerente", F.row_number().over(Window.orderBy(F.desc("o"), "ord")).alias("place"))  # 28 rows at most
+
+
+def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return rows.select("page_id", urls.looks_clonable(F.col("url")).alias("clonable"))
+
+
+def redacted_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, JS)
+    ops = facts.js_facts(as_files(rows)).where("fact = 'operation'")
+    return ops.select("path", "line", "kind", F.lit("").alias("snippet"), F.lit(None).cast("string").alias("prev_comment"))
+
+
+def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of Python modules derived from customers; the syntax tree has no SQL."""
+    text = (
+        "SELECT 'svc/m' || c_custkey || '.py' AS path, concat_ws(chr(10), 'import httpx', 'from redis import Redis', 'store = Redis()', '@app.post(\"/x\")', 'async def run(a):', '    # ask',"
+        " '    r = await client.chat.completions.create(model=\"m' || c_custkey || '\")', '    store.set(a, r)', '    return httpx.get(\"https://h/' || c_custkey || '\")') AS text FROM customer"
+    )
+    return python_facts(as_files(derived(spark, sf_dir, text))).drop("parameters")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return risk_register(spark, sf_dir)
+
+
+_NAMES = (
+    numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, js_facts, framework, config_values, provider_share,
+    risk_register, risk_gate, risk_levels, findings_order, url_checks, redacted_operations, python_calls,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from riskweave.plans import oracles
+
+    return oracles.sql(NUMBERS, FILES, JS, MANIFESTS, OPERATIONS, ROWS)
