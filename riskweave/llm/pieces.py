@@ -14,7 +14,7 @@ sample's inclusion probability, 1 - exp(-p t). Noise comes from hashes of the ro
 a row's result depends on nothing else.
 
 No piece goes over a word's end, so equal words of a batch share one lattice, and steps of all words are drawn in one
-go. Texts are handled in chunks of about a quarter of a million characters (a longer text makes one of its own).
+go. Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
 
 Nulls: a null text gives null samples, an empty text one empty sample. A null key is a key like any other. A text with
 fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. An
@@ -42,8 +42,9 @@ LITERAL = "\udc01"  # stands for the space mark as an ordinary character, which
 SAMPLES = 2
 THETA = 0.5
 SEED = 29
-CHARS = 1 << 18
+CHARS = 1 << 19
 SLOT_BITS = 18
+FADED = 120.0
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -132,7 +133,7 @@ class Lattice:
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(chars))  # characters from here to the unit's end
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")  # radix sort if short
         number = np.empty(len(chars), dtype=np.int64)
         number[order] = np.arange(len(chars))
         at = np.arange(len(chars))
@@ -166,7 +167,7 @@ class Lattice:
         score = np.where(wide, self.width * v.byte_score, v.scores[np.maximum(piece, 0)])
         done = left[start] == to - start
         node = number[start]
-        by = np.lexsort((-score, node))  # a node's likely pieces first
+        by = np.argsort((node << 20) + np.where(wide, 0, piece))  # a node's likely pieces, which have low ids, first
         self.piece, self.width, node, score, done, target = piece[by], self.width[by], node[by], score[by], done[by], to[by]
         self.to = np.where(done, -1, number[np.minimum(target, len(number) - 1)])
         first = np.searchsorted(node, np.arange(len(chars) + 1))
@@ -192,7 +193,7 @@ class Lattice:
 
 def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
     x = seed + place.astype(np.uint64) * _B + np.uint64((sample * int(_A) + step * int(_C)) % 2**64)
-    return (mix(mix(x)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def exponential(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
@@ -241,12 +242,16 @@ def finish(lattice: Lattice, edges: np.ndarray, units: np.ndarray, time: float,
     log_p = lattice.log_p[edges]
     upto = np.cumsum(log_p)
     before = upto - log_p
+    # Steps with a beginning less likely than exp(-FADED) can't be next: no noise of 53 bits makes up for that.
+    until = max(since, int(np.searchsorted(-before, FADED, side="right")))
+    rest = np.full(len(edges), np.inf)
     with np.errstate(divide="ignore", over="ignore"):
-        mass = before[since:] + np.log(-np.expm1(np.minimum(log_p[since:], 0)))
-        noise = exponential(np.full(len(edges) - since, seed), sample, np.arange(since, len(edges)), 99)
+        mass = before[since:until] + np.log(-np.expm1(np.minimum(log_p[since:until], 0)))
+        noise = exponential(np.full(until - since, seed), sample, np.arange(since, until), 99)
         late = time + np.exp(np.log(noise) - mass)
-    late[lattice.only[edges[since:]] | np.isnan(late)] = np.inf
-    return Path(edges, units, float(upto[-1]) if len(upto) else 0.0, time, np.concatenate((np.full(since, np.inf), late)), before, {})
+    late[lattice.only[edges[since:until]] | np.isnan(late)] = np.inf
+    rest[since:until] = late
+    return Path(edges, units, float(upto[-1]) if len(upto) else 0.0, time, rest, before, {})
 
 
 def top_k(lattice: Lattice, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> tuple[list[list[Path]], list[float]]:
