@@ -15,7 +15,7 @@ def digits(value: Column) -> Column:
 
 
 def _digit(d: Column, i: int) -> Column:
-    return F.try_to_number(F.substring(d, i + 1, 1), F.lit("9")).cast("int")
+    return F.ascii(F.substring(d, i + 1, 1)) - 48
 
 
 def _dot(d: Column, weights: list[int], start: int = 0) -> Column:
