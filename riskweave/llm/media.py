@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,14 +175,12 @@ def store_payload(df: DataFrame, key: str, text: str, codec: str | None = None)
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            sizes = [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()]
+            sizes = [0 if n is None else n for n in pc.binary_length(texts).to_pylist()]
             for a, b in _slices(sizes):
                 rows = [padded(t) for t in texts[a:b].to_pylist()]
                 files = [wav(p, codec or CODECS[zlib.crc32(p) % len(CODECS)]) for _, p in rows]
                 yield pa.RecordBatch.from_arrays([keys[a:b], pa.array([n for n, _ in rows], pa.int64()), pa.array(files, pa.binary())], names=[key, "n_bytes", "media"])
 
-    import pyarrow.compute  # noqa: F401  (binary_length above)
-
     rows = df.select(key, text)
     return rows.mapInArrow(store, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_bytes bigint, media binary")
 
@@ -192,7 +191,7 @@ def decode_media(df: DataFrame, keep: list[str], media: str = "media", with_pcm:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(len(keep))
-            sizes = [0 if n is None else n for n in pa.compute.binary_length(files).to_pylist()]
+            sizes = [0 if n is None else n for n in pc.binary_length(files).to_pylist()]
             for a, b in _slices(sizes):
                 some = files[a:b].to_pylist()
                 done = iter(decode_batch([m for m in some if m is not None]))
@@ -210,8 +209,6 @@ def decode_media(df: DataFrame, keep: list[str], media: str = "media", with_pcm:
                 names = ["codec", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm"][: len(arrays)]
                 yield pa.RecordBatch.from_arrays([batch.column(i)[a:b] for i in range(len(keep) + 1)] + arrays, names=[*keep, "media", *names])
 
-    import pyarrow.compute  # noqa: F401
-
     rows = df.select(*keep, F.col(media).alias("media"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     more = "codec string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
