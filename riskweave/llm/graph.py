@@ -35,10 +35,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(held)
     while mark[0]:
         both = held.union(held.select("v", "u")).toDF("n", "near")
-        least = both.groupBy("n").agg(F.least(F.min("near"), F.col("n")).alias("m")).withColumnRenamed("n", "k")
+        # As a table, so that the join below deals both sides out anew and may split a node with very many edges.
+        least = written(both.groupBy("n").agg(F.least(F.min("near"), F.col("n")).alias("m")).withColumnRenamed("n", "k"), "least")
         large = both.where("near > n").join(least, F.col("n") == F.col("k")).select(F.col("near").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large-stars")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         held = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
