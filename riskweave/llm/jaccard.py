@@ -378,7 +378,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     found = written(docs.mapInArrow(_emit(n, share, lambda: often.value), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "jaccard-keys")
     sizes = found.where(F.col("kind") == SIZE).select(F.col("a").alias("doc"), F.col("b").alias("size"), "c", "d")
     able = sizes.where("doc IS NOT NULL AND size > 0")
-    least = able.groupBy("c", "d").agg(F.min("doc").alias("least"))
+    # As a table, so that the join deals both sides out anew and may split a class with very many copies.
+    least = written(able.groupBy("c", "d").agg(F.min("doc").alias("least")), "jaccard-least")
     classes = written(able.join(least, ["c", "d"]).select("doc", "size", "least"), "jaccard-classes")
     equal = classes.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     shared = found.where(F.col("kind") == EDGE).select("a", "b")
