@@ -363,10 +363,13 @@ def _tree_links(docs: DataFrame, members: DataFrame, keys: list[str], n: int, sh
     return rows.mapInArrow(_join_groups(n, share, len(keys)), "a long, b long")
 
 
-def _parts(members: DataFrame) -> DataFrame:
-    """Adds ``parts``, how many trees the block's rows (block, doc, size) make, and each row's ``part``."""
+def _parts(members: DataFrame, fewest: int = 2) -> DataFrame:
+    """Adds ``parts``, how many trees the block's rows (block, doc, size) make, and each row's ``part``.
+
+    Blocks of less than ``fewest`` rows go: one row has no link where a set is joined with itself.
+    """
     total = members.groupBy("block").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
-    total = total.where("n > 1").withColumnRenamed("block", "_block")
+    total = total.where(F.col("n") >= fewest).withColumnRenamed("block", "_block")
     rows = members.join(total, F.col("block") == F.col("_block"))
     return rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("_block", "n")
 
@@ -412,8 +415,8 @@ def _large_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, n: int, s
     main = weights.groupBy("block").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     open_ = main.where("labels > 1").withColumnRenamed("block", "_block")
     rows = now.join(open_, F.col("block") == F.col("_block")).drop("_block")
-    minor = rows.where("label != main")
-    minor = _parts(minor.select("block", "doc", "size", "label").union(minor.select("block", "doc", "size", "label").where("false")))
+    # Joined with the whole block, so a single document counts as well.
+    minor = _parts(rows.where("label != main").select("block", "doc", "size", "label"), fewest=1)
     cuts = minor.select("block", F.col("part").alias("cut")).distinct().withColumnRenamed("block", "_block")
     others = rows.select("block", "part").distinct().withColumnRenamed("block", "_block").withColumnRenamed("part", "_part")
     left = minor.select("block", F.col("part").alias("cut"), "doc", "label").join(others, F.col("block") == F.col("_block"))
