@@ -4,7 +4,8 @@ Lines that begin with one or more ``>`` are quoted, as deep as there are such ma
 lines of one depth; passages and their lines are normalised (lower case, single spaces) and hashed. The index holds
 the hashes of what messages say themselves, whole and by line, each with the first turn of its conversation that says
 it. A message answers the earlier turn to which most of its depth-1 passages and lines lead (a whole passage counts
-more than its lines; of equals, the later turn). Roots of the reply trees come from pointer doubling, so the rounds
+more than its lines; of equals, the later turn). A passage of depth d names an ancestor d levels up: where no shallower
+one leads anywhere, the message hangs on that ancestor, the nearest one that its quotes name. Roots of the reply trees come from pointer doubling, so the rounds
 grow with the logarithm of a chain's length. A conversation is ordered by the root's turn, then by turn: every reply
 comes after what it answers.
 
@@ -62,17 +63,17 @@ def reply_links(messages: DataFrame) -> DataFrame:
     rows = able.select("conv_id", "turn", quote_lines(F.col("text")).alias("lines"))
     quoting = rows.where(F.exists("lines", lambda x: x["depth"] > 0)).withColumn("_row", F.struct("conv_id", "turn", F.xxhash64("lines")))
     quoting = quoting.dropDuplicates(["_row"])
-    runs = _runs(quoting).where("depth = 1")
-    single = runs.select("conv_id", "turn", F.explode("lines").alias("hash"), F.lit(1).alias("weight"))
-    asked = runs.select("conv_id", "turn", "hash", (F.size("lines") + 1).alias("weight")).union(single)
+    runs = _runs(quoting).where("depth > 0")
+    single = runs.select("conv_id", "turn", "depth", F.explode("lines").alias("hash"), F.lit(1).alias("weight"))
+    asked = runs.select("conv_id", "turn", "depth", "hash", (F.size("lines") + 1).alias("weight")).union(single)
     own = F.filter("lines", lambda x: (x["depth"] == 0) & (normalised(x["body"]) != ""))
     said = rows.select("conv_id", "turn", F.transform(own, lambda x: normalised(x["body"])).alias("own")).where(F.size("own") > 0)
     hashes = F.array_union(F.array(F.xxhash64(F.array_join("own", " "))), F.transform("own", lambda x: F.xxhash64(x)))
     index = said.select("conv_id", "turn", F.explode(hashes).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("parent"))
     index = index.select(F.col("conv_id").alias("_conv"), F.col("hash").alias("_hash"), "parent")
     led = asked.join(index, (F.col("conv_id") == F.col("_conv")) & (F.col("hash") == F.col("_hash"))).where("parent < turn")
-    votes = led.groupBy("conv_id", "turn", "parent").agg(F.sum("weight").alias("votes"))
-    return votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct("votes", "parent")).alias("parent"))
+    votes = led.groupBy("conv_id", "turn", "depth", "parent").agg(F.sum("weight").alias("votes"))
+    return votes.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("depth"), "votes", "parent")).alias("parent"))
 
 
 def roots(links: DataFrame) -> DataFrame:
