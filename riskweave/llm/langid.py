@@ -6,9 +6,10 @@ k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), with n-grams hashed to DIM places
 is scored as a product of its presence matrix with the landmarks' matrix times the coefficients, (X L') A = X (L' A),
 so the second product is done once.
 
-The fit uses up to PER_LANG rows of each of the MAX_LANGS most frequent languages, taken in hash order; the scoring
-covers all rows and whole texts. Nulls: null text, or one without a letter, is ``und`` with score 0; rows without a
-language are not learnt from. With nothing to learn from, every row is ``und``. Repeated rows get equal values. An
+Every language is learnt. The fit uses up to PER_LANG rows of each, taken in hash order, and SAMPLE rows in all: with
+more than SAMPLE / PER_LANG languages each gets an equal share, one row at least, and MARKS landmarks as long as these
+are MOST_MARKS at most, one at least. The weights take 4 * DIM bytes a language. The scoring covers all rows and whole
+texts. Nulls: null text, or one without a letter, is ``und`` with score 0; rows without a language are not learnt from. With nothing to learn from, every row is ``und``. Repeated rows get equal values. An
 empty table gives an empty result; other columns are not read.
 """
 
@@ -27,8 +28,10 @@ from riskweave.llm.common import table
 DIM = 1 << 15
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 400
-MAX_LANGS = 16
+SAMPLE = 6400
 LANDMARKS = 256
+MARKS = 16  # of each language, where there are more than LANDMARKS / MARKS
+MOST_MARKS = 1024
 RIDGE = 1e-3
 ROWS = 64  # texts of a presence matrix
 REJECT = 0.1
@@ -69,7 +72,7 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     if not langs:
         return [], np.zeros((DIM, 0), dtype=np.float32)
     by: dict[str, list[str]] = {lang: [t for t, x in rows if x == lang] for lang in langs}
-    each = max(1, LANDMARKS // len(langs))
+    each = max(1, LANDMARKS // len(langs), min(MARKS, MOST_MARKS // len(langs)))
     marks = np.concatenate(list(batches_of([t for lang in langs for t in by[lang][:each]])))
     inner = (marks @ marks.T).astype(np.float64)
     cross = np.concatenate([x @ marks.T for x in batches_of([t for t, _ in rows])]).astype(np.float64)
@@ -80,18 +83,21 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column) -> list[tuple[str, str]]:
     """The bounded sample: ids first, from two narrow columns, then their texts."""
-    known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
-    most = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()}
-    # A hash threshold leaves about four times the rows wanted of each language, so that few rows are ranked at any size.
-    order, share = F.xxhash64("_key"), F.lit(0.0)
-    for name, count in most.items():
-        share = F.when(F.col("_lang") == name, F.lit(min(1.0, 4 * PER_LANG / count))).otherwise(share)
-    few = known.where(F.shiftrightunsigned(order, 11) < share * float(1 << 53))
+    able = F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]")  # as _LETTER
+    known = docs.where(learn & F.col(lang).isNotNull() & able).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
+    each = max(1, min(PER_LANG, SAMPLE // max(1, len(counts))))
+    # A hash threshold leaves about four times the rows wanted of each language, so that few rows are ranked at any size;
+    # at least 64, so that none loses all its rows.
+    order = F.xxhash64("_key")
+    shares = [(name, min(1.0, max(64, 4 * each) / count)) for name, count in counts.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "_name string, _share double"))
+    few = known.join(shares, F.col("_lang") == F.col("_name")).where(F.shiftrightunsigned(order, 11) < F.col("_share") * float(1 << 53))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_key"))
-    picked = few.withColumn("_rank", rank).where(F.col("_rank") <= PER_LANG).select("_key").distinct()
-    # At most PER_LANG * MAX_LANGS ids: safe to broadcast.
+    picked = few.withColumn("_rank", rank).where(F.col("_rank") <= each).select("_key").distinct()
+    # At most SAMPLE ids, or one a language: safe to broadcast.
     got = docs.where(learn).join(F.broadcast(picked), F.col(key) == F.col("_key"), "left_semi").select(key, text, lang).collect()
-    got = [r for r in got if r[1] is not None and r[2] in most and _LETTER.search(r[1])]
+    got = [r for r in got if r[1] is not None and r[2] in counts and _LETTER.search(r[1])]
     return [(r[1], r[2]) for r in sorted(got, key=lambda r: (hash_order(r[0]), r[2], r[1]))]
 
 
