@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
 
 language       rows without a recognisable language go
-near_copies    of each component of the Jaccard join, the document with the smallest id stays
+near_copies    of each component of the Jaccard join (5-word shingles, 80 %), the document with the smallest id stays
 repeats        passages of 13 words and more that an earlier document has are cut out; empty rests go
 mixture        sources are repeated to the target weights; every row stays at least once
 pieces         two sampled segmentations of each text, with their inclusion scores
@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.llm import jaccard, langid, mixing, pieces, substrings
 from riskweave.llm.common import written
 
+NEAR_WORDS, NEAR_SHARE = 5, 80  # of the stage; op3_jaccard has values of its own
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, n=NEAR_WORDS, share=NEAR_SHARE)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

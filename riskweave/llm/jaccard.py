@@ -429,9 +429,9 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """Rows of the documents table without those whose component has a smaller document."""
-    parts = similar_components(docs)
+    parts = similar_components(docs, n=n, share=share)
     losers = parts.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(losers, docs["doc_id"] == F.col("_id"), "left_anti")
 
