@@ -34,7 +34,7 @@ def run_check(args: argparse.Namespace) -> int:
             print("nothing to scan was found", file=sys.stderr)
             return 3
         register = plan.register_of(spark, found).persist()
-        rows, gate = register.collect(), plan.risk.verdict(register, threshold).first()
+        rows, gate = register.drop("evidencia").collect(), plan.risk.verdict(register, threshold).first()
         operations, findings = found.operations.count(), found.findings.count()
         if args.summary_md:
             with open(args.summary_md, "a", encoding="utf-8") as f:

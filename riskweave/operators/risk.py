@@ -50,11 +50,10 @@ def scored(risks: DataFrame) -> DataFrame:
     )
 
 
-def evidence(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """id and evidencia: where each risk's triggers were met, each place once, in the order of triggers and scan.
+def evidence_places(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
+    """id, path, line, kind and first: where each risk's triggers were met, each place once; ``first`` gives their order.
 
-    The catalog has a fixed, small number of rows and is broadcast; facts are grouped by risk and place, so what is
-    collected for a risk is bounded by its distinct places.
+    The catalog has a fixed, small number of rows and is broadcast; the places stay rows, as they grow with the scan.
     """
     ops = operations.select("path", "line", "kind", "provider", F.struct(F.lit(0), "path", "line").alias("seq"))
     by_kind = risks.select("id", F.explode("operations").alias("kind")).join(ops, "kind").select("id", F.lit(0).alias("branch"), "path", "line", "kind", "seq")
@@ -70,17 +69,31 @@ def evidence(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> Da
     by_flag = ops.join(F.broadcast(flag), fits).select("id", order[F.col("flag")].alias("branch"), "path", "line", "kind", "seq")
     high = findings.where(F.coalesce("tier", F.lit("high")) == "high")
     pii = flag.where("flag = 'pii'").crossJoin(high).select("id", F.lit(1).alias("branch"), "path", "line", F.concat(F.lit("pii:"), "kind").alias("kind"), F.struct(F.lit(0), "path", "line").alias("seq"))
-    places = by_kind.unionByName(by_flag).unionByName(pii).groupBy("id", "path", "line", "kind").agg(F.min(F.struct("branch", "seq")).alias("first"))
+    return by_kind.unionByName(by_flag).unionByName(pii).groupBy("id", "path", "line", "kind").agg(F.min(F.struct("branch", "seq")).alias("first"))
+
+
+def evidence(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
+    """id and evidencia, all places of a risk in one array: for the report of one repository only."""
+    places = evidence_places(risks, operations, findings)
     listed = F.array_sort(F.collect_list(F.struct("first", "path", "line", "kind")))
     plain = F.transform(listed, lambda x: F.struct(x["path"].alias("file"), x["line"].alias("line"), x["kind"].alias("kind")))
     return places.groupBy("id").agg(plain.alias("evidencia"))
 
 
 def register(catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """The scored risks of a scan with their evidence, in catalog order."""
+    """The scored risks of a scan, with the number of places of their evidence and the first one, in catalog order."""
     risks = matched(catalog, scan_flags(operations, findings))
-    places = evidence(risks, operations, findings)
-    rows = scored(risks).join(places, "id", "left")
+    least = F.min(F.struct("first", "path", "line", "kind"))
+    places = evidence_places(risks, operations, findings).groupBy("id").agg(F.count(F.lit(1)).alias("places"), least.alias("_least"))
+    first = F.struct(F.col("_least.path").alias("file"), F.col("_least.line").alias("line"), F.col("_least.kind").alias("kind"))
+    rows = scored(risks).join(places, "id", "left").withColumn("first_place", F.when(F.col("_least").isNotNull(), first)).drop("_least")
+    return rows.withColumn("places", F.coalesce("places", F.lit(0)).cast("long")).orderBy("ord")
+
+
+def with_evidence(register: DataFrame, catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
+    """Adds ``evidencia``, the arrays of all places: for the report of one repository only."""
+    listed = evidence(matched(catalog, scan_flags(operations, findings)), operations, findings)
+    rows = register.join(listed, "id", "left")
     return rows.withColumn("evidencia", F.coalesce("evidencia", F.array().cast(EVIDENCE))).orderBy("ord")
 
 

@@ -142,7 +142,7 @@ def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def risk_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored register of the derived scan, with the number of places of evidence."""
     return _risks(spark, sf_dir).select(
-        "id", "nivel_inerente", "probabilidade_residual", "impacto_residual", "nivel_residual", "tratamento", F.size("evidencia").cast("long").alias("places"),
+        "id", "nivel_inerente", "probabilidade_residual", "impacto_residual", "nivel_residual", "tratamento", "places",
     )
 
 
