@@ -436,12 +436,12 @@ def decode_samples(df: DataFrame, keep: list[str], samples: str = "samples", pat
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_top_k(table(spark, sf_dir, "documents"), "doc_id", "text")
-    rows = encoded.select("doc_id", "round_trip", F.posexplode("samples").alias("sample", "s"))
+    rows = encoded.select("doc_id", "round_trip", F.posexplode_outer("samples").alias("sample", "s"))
     return rows.select(
         "doc_id",
         "sample",
-        F.size("s.ids").cast("long").alias("n_pieces"),
-        F.xxhash64("s.ids").alias("ids_hash"),
+        F.when(F.col("s").isNotNull(), F.size("s.ids").cast("long")).alias("n_pieces"),
+        F.when(F.col("s").isNotNull(), F.xxhash64("s.ids")).alias("ids_hash"),
         F.round("s.log_p", 6).alias("log_p"),
         F.round("s.perturbed", 9).alias("perturbed"),
         F.round("s.log_inclusion", 6).alias("log_inclusion"),
