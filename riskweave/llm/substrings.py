@@ -304,7 +304,7 @@ def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return verify
 
 
-def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _strip(window: int, original: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone, spans = batch.column(1).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4))
@@ -327,6 +327,9 @@ def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 kept, counts = [], np.zeros(chunk.n, dtype=np.int64)
                 for i in range(chunk.n):
                     a, b = chunk.word_from[i], chunk.word_to[i]
+                    if original and keep[a:b].all():
+                        kept.append(texts[chunk.first + i])
+                        continue
                     words = raw[chunk.begins[i] : chunk.ends[i]].split()
                     own = keep[a:b]
                     counts[i] = b - a - np.count_nonzero(own)
@@ -342,11 +345,12 @@ def _strip(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def dedup_substrings(
-    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG, keep: tuple[str, ...] = ()
+    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG, keep: tuple[str, ...] = (), original: bool = False
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the kept columns (in a struct ``rest``) for every row.
 
-    The texts are shuffled by id once; both joins read that shuffle.
+    kept_text has the words that stay, joined by single spaces; with ``original``, a text that loses nothing stays as it
+    is. The texts are shuffled by id once; both joins read that shuffle.
     """
     rest = F.struct(*keep) if keep else F.lit(None).cast("boolean")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest.alias("rest"))
@@ -361,13 +365,13 @@ def dedup_substrings(
         F.collect_list(F.when(F.col("kind") == SPAN, F.col("key"))).alias("spans"),
     )
     last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "rest", "gone", "spans")
-    return last.mapInArrow(_strip(window), f"doc_id long, n_words long, n_removed long, kept_text string, rest {kind}")
+    return last.mapInArrow(_strip(window, original), f"doc_id long, n_words long, n_removed long, kept_text string, rest {kind}")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents table with what is kept of each text; rows of which nothing is left go."""
+    """The documents table with what is kept of each text; rows of which nothing is left go, clean texts stay as they are."""
     others = tuple(c for c in docs.columns if c != "text")
-    kept = dedup_substrings(docs, keep=others).where("n_words = 0 OR n_removed < n_words")
+    kept = dedup_substrings(docs, keep=others, original=True).where("n_words = 0 OR n_removed < n_words")
     columns = {c: F.col(f"rest.{c}") for c in others} | {"text": F.col("kept_text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
