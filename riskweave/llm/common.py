@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Let Arrow batches of the session be of about BATCH_BYTES at most, where Spark's own default of 64 MB holds.
+
+    A batch is held several times over, in the JVM and in the worker. A bound that the user has chosen stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING).lower().rstrip("b") in (str(64 << 20), "64m"):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts (or binaries) in a column come to ``most`` bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, most + (ends[begin - 1] if begin else 0), side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,8 +13,9 @@ arrival time of a Poisson process, so a value below another is a later arrival.
 sample's inclusion probability, 1 - exp(-p t). Noise comes from hashes of the row's key and the place in the text, so
 a row's result depends on nothing else.
 
-No piece goes over a word's end, so equal words of a batch share one lattice, and steps of all words are drawn in one
-go. Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
+No piece goes over a word's end, so equal words share one lattice: those of the first chunks stay in memory (KEPT_EDGES),
+others last for a chunk. Steps of all words of a chunk are drawn in one go, and its ids are made and decoded together.
+Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
 
 Nulls: a null text gives null samples, an empty text one empty sample. A null key is a key like any other. A text with
 fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. An
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table
-from riskweave.llm.words import mix
+from riskweave.llm.common import bounded_batches, slices, table
+from riskweave.llm.words import encoded, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -43,6 +45,7 @@ SAMPLES = 2
 THETA = 0.5
 SEED = 29
 CHARS = 1 << 19
+KEPT_EDGES = 1 << 20  # of units that stay in a task's lattice from chunk to chunk: about 35 MB
 SLOT_BITS = 18
 FADED = 120.0
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -60,6 +63,9 @@ class Vocabulary(NamedTuple):
     byte_score: float
     longest: int
     split: re.Pattern
+    byte_table: np.ndarray  # bytes of all pieces, one after another
+    byte_from: np.ndarray  # by id: where its bytes begin
+    byte_sizes: np.ndarray
 
 
 def _extend(name: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -104,7 +110,12 @@ def load(path: str = MODEL, theta: float = THETA) -> Vocabulary:
     inner = any(SPACE in p.lstrip(SPACE) for p in usable)
     lines = not any("\n" in p for p in usable)
     split = re.compile(r"(?s).+" if inner else r"\n|%s+[^%s\n]*|[^%s\n]+" % ((SPACE,) * 3) if lines else r"%s+[^%s]*|[^%s]+" % ((SPACE,) * 3))
-    return Vocabulary(pieces, is_byte, names, ids, shown, part, scores, byte_ids, -theta * math.log(n) - 2, max(map(len, usable)), split)
+    raw = [bytes([int(p, 16)]) if is_byte[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+    sizes = np.array(list(map(len, raw)), dtype=np.int64)
+    joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    return Vocabulary(
+        pieces, is_byte, names, ids, shown, part, scores, byte_ids, -theta * math.log(n) - 2, max(map(len, usable)), split, joined, np.cumsum(sizes) - sizes, sizes
+    )
 
 
 def _slot(name: np.ndarray) -> np.ndarray:
@@ -124,11 +135,64 @@ def _find(v: Vocabulary, name: np.ndarray) -> np.ndarray:
     return slot
 
 
+class Grown:
+    """An array that grows at its end; only the first ``n`` places count."""
+
+    def __init__(self, dtype: type, first: list | None = None):
+        self.data, self.n = np.array(first or [], dtype=dtype), len(first or [])
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            wide = np.empty(max(end, 2 * self.n, 1024), dtype=self.data.dtype)
+            wide[: self.n] = self.data[: self.n]
+            self.data = wide
+        self.data[self.n : end] = values
+        self.n = end
+
+
 class Lattice:
-    """Of a list of distinct units: nodes in order of what remains of the unit, each with its edges and chances."""
+    """Of distinct units: each unit's nodes in order of what remains of it, each with its edges and chances.
+
+    Units that were added first stay for the chunks that come; ``trim`` takes the others away again. What is said of a
+    unit depends on nothing but the unit.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        v = vocabulary
+    EDGES = ("piece", "width", "node", "to", "log_p", "upto", "only")
+
+    def __init__(self, vocabulary: Vocabulary, units: list[str] = ()):
+        self.vocabulary = vocabulary
+        kinds = (np.int32, np.int32, np.int32, np.int32, np.float64, np.float64, np.bool_)
+        self.grown = {name: Grown(kind) for name, kind in zip(self.EDGES, kinds, strict=True)}
+        self.grown |= {"first": Grown(np.int64, [0]), "starts": Grown(np.int64)}  # first: of a node, and the end of the last
+        self.numbers = _Numbers()
+        self.numbered([list(units)])
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self.__dict__["grown"][name].data
+
+    def numbered(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of each text's units; new units are added."""
+        rows = [np.fromiter(map(self.numbers.__getitem__, units), dtype=np.int64, count=len(units)) for units in texts]
+        if self.numbers.fresh:
+            self.add(self.numbers.fresh)
+            self.numbers.fresh = []
+        return rows
+
+    def trim(self, most: int) -> None:
+        """Take units away that came after the lattice had ``most`` edges."""
+        if self.kept is not None:
+            for name, g in self.grown.items():
+                g.n = self.kept[name]
+            self.numbers = _Numbers(self.numbers.base)
+        elif self.grown["piece"].n > most:
+            self.kept = {name: g.n for name, g in self.grown.items()}
+            self.numbers = _Numbers(self.numbers)
+
+    kept: dict[str, int] | None = None
+
+    def add(self, units: list[str]) -> None:
+        v = self.vocabulary
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         ends = np.cumsum(sizes)
@@ -144,10 +208,11 @@ class Lattice:
             alive = alive[left[alive] > k]
             if not len(alive):
                 break
-            name[alive] = _extend(name[alive], chars[alive + k])
-            place = _find(v, name[alive])
+            grown = _extend(name[alive], chars[alive + k])
+            place = _find(v, grown)
             hit = place >= 0
             alive, place = alive[hit], place[hit]
+            name[alive] = grown[hit]
             piece = v.ids[place]
             whole = piece >= 0
             if k == 0:
@@ -160,19 +225,17 @@ class Lattice:
         tos.append(rest + 1)
         ids.append(-1 - chars[rest].astype(np.int64))
         start, to, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
-        self.width = np.ones(len(piece), dtype=np.int64)  # ids of an edge
+        width = np.ones(len(piece), dtype=np.int64)  # ids of an edge
         wide = piece < 0
         point = -1 - piece[wide]
-        self.width[wide] = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-        score = np.where(wide, self.width * v.byte_score, v.scores[np.maximum(piece, 0)])
+        width[wide] = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        score = np.where(wide, width * v.byte_score, v.scores[np.maximum(piece, 0)])
         done = left[start] == to - start
         node = number[start]
         by = np.argsort((node << 20) + np.where(wide, 0, piece))  # a node's likely pieces, which have low ids, first
-        self.piece, self.width, node, score, done, target = piece[by], self.width[by], node[by], score[by], done[by], to[by]
-        self.to = np.where(done, -1, number[np.minimum(target, len(number) - 1)])
+        piece, width, node, score, done, target = piece[by], width[by], node[by], score[by], done[by], to[by]
+        to = np.where(done, -1, number[np.minimum(target, len(number) - 1)])
         first = np.searchsorted(node, np.arange(len(chars) + 1))
-        self.first, self.node = first, node
-        self.only = (first[1:] - first[:-1] == 1)[node]  # edges without a choice
         beta = np.zeros(len(chars) + 1)  # the last is for ends
         total = np.empty(len(node))
         cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
@@ -180,15 +243,25 @@ class Lattice:
             if a == b:
                 continue
             e, f = first[a], first[b]
-            total[e:f] = score[e:f] + beta[self.to[e:f]]
+            total[e:f] = score[e:f] + beta[to[e:f]]
             top = np.maximum.reduceat(total[e:f], first[a:b] - e)
             of = node[e:f] - a
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(total[e:f] - top[of]), first[a:b] - e))
-        self.log_p = np.minimum(total - beta[node], 0.0)
-        run = np.cumsum(np.exp(self.log_p))
-        self.upto = run - np.concatenate(([0.0], run))[first[:-1]][node]  # of a node's chances, this edge included
-        self.upto[first[1:] - 1] = 2.0
-        self.starts = number[ends - sizes]
+        log_p = np.minimum(total - beta[node], 0.0)
+        upto = np.exp(log_p)  # of a node's chances, those before an edge and its own; summed within each node alone
+        edge, last = first[:-1] + 1, first[1:]
+        while len(more := np.flatnonzero(edge < last)):
+            edge, last = edge[more], last[more]
+            upto[edge] += upto[edge - 1]
+            edge = edge + 1
+        upto[first[1:] - 1] = 2.0
+        only = (first[1:] - first[:-1] == 1)[node]  # edges without a choice
+        nodes, edges = self.grown["first"].n - 1, self.grown["piece"].n
+        values = (piece, width, node + nodes, np.where(done, -1, to + nodes), log_p, upto, only)
+        for name_, value in zip(self.EDGES, values, strict=True):
+            self.grown[name_].add(value)
+        self.grown["first"].add(first[1:] + edges)
+        self.grown["starts"].add(number[ends - sizes] + nodes)
 
 
 def uniform(seed: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
@@ -227,100 +300,117 @@ def walk(lattice: Lattice, nodes: np.ndarray, seed: np.ndarray, place: np.ndarra
     return out, counts
 
 
-class Path(NamedTuple):
-    edges: np.ndarray
-    units: np.ndarray  # of each edge: its unit's place in the text
-    log_p: float
-    time: float
-    rest: np.ndarray  # arrival of what each step left
-    before: np.ndarray  # log probability of what comes before each step
-    gone: dict[int, list[int]]  # edges that have left a step's node, besides the path's own
-
-
-def finish(lattice: Lattice, edges: np.ndarray, units: np.ndarray, time: float, since: int, seed: np.uint64, sample: int) -> Path:
-    """A path whose steps from ``since`` on leave nodes of their own."""
-    log_p = lattice.log_p[edges]
-    upto = np.cumsum(log_p)
-    before = upto - log_p
-    # Steps with a beginning less likely than exp(-FADED) can't be next: no noise of 53 bits makes up for that.
-    until = max(since, int(np.searchsorted(-before, FADED, side="right")))
-    rest = np.full(len(edges), np.inf)
-    with np.errstate(divide="ignore", over="ignore"):
-        mass = before[since:until] + np.log(-np.expm1(np.minimum(log_p[since:until], 0)))
-        noise = exponential(np.full(until - since, seed), sample, np.arange(since, until), 99)
-        late = time + np.exp(np.log(noise) - mass)
-    late[lattice.only[edges[since:until]] | np.isnan(late)] = np.inf
-    rest[since:until] = late
-    return Path(edges, units, float(upto[-1]) if len(upto) else 0.0, time, rest, before, {})
-
-
-def top_k(lattice: Lattice, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> tuple[list[list[Path]], list[float]]:
-    """For each text, given as the numbers of its units: up to k paths, largest value first, and the next arrival."""
+class Paths:
+    """One path for each of some texts: edges, their units' places, and the arrivals of what their first steps left."""
+
+    def __init__(self, lattice: Lattice, texts: np.ndarray, edges: np.ndarray, units: np.ndarray, sizes: np.ndarray, time: np.ndarray, since: np.ndarray, seeds: np.ndarray, sample: int):
+        """Steps from ``since`` on leave nodes of their own.
+
+        A step with a beginning less likely than exp(-FADED) can't be next, as no noise of 53 bits makes up for that; so
+        only as many columns of steps are looked at as bring all paths there.
+        """
+        self.texts, self.edges, self.units, self.sizes, self.time = texts, edges, units, sizes, time
+        self.begins = np.cumsum(sizes) - sizes
+        steps = lattice.log_p[edges]
+        self.log_p = np.add.reduceat(np.append(steps, 0.0), self.begins) if len(sizes) else np.zeros(0)
+        self.log_p[sizes == 0] = 0.0
+        width, longest = 256, int(sizes.max(initial=0))
+        while True:
+            width = min(width, longest)
+            column = np.arange(width)
+            inside = column < sizes[:, None]
+            at = np.where(inside, self.begins[:, None] + column, 0)
+            own = np.where(inside, steps[at], 0.0) if len(steps) else np.zeros((len(sizes), width))
+            upto = np.cumsum(own, axis=1)
+            before = upto - own
+            near = inside & (before >= -FADED)
+            if width == longest or not (near[:, -1] if width else inside.any(axis=1)).any():
+                break
+            width *= 2
+        self.before = before
+        self.rest = np.full(before.shape, np.inf)
+        row, step = np.nonzero(near & (column >= since[:, None]) & ~lattice.only[edges[at]] if len(steps) else near)
+        with np.errstate(divide="ignore", over="ignore"):
+            mass = before[row, step] + np.log(-np.expm1(np.minimum(own[row, step], 0)))
+            late = time[row] + np.exp(np.log(exponential(seeds[row], sample, step, 99)) - mass)
+        self.rest[row, step] = np.where(np.isnan(late), np.inf, late)
+        self.gone: dict[tuple[int, int], list[int]] = {}  # edges that have left a step's node, besides the path's own
+
+
+def top_k(lattice: Lattice, texts: list[np.ndarray], seeds: np.ndarray, k: int) -> tuple[list[Paths], np.ndarray]:
+    """For texts, given as the numbers of their units: each sample's paths, largest values first, and the arrival after
+    the last. Texts without units or with fewer segmentations are left out of the later samples."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     of = np.repeat(np.arange(len(texts)), sizes)
     units = np.concatenate(texts) if len(texts) else np.zeros(0, dtype=np.int64)
-    place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    unit_from = np.cumsum(sizes) - sizes
+    place = np.arange(len(units)) - np.repeat(unit_from, sizes)
     edges, counts = walk(lattice, lattice.starts[units], seeds[of], place, 0)
-    of_edge, unit_of_edge = np.repeat(of, counts), np.repeat(place, counts)
-    cut = np.searchsorted(of_edge, np.arange(len(texts) + 1))
+    everyone = np.arange(len(texts))
+    lengths = np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64)
     first = exponential(seeds, 0, np.zeros(len(seeds), dtype=np.int64), 98)
-    paths = [
-        [finish(lattice, edges[a:b], unit_of_edge[a:b], float(first[i]), 0, seeds[i], 0)]
-        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-    ]
-    after = [np.inf] * len(texts)
+    found = [Paths(lattice, everyone, edges, np.repeat(place, counts), lengths, first, np.zeros(len(texts), dtype=np.int64), seeds, 0)]
+    after = np.full(len(texts), np.inf)
+    able = lengths > 0
     for sample in range(1, k + 1):
-        heads: list[tuple[int, Path, int, int, float]] = []
-        for i, own in enumerate(paths):
-            if len(own) < sample or not len(own[0].edges):
-                continue
-            which = min(range(len(own)), key=lambda j: own[j].rest.min())
-            path = own[which]
-            at = int(path.rest.argmin())
-            time = float(path.rest[at])
-            after[i] = time
-            if sample == k or time == np.inf:
+        # The earliest arrival of each text, among what all its paths' steps left.
+        best, which, row_of, step_of = np.full(len(texts), np.inf), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        for j, paths in enumerate(found):
+            if not paths.rest.shape[1] or not len(paths.texts):
                 continue
-            node = int(lattice.node[path.edges[at]])
-            gone = path.gone.setdefault(at, []) or []
-            left = [e for e in range(lattice.first[node], lattice.first[node + 1]) if e != path.edges[at] and e not in gone]
+            step = paths.rest.argmin(axis=1)
+            least = paths.rest[np.arange(len(step)), step]
+            better = np.flatnonzero(least < best[paths.texts])
+            text = paths.texts[better]
+            best[text], which[text], row_of[text], step_of[text] = least[better], j, better, step[better]
+        after[able] = best[able]
+        able = able & np.isfinite(best)
+        heads = np.flatnonzero(able)
+        if sample == k or not len(heads):
+            break
+        draws, noises = uniform(seeds[heads], sample, step_of[heads], 97), exponential(seeds[heads], sample, step_of[heads], 96)
+        picks = np.empty(len(heads), dtype=np.int64)
+        for n, (text, j, row, at) in enumerate(zip(heads.tolist(), which[heads].tolist(), row_of[heads].tolist(), step_of[heads].tolist(), strict=True)):
+            paths = found[j]
+            own = int(paths.edges[paths.begins[row] + at])
+            node = lattice.node[own]
+            gone = paths.gone.setdefault((row, at), [own])
+            left = [e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in gone]
             chance = np.exp(lattice.log_p[left])
-            draw = float(uniform(seeds[i : i + 1], sample, np.array([at]), 97)[0]) * chance.sum()
-            pick = left[min(int(np.searchsorted(np.cumsum(chance), draw, side="right")), len(left) - 1)]
-            path.gone[at].append(pick)
-            rest = float(chance.sum()) - math.exp(lattice.log_p[pick])
+            total = float(chance.sum())
+            pick = left[min(int(np.searchsorted(np.cumsum(chance), draws[n] * total, side="right")), len(left) - 1)]
+            gone.append(pick)
+            rest = total - math.exp(lattice.log_p[pick])
             if len(left) > 1 and rest > 0:
-                noise = float(exponential(seeds[i : i + 1], sample, np.array([at]), 96)[0])
-                path.rest[at] = time + math.exp(min(700.0, math.log(noise + 1e-300) - float(path.before[at]) - math.log(rest)))
+                wait = math.log(noises[n] + 1e-300) - float(paths.before[row, at]) - math.log(rest)
+                paths.rest[row, at] = best[text] + math.exp(min(700.0, wait))
             else:
-                path.rest[at] = np.inf
-            heads.append((i, path, at, pick, time))
-        if not heads:
-            continue
+                paths.rest[row, at] = np.inf
+            picks[n] = pick
         # The other units of all these texts are drawn together.
-        nodes, seed, spot, sizes = [], [], [], []
-        for i, path, at, pick, _ in heads:
-            unit = int(path.units[at])
-            tail = texts[i][unit + 1 :]
-            nodes.append(np.concatenate((lattice.to[pick : pick + 1], lattice.starts[tail])))
-            spot.append(np.arange(unit, unit + 1 + len(tail)))
-            seed.append(np.full(1 + len(tail), seeds[i]))
-            sizes.append(1 + len(tail))
-        spot_all = np.concatenate(spot)
-        edges, counts = walk(lattice, np.concatenate(nodes), np.concatenate(seed), spot_all, sample)
-        unit_of_edge = np.repeat(spot_all, counts)
-        ends = np.cumsum(np.add.reduceat(counts, np.cumsum(sizes) - sizes))
-        begin = 0
-        for (i, path, at, pick, time), end in zip(heads, ends, strict=True):
-            new = np.concatenate((path.edges[:at], [pick], edges[begin:end]))
-            where = np.concatenate((path.units[: at + 1], unit_of_edge[begin:end]))
-            paths[i].append(finish(lattice, new, where, time, at + 1, seeds[i], sample))
-            begin = end
-    return paths, after
-
-
-def ids_of(v: Vocabulary, lattice: Lattice, edges: np.ndarray) -> np.ndarray:
-    """Piece ids of a row of edges; characters without a piece become bytes."""
+        unit, begin, head_edges, head_units = np.empty(len(heads), dtype=np.int64), np.empty(len(heads), dtype=np.int64), [], []
+        for j, paths in enumerate(found):
+            own = np.flatnonzero(which[heads] == j)
+            begin[own] = paths.begins[row_of[heads[own]]]
+            unit[own] = paths.units[begin[own] + step_of[heads[own]]]
+        tails = sizes[heads] - unit  # the unit of the step and those after it
+        spot = np.arange(int(tails.sum())) - np.repeat(np.cumsum(tails) - tails - unit, tails)
+        of_head = np.repeat(np.arange(len(heads)), tails)
+        nodes = lattice.starts[units[unit_from[heads][of_head] + spot]]
+        nodes[np.cumsum(tails) - tails] = lattice.to[picks]
+        more, counts = walk(lattice, nodes, seeds[heads][of_head], spot, sample)
+        drawn = np.bincount(of_head, weights=counts, minlength=len(heads)).astype(np.int64)
+        drawn_units, drawn_from = np.repeat(spot, counts), np.cumsum(drawn) - drawn
+        since = step_of[heads]
+        for n, (j, a, at, b, m) in enumerate(zip(which[heads].tolist(), begin.tolist(), since.tolist(), drawn_from.tolist(), drawn.tolist(), strict=True)):
+            head_edges += [found[j].edges[a : a + at], picks[n : n + 1], more[b : b + m]]
+            head_units += [found[j].units[a : a + at + 1], drawn_units[b : b + m]]
+        found.append(Paths(lattice, heads, np.concatenate(head_edges), np.concatenate(head_units), since + 1 + drawn, best[heads], since + 1, seeds[heads], sample))
+    return found, after
+
+
+def ids_of(v: Vocabulary, lattice: Lattice, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of a row of edges, and each edge's number of ids; characters without a piece become bytes."""
     piece, width = lattice.piece[edges], lattice.width[edges]
     out = np.repeat(piece, width)
     wide = np.flatnonzero(out < 0)
@@ -332,14 +422,47 @@ def ids_of(v: Vocabulary, lattice: Lattice, edges: np.ndarray) -> np.ndarray:
         low = point >> (6 * (size - 1 - k))
         mark = np.where(k > 0, 0x80, np.choose(size - 1, [0, 0xC0, 0xE0, 0xF0]))
         out[wide] = v.byte_ids[np.where(k > 0, low & 0x3F, low) | mark]
-    return out.astype(np.int32)
+    return out.astype(np.int32), width
+
+
+def decoded_bytes(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that a row of piece ids stands for, and each id's number of them."""
+    sizes = v.byte_sizes[ids]
+    ends = np.cumsum(sizes)
+    at = np.arange(int(sizes.sum()), dtype=np.int32)
+    at += np.repeat((v.byte_from[ids] - (ends - sizes)).astype(np.int32), sizes)
+    return v.byte_table[at], sizes
+
+
+def round_trips(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Whether each run of ids (so many of them) decodes to its text; the first byte is the space that begins a text."""
+    got, width = decoded_bytes(v, ids)
+    ends = np.cumsum(np.concatenate(([0], width)))[np.cumsum(sizes)] if len(sizes) else np.zeros(0, dtype=np.int64)
+    begins = np.concatenate(([0], ends[:-1]))
+    wanted = [b" " + t if t else b"" for t in texts]
+    lengths = np.fromiter(map(len, wanted), dtype=np.int64, count=len(wanted))
+    same = ends - begins == lengths
+    if same.all():
+        differ = np.flatnonzero(got != np.frombuffer(b"".join(wanted), dtype=np.uint8))
+        same[np.searchsorted(ends, differ, side="right")] = False
+        return same
+    raw = got.tobytes()
+    return np.array([raw[a:b] == w for a, b, w in zip(begins.tolist(), ends.tolist(), wanted, strict=True)])
 
 
 class _Numbers(dict):
-    """Numbers new units as they come."""
+    """Numbers new units as they come, after those of ``base``."""
+
+    def __init__(self, base: dict[str, int] | None = None):
+        self.base, self.fresh, self.n = base or {}, [], len(base or ())
 
     def __missing__(self, unit: str) -> int:
-        self[unit] = number = len(self)
+        number = self.base.get(unit)
+        if number is None:
+            number = self.n
+            self.n += 1
+            self.fresh.append(unit)
+        self[unit] = number
         return number
 
 
@@ -358,43 +481,45 @@ def encode_top_k(
     v = load(path, theta)
     item = pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
 
+    def samples(lattice: Lattice, texts: list[str | None], seeds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        rows = lattice.numbered([_units(v, t or "") for t in texts])
+        found, after = top_k(lattice, rows, seeds, k)
+        raw = encoded(texts)
+        parts, sizes, whole, good = [], [], np.ones(len(texts), dtype=bool), np.array([t is not None for t in texts], dtype=bool)
+        for paths in found:
+            ids, width = ids_of(v, lattice, paths.edges)
+            sizes.append(np.diff(np.concatenate(([0], np.cumsum(width)))[np.append(paths.begins, len(paths.edges))]))
+            parts.append(ids)
+            whole[paths.texts] &= round_trips(v, ids, sizes[-1], [raw[i] for i in paths.texts.tolist()])
+        # Samples of one text follow each other: sorted by text, in the order they were drawn.
+        text = np.concatenate([p.texts for p in found])
+        by = np.argsort(text, kind="stable")
+        by = by[good[text[by]]]
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
+        begin = np.cumsum(size) - size
+        at = np.repeat(begin[by] - (np.cumsum(size[by]) - size[by]), size[by]) + np.arange(int(size[by].sum()))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[by]))), pa.int32()), pa.array(flat[at]))
+        log_p, time = np.concatenate([p.log_p for p in found])[by], np.concatenate([p.time for p in found])[by]
+        with np.errstate(divide="ignore", over="ignore"):
+            rate = log_p + np.log(after[text[by]])
+            included = np.where(rate > 3.7, 0.0, np.where(rate < -37, rate, np.log(-np.expm1(-np.exp(np.clip(rate, -40, 4))))))
+        values = [pa.array(x, pa.float64()) for x in (log_p, -np.log(np.maximum(time, 1e-300)), included)]
+        counts = np.bincount(text[by], minlength=len(texts))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32(), mask=np.append(~good, False))
+        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([ids, *values], fields=list(item)))
+        return lists, pa.array(whole, pa.bool_())
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(v)
         for batch in batches:
-            texts, seeds = batch.column(1).to_pylist(), batch.column(2).to_numpy().view(np.uint64)
-            begin = size = 0
-            cuts = []
-            for i, t in enumerate(texts):
-                if i > begin and size + len(t or "") > CHARS:
-                    cuts.append((begin, i))
-                    begin, size = i, 0
-                size += len(t or "")
-            if texts:
-                cuts.append((begin, len(texts)))
-            for a, b in cuts:
-                found = _Numbers()
-                rows = [np.fromiter(map(found.__getitem__, _units(v, t or "")), dtype=np.int64) for t in texts[a:b]]
-                lattice = Lattice(v, list(found))
-                paths, after = top_k(lattice, rows, seeds[a:b], k)
-                ids, sizes, values, counts, same = [], [], [], [], []
-                for t, own, limit in zip(texts[a:b], paths, after, strict=True):
-                    counts.append(None if t is None else len(own))
-                    since = len(ids)
-                    for one in own if t is not None else ():
-                        ids.append(ids_of(v, lattice, one.edges))
-                        sizes.append(len(ids[-1]))
-                        rate = math.inf if limit == math.inf else one.log_p + math.log(limit)
-                        included = 0.0 if rate > 3.7 else rate if rate < -37 else math.log(-math.expm1(-math.exp(rate)))
-                        values.append((one.log_p, -math.log(max(one.time, 1e-300)), included))
-                    same.append(all(decode_ids(v, x) == t for x in ids[since:]))
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
-                structs = pa.StructArray.from_arrays([lists, *(pa.array([x[j] for x in values], pa.float64()) for j in range(3))], fields=list(item))
-                offsets = np.cumsum([0, *(c or 0 for c in counts)]).tolist()
-                marks = pa.array([None if i < len(counts) and counts[i] is None else o for i, o in enumerate(offsets)], pa.int32())
-                kept = [batch.column(i)[a:b] for i in (0, 1, *range(3, batch.num_columns))]
-                columns = [*kept, pa.ListArray.from_arrays(marks, structs), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "text", *keep, "samples", "round_trip"])
-
+            for part in slices(batch, 1, CHARS):
+                texts, seeds = part.column(1).to_pylist(), part.column(2).to_numpy().view(np.uint64)
+                lists, same = samples(lattice, texts, seeds)
+                lattice.trim(KEPT_EDGES)
+                kept = [part.column(i) for i in (0, 1, *range(3, part.num_columns))]
+                yield pa.RecordBatch.from_arrays([*kept, lists, same], names=[key, "text", *keep, "samples", "round_trip"])
+
+    bounded_batches(df)
     rows = df.select(F.col(key), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_seed")
     return rows.mapInArrow(encode, schema + ", samples array<struct<ids: array<int>, log_p: double, perturbed: double, log_inclusion: double>>, round_trip boolean")

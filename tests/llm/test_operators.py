@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,20 +195,48 @@ def test_pieces_are_gumbel_top_k():
     go(0, [], 0.0)
     p = np.exp([s for _, s in found])
     chance = dict(zip([s for s, _ in found], p / p.sum(), strict=True))
-    numbers = pieces._Numbers()
-    units = np.array([numbers[u] for u in pieces._units(v, text)])
-    lattice = pieces.Lattice(v, list(numbers))
-    paths, after = pieces.top_k(lattice, [units] * n, np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 3)
-    first, total = {}, 0.0
-    for own, limit in zip(paths, after, strict=True):
-        for k, path in enumerate(own):
-            ids = tuple(pieces.ids_of(v, lattice, path.edges).tolist())
-            assert abs(math.exp(path.log_p) - chance[ids]) < 1e-9
-            total += chance[ids] / -math.expm1(-chance[ids] * limit)
-            if k == 0:
-                first[ids] = first.get(ids, 0) + 1
+    lattice = pieces.Lattice(v)
+    units = lattice.numbered([pieces._units(v, text)])[0]
+    seeds = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    paths, after = pieces.top_k(lattice, [units] * n, seeds, 3)
+    drawn, total = [[] for _ in range(n)], 0.0
+    for own in paths:
+        for row, a, m, log_p in zip(own.texts, own.begins, own.sizes, own.log_p, strict=True):
+            ids = tuple(pieces.ids_of(v, lattice, own.edges[a : a + m])[0].tolist())
+            assert abs(math.exp(log_p) - chance[ids]) < 1e-9
+            total += chance[ids] / -math.expm1(-chance[ids] * after[row])
+            drawn[row].append(ids)
     assert abs(total / n - 1) < 0.02  # each sample weighted by its inclusion probability
-    assert all(abs(first.get(ids, 0) / n - q) < 0.02 for ids, q in chance.items())
+    assert all(len(set(x)) == len(x) == 3 for x in drawn)
+    first = Counter(x[0] for x in drawn)
+    assert all(abs(first[ids] / n - q) < 0.02 for ids, q in chance.items())
+    pairs = Counter(tuple(x[:2]) for x in drawn)  # the joint order of two: p(a) p(b) / (1 - p(a))
+    assert all(abs(pairs[one, two] / n - p1 * p2 / (1 - p1)) < 0.02 for one, p1 in chance.items() for two, p2 in chance.items() if one != two)
+
+
+def test_pieces_do_not_depend_on_the_chunk():
+    """Units of earlier chunks, kept or trimmed, change nothing."""
+    v, texts = pieces.load(), ["one two three", "zwei drei", "xq one 日本 🙂 two", ""]
+    seeds = np.arange(4, dtype=np.uint64) + np.uint64(5)
+
+    def told(lattice, some):
+        rows = lattice.numbered([pieces._units(v, texts[i]) for i in some])
+        paths, after = pieces.top_k(lattice, rows, seeds[some], 2)
+        out = {}
+        for own in paths:
+            for row, a, m in zip(own.texts, own.begins, own.sizes, strict=True):
+                out.setdefault(some[row], []).append(pieces.ids_of(v, lattice, own.edges[a : a + m])[0].tolist())
+        return out, after.tolist()
+
+    alone = {}
+    for i in range(4):
+        alone |= told(pieces.Lattice(v), [i])[0]
+    for most in (1, 40, 1 << 20):
+        lattice, got = pieces.Lattice(v), {}
+        for some in ([2, 0], [1], [3], [0, 1, 2]):
+            got |= told(lattice, some)[0]
+            lattice.trim(most)
+        assert got == alone
 
 
 def test_sharding(docs, empty):
