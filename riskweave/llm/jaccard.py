@@ -10,8 +10,10 @@ would say nothing: m leaves room for some.) Shingles that make up a FREQUENT-th
 ranges, which keeps that true, so that documents don't meet over a passage that many have. A document with too many
 empty ranges, as all its shingles are frequent or as chance has it, also sends keys made of all its shingles, with
 other salts if need be; two documents that have no other key in common both do. Sizes are grouped in bands, and a document sends keys for its band and, if it may link upwards, for the next.
-Documents that share a key, directly or over others, form a block. Equal sets are one class, by a 128-bit name; its
-least document stands for it from there on.
+What differs can spoil H ranges only, so documents that link share f - H keys at least, f being the ranges in which one
+of them has shingles. Documents that share fewer keys with others have no link and go; that is counted twice, as those
+that went may take others with them. The rest, directly or over others, form blocks by their shared keys. Equal sets are
+one class, by a 128-bit name; its least document stands for it in all that.
 
 Trees. Within a block, documents are leaves of a tree, ordered by size; every node holds the OR of its leaves' bitmaps,
 the range of their sizes and the largest excess of a set over its bits. Two nodes are traversed together and left if
@@ -19,9 +21,10 @@ even the largest possible overlap, |A & B| bits plus excess, is too small for th
 are in one component already. Leaves that remain are compared exactly.
 
 Blocks of more than CHUNK shingles are split. First each part is joined with itself, then the least members of the
-parts' components, then, only where a block still has several components, the documents outside its largest one
-with all others, part by part. So a block of near copies takes work in proportion to its size, and no link between
-different components is lost.
+parts' components. Where a block still has several components, its documents are joined key by key, as only those that
+share a key may link: for each key that several components have (of keys with the same documents one), the documents
+outside its largest component with all of the key's, part by part. So a block of near copies takes work in proportion to
+its size, and no link between different components is lost.
 
 Null ids: such rows have a size, link with nothing and get a null component. Null texts, and texts without words, have
 an empty set and link with nothing. Rows that share an id count as one document. An empty table gives an empty
@@ -34,12 +37,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table, written
+from riskweave.llm.common import BATCH_BYTES, bounded_batches, slices, table, written
 from riskweave.llm.graph import connected_components
-from riskweave.llm.words import chunks, grams, mix
+from riskweave.llm.words import Meetings, chunks, grams, mix, starts
 
 SHINGLE = 4
 SHARE = 85
@@ -49,7 +53,9 @@ FREQUENT = 1_000_000  # so at most as many shingles are frequent: 8 MB to broadc
 CHUNK = 1 << 20  # shingles of a tree
 FAN = 8
 PAIRS = 1024  # node pairs expanded at a time
-ASK, EDGE, SIZE = 0, 1, 2
+MAP_BITS = 28  # of all bitmaps of a tree's leaves, as a power of two
+NEED_BITS = 40
+ASK, KNOWN, SIZE = 0, 1, 2
 _ROWS = "kind byte, a long, b long, c long, d long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,13 +101,16 @@ def set_names(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def block_keys(values: np.ndarray, begins: np.ndarray, rare: np.ndarray, bands: list[tuple[int, int, int]], share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of some sets, and the set of each key. Rare shingles come first, all shingles (salts from 1) if need be."""
+def block_keys(values: np.ndarray, begins: np.ndarray, rare: np.ndarray, bands: list[tuple[int, int, int]], share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of some sets, the set of each key, and its round and how many keys of that round a link needs, as one number.
+
+    Rare shingles come first, all shingles (salts from 1) if need be.
+    """
     sizes = np.diff(begins)
     starts, differ, ranges = (np.array(x) for x in zip(*bands, strict=True))
     own = np.searchsorted(starts, sizes, side="right") - 1
     of = np.repeat(np.arange(len(sizes)), sizes)
-    keys, sets = [], []
+    keys, sets, needs = [], [], []
     for step in (0, 1):
         band = np.minimum(own + step, len(bands) - 1)
         open_ = sizes > 0
@@ -125,11 +134,14 @@ def block_keys(values: np.ndarray, begins: np.ndarray, rare: np.ndarray, bands:
             keys.append(mix(total + mix(tag)))
             sets.append(row)
             filled = np.bincount(row, minlength=len(sizes))
+            round_ = step * (SALTS + 2) + salt
+            needs.append((round_ << NEED_BITS) + np.maximum(1, filled - differ[band])[row])
             open_ &= (ranges - differ)[band] <= ranges[band] - filled
         left = np.flatnonzero(open_)  # by chance in all salts: next to none
         keys.append(mix(band[left].astype(np.uint64) * _ODD + np.uint64(12345)))
         sets.append(left)
-    return np.concatenate(keys), np.concatenate(sets)
+        needs.append(np.full(len(left), (step * (SALTS + 2) + SALTS + 1 << NEED_BITS) + 1))
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(needs)
 
 
 def _counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -138,7 +150,7 @@ def _counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, dtype=np.uint64)]
-            for chunk in chunks(batch.column(0).to_pylist()):
+            for chunk in chunks(batch.column(0).to_pylist()):  # a batch is of bounded size
                 all_of = grams(chunk.hashes(lower=True), n)
                 if len(all_of):
                     found.append(all_of[chunk.text_of[: len(all_of)] == chunk.text_of[n - 1 :]])
@@ -177,66 +189,72 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), *arrays], names=["kind", "a", "b", "c", "d"])
 
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The least document of each key, and an edge from it to each other one."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    begins = np.flatnonzero(first)
-    lead = docs[begins][np.cumsum(first) - 1] if len(docs) else docs
-    other = lead != docs
-    a, b = lead[other], docs[other]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return keys[begins], docs[begins], a[new], b[new]
-
-
 def _emit(n: int, share: int, frequent: Callable[[], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """SIZE rows (doc, size, name); KNOWN rows (doc, key, need) for keys that several documents of a batch have; ASK rows
+    (key, doc, need) for the least document of each key in the batch."""
     bands = band_table(share)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent()
         for batch in batches:
-            ids, valid = batch.column(0), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            doc = ids.fill_null(0).to_numpy()
-            keys, docs = [np.zeros(0, dtype=np.uint64)], [doc[:0]]
-            seen: set[tuple[int, int]] = set()
-            for first, values, begins in shingle_sets(batch.column(1).to_pylist(), n):
-                sizes = np.diff(begins)
-                one, two = set_names(values, begins)
-                yield _rows(SIZE, ids[first : first + len(sizes)], sizes, one, two)
-                fresh = valid[first : first + len(sizes)].copy()
-                for i in np.flatnonzero(fresh):  # equal sets of a batch send keys once
-                    name = (int(one[i]), int(two[i]))
-                    fresh[i] = name not in seen
-                    seen.add(name)
-                keep = np.repeat(fresh, sizes)
-                own = values[keep]
-                key, of = block_keys(own, np.concatenate(([0], np.cumsum(sizes * fresh))), ~_is_in(own, often), bands, share)
-                keys.append(key)
-                docs.append(doc[first + of])
-            key, lead, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
-            yield _rows(ASK, key, lead)
-            yield _rows(EDGE, a, b)
+            for part in slices(batch, 1, BATCH_BYTES):
+                yield from emitted(part, often)
+
+    def emitted(batch: pa.RecordBatch, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, valid = batch.column(0), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        doc = ids.fill_null(0).to_numpy()
+        keys, docs, needs = [np.zeros(0, dtype=np.uint64)], [doc[:0]], [doc[:0]]
+        seen: set[tuple[int, int]] = set()
+        for first, values, begins in shingle_sets(batch.column(1).to_pylist(), n):
+            sizes = np.diff(begins)
+            one, two = set_names(values, begins)
+            yield _rows(SIZE, ids[first : first + len(sizes)], sizes, one, two)
+            fresh = valid[first : first + len(sizes)].copy()
+            for i in np.flatnonzero(fresh):  # equal sets of a batch send keys once
+                name = (int(one[i]), int(two[i]))
+                fresh[i] = name not in seen
+                seen.add(name)
+            own = values[np.repeat(fresh, sizes)]
+            key, of, need = block_keys(own, np.concatenate(([0], np.cumsum(sizes * fresh))), ~_is_in(own, often), bands, share)
+            keys.append(key)
+            docs.append(doc[first + of])
+            needs.append(need)
+        key, of, need = np.concatenate(keys), np.concatenate(docs), np.concatenate(needs)
+        order = np.lexsort((of, key))
+        key, of, need = key[order], of[order], need[order]
+        later, several, _ = Meetings().feed([key], of)
+        asks = starts([key])
+        yield _rows(ASK, key[asks], of[asks], need[asks])
+        yield _rows(KNOWN, of[several], key[several], need[several])
 
     return emit
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between documents that share a key; the partition holds all rows of its keys."""
-    keys, docs = [], []
+    """KNOWN rows for what documents of different batches share; the partition holds all rows of its keys, in order."""
+    meetings = Meetings()
     for batch in batches:
-        ask = batch.column(0).to_numpy() == ASK
-        if not ask.all():
-            yield batch.filter(pa.array(~ask))
-        keys.append(batch.column(1).filter(pa.array(ask)).to_numpy())
-        docs.append(batch.column(2).filter(pa.array(ask)).to_numpy())
-    if keys:
-        _, _, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
-        yield _rows(EDGE, a, b)
+        ask = pc.equal(batch.column(0), ASK)
+        others = batch.filter(pc.invert(ask))
+        if others.num_rows:
+            yield others
+        key, doc, need = (batch.column(i).filter(ask).to_numpy() for i in (1, 2, 3))
+        _, several, owed = meetings.feed([key], doc, need)
+        yield _rows(KNOWN, owed[1], owed[0], owed[2])
+        yield _rows(KNOWN, doc[several], key[several], need[several])
+
+
+def linkable(known: DataFrame) -> DataFrame:
+    """doc, key, need and the least document of each key, for documents that share enough keys to have a link."""
+    held = known
+    for _ in range(2):
+        round_, least = F.shiftright("need", NEED_BITS), F.col("need").bitwiseAND((1 << NEED_BITS) - 1)
+        able = held.groupBy("doc", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("doc").alias("_doc")).distinct()
+        held = written(held.join(able, F.col("doc") == F.col("_doc")).select("doc", "key", "need"), "jaccard-able")
+        # As a table, so that the join deals both sides out anew and may split a key that very many documents have.
+        leads = written(held.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("_top")).where("lead < _top").drop("_top").withColumnRenamed("key", "_key"), "jaccard-leads")
+        held = written(held.join(leads, F.col("key") == F.col("_key")).select("doc", "key", "need", "lead"), "jaccard-shared")
+    return held
 
 
 class Tree:
@@ -247,10 +265,12 @@ class Tree:
         bits = 9
         while bits < 15 and 1 << bits < 4 * int(sizes.max(initial=1)):
             bits += 1
-        maps = np.zeros((len(sets), 1 << bits), dtype=bool)
-        for row, s in zip(maps, sets, strict=True):
-            row[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
-        packed = np.packbits(maps, axis=1).view(np.uint64)
+        while bits > 6 and len(sets) << bits > 1 << MAP_BITS:  # many short sets beside a long one: narrower maps, the same links
+            bits -= 1
+        packed = np.zeros((len(sets), 1 << bits >> 6), dtype=np.uint64)
+        if len(sets):
+            place = np.concatenate(sets) >> np.uint64(64 - bits)
+            np.bitwise_or.at(packed, (np.repeat(np.arange(len(sets)), sizes), (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
         excess = sizes - np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
         self.levels = [(packed, sizes, sizes, excess)]
         while len(packed) > 1:
@@ -291,13 +311,21 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, share: int, cross: np.
         i, j = _children(i, j, len(tree.levels[level - 1][1]))
     if top == 0:
         return []
-    cuts = np.arange(0, len(sets), FAN)
+    parent = list(range(int(labels.max()) + 1))  # of the components, as they join
+
+    def top_of(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    cuts, now = np.arange(0, len(sets), FAN), labels
     for a in range(0, len(i), PAIRS):
-        low, high = np.minimum.reduceat(labels, cuts), np.maximum.reduceat(labels, cuts)
+        now = np.fromiter(map(top_of, range(len(parent))), dtype=np.int64, count=len(parent))[labels]
+        low, high = np.minimum.reduceat(now, cuts), np.maximum.reduceat(now, cuts)
         x, y = i[a : a + PAIRS], j[a : a + PAIRS]
         apart = (np.minimum(low[x], low[y]) != np.maximum(high[x], high[y]))  # else all leaves are in one component
         x, y = _children(x[apart], y[apart], len(sets))
-        keep = (x != y) & (labels[x] != labels[y])
+        keep = (x != y) & (now[x] != now[y])
         if side is not None:
             keep &= side[x] != side[y]
         x, y = x[keep], y[keep]
@@ -305,17 +333,24 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, share: int, cross: np.
         x, y = x[keep], y[keep]
         by = np.argsort(x, kind="stable")
         for u, v in zip(x[by].tolist(), y[by].tolist(), strict=True):
-            if labels[u] == labels[v]:
+            one_top, two_top = top_of(int(labels[u])), top_of(int(labels[v]))
+            if one_top == two_top:
                 continue
             one, two = sets[u], sets[v]
             both = int(np.count_nonzero(one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two))
             if 100 * both >= share * (len(one) + len(two) - both):
-                labels[labels == labels[v]] = labels[u]
-    out = []
-    for label in np.unique(labels[labels != before]).tolist():
-        heads = np.unique(before[labels == label], return_index=True)[1]  # one set of each component that has joined
-        own = order[np.flatnonzero(labels == label)[heads]]
-        out += [(int(own[0]), int(x)) for x in own[1:]]
+                parent[max(one_top, two_top)] = min(one_top, two_top)
+    labels = np.fromiter(map(top_of, range(len(parent))), dtype=np.int64, count=len(parent))[labels]
+    out, changed = [], np.isin(labels, labels[labels != before])
+    at = np.flatnonzero(changed)
+    at = at[np.lexsort((at, before[at], labels[at]))]
+    heads = np.flatnonzero(np.concatenate(([True], before[at][1:] != before[at][:-1]))) if len(at) else at  # one set of each component that has joined
+    held = None
+    for k in at[heads].tolist():
+        if labels[k] != held:
+            held, lead = labels[k], int(order[k])
+        else:
+            out.append((lead, int(order[k])))
     return out
 
 
@@ -376,24 +411,29 @@ def _parts(members: DataFrame, fewest: int = 2) -> DataFrame:
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    bounded_batches(df)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     often = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
-    found = written(docs.mapInArrow(_emit(n, share, lambda: often.value), _ROWS).repartition("a").mapInArrow(_meet, _ROWS), "jaccard-keys")
+    rows = docs.mapInArrow(_emit(n, share, lambda: often.value), _ROWS)
+    found = written(rows.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_meet, _ROWS), "jaccard-keys")
     sizes = found.where(F.col("kind") == SIZE).select(F.col("a").alias("doc"), F.col("b").alias("size"), "c", "d")
     able = sizes.where("doc IS NOT NULL AND size > 0")
     # As a table, so that the join deals both sides out anew and may split a class with very many copies.
     least = written(able.groupBy("c", "d").agg(F.min("doc").alias("least")), "jaccard-least")
     classes = written(able.join(least, ["c", "d"]).select("doc", "size", "least"), "jaccard-classes")
     equal = classes.where("doc != least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
-    shared = found.where(F.col("kind") == EDGE).select("a", "b")
-    blocks = connected_components(shared.union(equal)).toDF("_doc", "block")
+    known = found.where(F.col("kind") == KNOWN).select(F.col("a").alias("_doc"), F.col("b").alias("key"), F.col("c").alias("need"))
+    known = known.join(classes, F.col("doc") == F.col("_doc")).groupBy(F.col("least").alias("doc"), "key").agg(F.max("need").alias("need"))
+    shared = linkable(known)
+    edges = shared.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+    blocks = connected_components(edges).toDF("_doc", "block")
     heads = classes.where("doc = least").select("doc", "size").distinct()
     members = written(_parts(heads.join(blocks, F.col("doc") == F.col("_doc")).drop("_doc")), "jaccard-blocks")
     plain = members.withColumns({"side": F.lit(0), "label": F.col("doc")})
     links = written(_tree_links(docs, plain, ["block", "part"], n, share), "jaccard-links")
     large = members.where("parts > 1")
     if not large.isEmpty():
-        links = links.union(_large_blocks(docs, large, links, n, share))
+        links = links.union(_large_blocks(docs, large, shared, links, n, share))
     parts = connected_components(links.union(equal)).toDF("_doc", "component")
     rows = sizes.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"))
     joined = rows.join(parts, F.col("doc_id") == F.col("_doc"), "left")
@@ -405,24 +445,35 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(now, F.col("doc") == F.col("_doc"), "left").withColumn("label", F.coalesce("component", "doc")).drop("_doc", "component")
 
 
-def _large_blocks(docs: DataFrame, large: DataFrame, links: DataFrame, n: int, share: int) -> DataFrame:
+def _large_blocks(docs: DataFrame, large: DataFrame, shared: DataFrame, links: DataFrame, n: int, share: int) -> DataFrame:
     """Further links of blocks that make several trees, such that no two of their components have a link left."""
     now = written(_labelled(large.select("block", "doc", "size"), links), "jaccard-large")
     tops = _parts(now.where("doc = label").select("block", "doc", "size")).withColumns({"side": F.lit(0), "label": F.col("doc")})
     more = written(_tree_links(docs, tops, ["block", "part"], n, share), "jaccard-links")
-    now = written(_labelled(large.select("block", "doc", "size", "part"), links.union(more)), "jaccard-large")
-    weights = now.groupBy("block", "label").agg(F.sum("size").alias("weight"))
-    main = weights.groupBy("block").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    open_ = main.where("labels > 1").withColumnRenamed("block", "_block")
-    rows = now.join(open_, F.col("block") == F.col("_block")).drop("_block")
-    # Joined with the whole block, so a single document counts as well.
-    minor = _parts(rows.where("label != main").select("block", "doc", "size", "label"), fewest=1)
-    cuts = minor.select("block", F.col("part").alias("cut")).distinct().withColumnRenamed("block", "_block")
-    others = rows.select("block", "part").distinct().withColumnRenamed("block", "_block").withColumnRenamed("part", "_part")
-    left = minor.select("block", F.col("part").alias("cut"), "doc", "label").join(others, F.col("block") == F.col("_block"))
-    left = left.select("block", "cut", F.col("_part").alias("part"), F.lit(0).alias("side"), "label", "doc")
-    right = rows.join(cuts, F.col("block") == F.col("_block")).select("block", "cut", "part", F.lit(1).alias("side"), "label", "doc")
-    return more.union(_tree_links(docs, left.union(right), ["block", "cut", "part"], n, share))
+    now = written(_labelled(large.select("block", "doc", "size"), links.union(more)), "jaccard-large")
+    left = now.groupBy("block").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select(F.col("block").alias("_block"))
+    if left.isEmpty():
+        return more
+    rows = now.join(left, F.col("block") == F.col("_block")).select(F.col("doc").alias("_doc"), "size", "label")
+    by_key = written(shared.select("doc", "key").join(rows, F.col("doc") == F.col("_doc")).drop("_doc"), "jaccard-by-key")
+    # One of the keys that have the same documents, of those with several components.
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc")).alias(f"mark{salt}")
+    open_ = by_key.groupBy("key").agg(mark(1), mark(2), F.count(F.lit(1)).alias("n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    open_ = written(open_.groupBy("mark1", "mark2", "n").agg(F.min("key").alias("block")).select("block"), "jaccard-open-keys")
+    groups = written(_parts(by_key.join(open_, F.col("key") == F.col("block")).drop("key"), fewest=1), "jaccard-key-groups")
+    weights = groups.groupBy("block", "label").agg(F.sum("size").alias("weight"))
+    main = weights.groupBy(F.col("block").alias("_block")).agg(F.max_by("label", F.struct("weight", "label")).alias("main"))
+    marked = groups.join(main, F.col("block") == F.col("_block")).drop("_block")
+    small = marked.where("parts = 1").select("block", F.lit(0).alias("cut"), "part", F.lit(0).alias("side"), "label", "doc")
+    # Joined with the whole group, so a single document counts as well.
+    wide = marked.where("parts > 1")
+    minor = _parts(wide.where("label != main").select("block", "doc", "size", "label"), fewest=1)
+    cuts = minor.select(F.col("block").alias("_block"), F.col("part").alias("cut")).distinct()
+    others = wide.select(F.col("block").alias("_block"), F.col("part").alias("_part")).distinct()
+    left_side = minor.select("block", F.col("part").alias("cut"), "doc", "label").join(others, F.col("block") == F.col("_block"))
+    left_side = left_side.select("block", "cut", F.col("_part").alias("part"), F.lit(0).alias("side"), "label", "doc")
+    right_side = wide.join(cuts, F.col("block") == F.col("_block")).select("block", "cut", "part", F.lit(1).alias("side"), "label", "doc")
+    return more.union(written(_tree_links(docs, small.union(left_side).union(right_side), ["block", "cut", "part"], n, share), "jaccard-links"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +484,7 @@ def one_of_each(docs: DataFrame, n: int = SHINGLE, share: int = SHARE) -> DataFr
     """Rows of the documents table without those whose component has a smaller document."""
     parts = similar_components(docs, n=n, share=share)
     losers = parts.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(losers, docs["doc_id"] == F.col("_id"), "left_anti")
+    return docs.join(losers, docs["doc_id"] == losers["_id"], "left_anti")
 
 
 ORACLE = """

@@ -105,3 +105,50 @@ def first_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new[1:] = sorted_keys[1:] != sorted_keys[:-1]
     begins = np.flatnonzero(new)
     return order, begins, np.cumsum(new) - 1, values[order[begins]]
+
+
+class Meetings:
+    """Rows in order of key and document, a batch at a time: which of them meet another document at their key.
+
+    A key is one or several columns. Only the first document of the last key is held from batch to batch, so memory
+    doesn't grow with a key's rows.
+    """
+
+    def __init__(self) -> None:
+        self.key, self.doc, self.row, self.met = None, None, None, False
+
+    def feed(self, keys: list[np.ndarray], docs: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """For each row: is its document greater than the key's first; does the key have several documents so far; and,
+        apart, the row (keys, doc, values) of an earlier batch that has just met its first other document."""
+        n = len(docs)
+        owed = [x[:0] for x in (*keys, docs, *values)]
+        if not n:
+            return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool), owed
+        first = starts(keys)
+        goes_on = self.key is not None and all(k[0] == x for k, x in zip(keys, self.key, strict=True))
+        begins = np.flatnonzero(first)
+        lead = docs[begins]
+        if goes_on:
+            lead[0] = self.doc
+        run = np.cumsum(first) - 1
+        later = docs > lead[run]
+        several = np.logical_or.reduceat(later, begins)
+        if goes_on:
+            if several[0] and not self.met:
+                owed = self.row
+            several[0] |= self.met
+        if not goes_on or len(begins) > 1:
+            at = begins[-1]
+            self.row = [x[at : at + 1].copy() for x in (*keys, docs, *values)]
+        self.key, self.doc, self.met = [k[-1] for k in keys], lead[-1], bool(several[-1])
+        return later, several[run], owed
+
+
+def starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = columns[0][1:] != columns[0][:-1]
+    for x in columns[1:]:
+        new[1:] |= x[1:] != x[:-1]
+    return new
