@@ -12,11 +12,12 @@ symbol, with the least document; a shuffle by name tells documents which of thei
 
 Verify: only windows whose picked symbol is shared, and those that have none, are named themselves and shuffled; a
 window is removed where a smaller document has it. Windows inside a long symbol that a smaller document has are
-settled without that.
+settled without that. What removes words, a window or a long symbol, goes by two independent names of 64 bits each, both
+made of its words; so two different windows are taken for one with a chance of 2**-128 a pair.
 
 Before each shuffle a task keeps one row for a name and batch of rows, so a name that a third of all documents
-have sends one row from each batch. Names are of 64 bits: two different windows are taken for one with a chance of
-2**-64 a pair.
+have sends one row from each batch. Behind it Spark sorts each partition by name, and the rows are read in that order, so
+no partition is held in a worker.
 
 Rows with a null id remove nothing from others and lose nothing; null texts have no words. Rows that share an id
 count as one document. An empty table gives an empty result; only the id and the text are read.
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table
-from riskweave.llm.words import Chunk, chunks, mix, powers
+from riskweave.llm.common import BATCH_BYTES, bounded_batches, slices, table
+from riskweave.llm.words import Chunk, Meetings, chunks, mix, powers, starts
 
 WINDOW = 13
 LONG = 52  # words of a symbol that settles windows by itself
@@ -42,8 +43,10 @@ _FAR = 1 << 60
 ASK, KNOWN, SPAN = 0, 1, 2
 
 
-def span_names(names: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A name for the words from begins to ends."""
+def span_names(names: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A name for the words from begins to ends; with ``other``, one that is independent of the first."""
+    if other:
+        names = mix(names ^ np.uint64(0xA3B195354A39B70D))
     up, down = powers(len(names) + 1)
     sums = np.zeros(len(names) + 1, dtype=np.uint64)
     np.cumsum(names * up[: len(names)], out=sums[1:])
@@ -151,6 +154,7 @@ class Parse:
         self.names = np.zeros(held, dtype=np.uint64)
         self.names[used] = span_names(names, self.low[used], self.high[used]) & ~np.uint64(1)
         self.used, self.text_of = used, chunk.text_of
+        self.long_other = span_names(names, self.long_begin, self.long_end, other=True)
 
     def _long(self, symbols: Symbols, at: np.ndarray) -> None:
         self.long_name.append(symbols.name[at] | np.uint64(1))
@@ -180,57 +184,47 @@ class Parse:
         return held + len(begin)
 
 
-def lead(keys: np.ndarray, docs: np.ndarray, either: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (key, doc, kind) for a batch: what the batch itself tells is KNOWN, and the least document of a key asks.
+def lead(keys: np.ndarray, others: np.ndarray, docs: np.ndarray, either: np.ndarray) -> list[np.ndarray]:
+    """Rows (key, other, doc, kind) for a batch: what the batch itself tells is KNOWN, and the least document of a key asks.
 
     A key with ``either`` is of interest to all its documents if there are two; any other to all but the least.
     """
-    order = np.lexsort((docs, keys))
-    keys, docs, either = keys[order], docs[order], either[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs, either = keys[new], docs[new], either[new]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    more = np.zeros(len(keys), dtype=bool)
-    more[:-1] = ~first[1:]
-    also = first & more & either
-    out = np.concatenate((np.flatnonzero(first), np.flatnonzero(~first | also)))
+    ids, rank = np.unique(docs, return_inverse=True)
+    rank = rank.astype(np.uint16) if len(ids) < 1 << 16 else rank  # short numbers sort faster
+    order = np.lexsort((rank, others, keys))
+    keys, others, rank, either = keys[order], others[order], rank[order], either[order]
+    new = starts([keys, others, rank])
+    keys, others, rank, either = keys[new], others[new], rank[new], either[new]
+    later, several, _ = Meetings().feed([keys, others], rank)
+    out = np.concatenate((np.flatnonzero(starts([keys, others])), np.flatnonzero(later | (several & either))))
     kind = np.full(len(out), KNOWN, dtype=np.int8)
-    kind[: int(first.sum())] = ASK
-    return keys[out], docs[out], kind
+    kind[: len(out) - int((later | (several & either)).sum())] = ASK
+    return [keys[out], others[out], ids[rank[out]], kind]
 
 
-def _batch(keys: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds)], names=["key", "doc", "kind"])
+def _batch(keys: np.ndarray, others: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(others.view(np.int64)), pa.array(docs), pa.array(kinds)], names=["key", "other", "doc", "kind"])
+
+
+_ROWS = "key long, other long, doc long, kind byte"
 
 
 def _decide(all_even: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Answers for a partition that holds all rows of its keys. Even keys interest all their documents, if asked for."""
+    """Answers for a partition that holds all rows of its keys, in order. Even keys interest all their documents, if asked for."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, told = [], [], []
+        meetings = Meetings()
         for batch in batches:
-            key, doc, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield _batch(key[kind != ASK], doc[kind != ASK], kind[kind != ASK])
-            told.append(np.unique(key[kind == KNOWN]))
-            keys.append(key[kind == ASK])
-            docs.append(doc[kind == ASK])
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        keys = docs = None
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        begins = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        later = doc > doc[begins][group] if len(doc) else first
-        if all_even:
-            several = np.maximum.reduceat(later, begins)[group] if len(doc) else later
-            later = np.where(key & 1 == 0, several, later)
-        yield _batch(key[later], doc[later], np.full(int(later.sum()), KNOWN, dtype=np.int8))
+            key, other, doc, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            told, ask = kind != ASK, kind == ASK
+            yield _batch(key[told], other[told], doc[told], kind[told])
+            key, other, doc, kind = key[ask], other[ask], doc[ask], kind[ask]
+            later, several, owed = meetings.feed([key, other], doc, kind)
+            if all_even:
+                later = np.where(key & 1 == 0, several, later)
+                if len(owed[0]) and owed[0][0] & 1 == 0:
+                    yield _batch(*owed[:3], np.full(1, KNOWN, dtype=np.int8))
+            yield _batch(key[later], other[later], doc[later], np.full(int(later.sum()), KNOWN, dtype=np.int8))
 
     return decide
 
@@ -243,26 +237,39 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None]]:
 
 def _reveal(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, texts = _texts(batch)
-            keys, docs = [np.zeros(0, dtype=np.uint64)], [ids[:0]]
+            keys, others, docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)], [ids[:0]]
             for chunk in chunks(texts):
                 parse = Parse(chunk, chunk.hashes(), window, long)
                 keys += [parse.names[parse.used], parse.long_name]
+                others += [np.zeros(len(parse.used), dtype=np.uint64), parse.long_other]
                 docs += [ids[chunk.first + parse.text_of[parse.low[parse.used]]], ids[chunk.first + parse.long_text]]
             key = np.concatenate(keys)
-            yield _batch(*lead(key, np.concatenate(docs), key & np.uint64(1) == 0))
+            yield _batch(*lead(key, np.concatenate(others), np.concatenate(docs), key & np.uint64(1) == 0))
 
     return reveal
 
 
-def _within(names: np.ndarray, texts: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Whether each (name, text) has its name in the text's list."""
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, 1, BATCH_BYTES)
+
+
+def _within(names: np.ndarray, others: np.ndarray, texts: np.ndarray, lists: list[np.ndarray], other_lists: list[np.ndarray]) -> np.ndarray:
+    """Whether each (name, other name, text) has its names in the text's lists."""
     if not len(names):
         return np.zeros(0, dtype=bool)
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    tag = lambda name, text: mix(name + (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return np.isin(tag(names, texts), tag(np.concatenate(lists).view(np.uint64), of), kind="sort")
+    columns = [(np.concatenate(lists).view(np.uint64), names), (np.concatenate(other_lists).view(np.uint64), others), (of, texts)]
+    name, other, text = (np.concatenate((known.astype(own.dtype), own)) for known, own in columns)
+    mine = np.arange(len(text)) >= len(of)
+    order = np.lexsort((mine, other, text, name))
+    first = starts([name[order], other[order], text[order]])
+    listed = ~mine[order][first]  # a list's row comes first among equals
+    out = np.empty(len(order), dtype=bool)
+    out[order] = listed[np.cumsum(first) - 1]
+    return out[len(of) :]
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -273,19 +280,20 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             batch = batch.filter(batch.column(0).is_valid())
             ids, texts = _texts(batch)
-            shared = _lists(batch.column(3))
-            keys, docs, spans, span_docs = [np.zeros(0, dtype=np.uint64)], [ids[:0]], [], []
+            shared, shared_other = _lists(batch.column(3)), _lists(batch.column(4))
+            keys, others, docs, spans, span_docs = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)], [ids[:0]], [], []
             for chunk in chunks(texts):
                 names = chunk.hashes()
                 parse = Parse(chunk, names, window, long)
-                own = shared[chunk.first : chunk.first + chunk.n]
+                here = slice(chunk.first, chunk.first + chunk.n)
                 hit = np.zeros(len(parse.names) + 1, dtype=bool)
                 hit[-1] = True  # for windows that have no pick
-                hit[parse.used] = _within(parse.names[parse.used], parse.text_of[parse.low[parse.used]], own)
-                settled = np.flatnonzero(_within(parse.long_name, parse.long_text, own))
+                picked = parse.names[parse.used]
+                hit[parse.used] = _within(picked, np.zeros(len(picked), dtype=np.uint64), parse.text_of[parse.low[parse.used]], shared[here], shared_other[here])
+                settled = np.flatnonzero(_within(parse.long_name, parse.long_other, parse.long_text, shared[here], shared_other[here]))
                 begin, end = parse.long_begin[settled], parse.long_end[settled]
                 spans.append((begin - chunk.word_from[parse.long_text[settled]]) << 32 | (end - begin))
                 span_docs.append(ids[chunk.first + parse.long_text[settled]])
@@ -294,20 +302,21 @@ def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 np.add.at(open_, end - window + 1, -1)
                 at = parse.windows[hit[parse.pick] & (np.cumsum(open_)[parse.windows] == 0)]
                 keys.append(span_names(names, at, at + window))
+                others.append(span_names(names, at, at + window, other=True))
                 docs.append(ids[chunk.first + chunk.text_of[at]])
             key = np.concatenate(keys)
-            yield _batch(*lead(key, np.concatenate(docs), np.zeros(len(key), dtype=bool)))
+            yield _batch(*lead(key, np.concatenate(others), np.concatenate(docs), np.zeros(len(key), dtype=bool)))
             if spans:
                 span = np.concatenate(spans)
-                yield _batch(span, np.concatenate(span_docs), np.full(len(span), SPAN, dtype=np.int8))
+                yield _batch(span, np.zeros(len(span), dtype=np.uint64), np.concatenate(span_docs), np.full(len(span), SPAN, dtype=np.int8))
 
     return verify
 
 
 def _strip(window: int, original: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, gone, spans = batch.column(1).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4))
+        for batch in parts(batches):
+            texts, gone, gone_other, spans = batch.column(1).to_pylist(), *(_lists(batch.column(i)) for i in (3, 4, 5))
             for chunk in chunks(texts):
                 names = chunk.hashes()
                 n, here = len(names), slice(chunk.first, chunk.first + chunk.n)
@@ -319,7 +328,7 @@ def _strip(window: int, original: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 some[:] = [len(x) > 0 for x in gone[here]]
                 if some.any():
                     at = np.flatnonzero((chunk.text_of[: n - window + 1] == chunk.text_of[window - 1 :]) & some[chunk.text_of[: n - window + 1]])
-                    at = at[_within(span_names(names, at, at + window), chunk.text_of[at], gone[here])]
+                    at = at[_within(span_names(names, at, at + window), span_names(names, at, at + window, other=True), chunk.text_of[at], gone[here], gone_other[here])]
                     np.add.at(removed, at, 1)
                     np.add.at(removed, at + window, -1)
                 keep = np.cumsum(removed)[:n] == 0
@@ -352,19 +361,19 @@ def dedup_substrings(
     kept_text has the words that stay, joined by single spaces; with ``original``, a text that loses nothing stays as it
     is. The texts are shuffled by id once; both joins read that shuffle.
     """
+    bounded_batches(df)
     rest = F.struct(*keep) if keep else F.lit(None).cast("boolean")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest.alias("rest"))
     kind = docs.schema["rest"].dataType.simpleString()
-    rows = "key long, doc long, kind byte"
-    found = docs.select("doc_id", "text").mapInArrow(_reveal(window, long), rows).repartition("key").mapInArrow(_decide(True), rows)
-    shared = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("key").alias("shared"))
-    asked = docs.join(shared, docs["doc_id"] == shared["_doc"], "left").select("doc_id", "text", "rest", "shared")
-    told = asked.mapInArrow(_verify(window, long), rows).repartition("key").mapInArrow(_decide(False), rows)
-    gone = told.groupBy(F.col("doc").alias("_doc")).agg(
-        F.collect_list(F.when(F.col("kind") != SPAN, F.col("key"))).alias("gone"),
-        F.collect_list(F.when(F.col("kind") == SPAN, F.col("key"))).alias("spans"),
-    )
-    last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "rest", "gone", "spans")
+    sorted_by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "other", "doc")
+    lists = lambda wanted, *names: [F.collect_list(F.when(wanted, F.col(c))).alias(alias) for c, alias in names]
+    found = sorted_by_key(docs.select("doc_id", "text").mapInArrow(_reveal(window, long), _ROWS)).mapInArrow(_decide(True), _ROWS)
+    shared = found.groupBy(F.col("doc").alias("_doc")).agg(*lists(F.lit(True), ("key", "shared"), ("other", "shared_other")))
+    asked = docs.join(shared, docs["doc_id"] == shared["_doc"], "left").select("doc_id", "text", "rest", "shared", "shared_other")
+    told = sorted_by_key(asked.mapInArrow(_verify(window, long), _ROWS)).mapInArrow(_decide(False), _ROWS)
+    is_span = F.col("kind") == SPAN
+    gone = told.groupBy(F.col("doc").alias("_doc")).agg(*lists(~is_span, ("key", "gone"), ("other", "gone_other")), *lists(is_span, ("key", "spans")))
+    last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "rest", "gone", "gone_other", "spans")
     return last.mapInArrow(_strip(window, original), f"doc_id long, n_words long, n_removed long, kept_text string, rest {kind}")
 
 
