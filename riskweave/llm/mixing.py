@@ -9,7 +9,8 @@ block are permuted once more.
 
 Nulls: rows without a source form a source of their own; a null or empty text counts as one token, so that every
 row has a place. Repeated rows (the same id and source) move together and are all kept. An empty table gives an
-empty result. Only the id, source and text columns are read here.
+empty result. Only the id, source and text columns are read here, and those of a clashing name stay as they are. A long
+text is one unit like any other; of units with equal places in a permutation, the smaller id comes first.
 """
 
 from __future__ import annotations
@@ -163,7 +164,8 @@ def mixed_documents(docs: DataFrame, **limits: object) -> DataFrame:
     times = mixture(docs, **limits).groupBy("id", "source").agg(F.count(F.lit(1)).cast("int").alias("_times"))
     times = times.select(F.col("id").alias("_id"), F.col("source").alias("_source"), "_times")
     same = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"])
-    return docs.join(times, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_times")).alias("_copy")).drop("_copy")
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
+    return docs.join(times, same).select(row.alias("row"), F.explode(F.sequence(F.lit(1), times["_times"])).alias("copy")).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
