@@ -8,9 +8,14 @@ so the second product is done once.
 
 Every language is learnt. The fit uses up to PER_LANG rows of each, taken in hash order, and SAMPLE rows in all: with
 more than SAMPLE / PER_LANG languages each gets an equal share, one row at least, and MARKS landmarks as long as these
-are MOST_MARKS at most, one at least. The weights take 4 * DIM bytes a language. The scoring covers all rows and whole
-texts. Nulls: null text, or one without a letter, is ``und`` with score 0; rows without a language are not learnt from. With nothing to learn from, every row is ``und``. Repeated rows get equal values. An
-empty table gives an empty result; other columns are not read.
+are MOST_MARKS at most, one at least. All its texts come to FIT_BYTES at most, dealt to the languages alike (one row each
+may go beyond). An id counts once, with the least of its rows by language and hash. The weights take 4 * DIM bytes a
+language. The scoring covers all rows and whole texts, however long.
+
+Nulls: null text, or one without a letter, is ``und`` with score 0; rows without a language are not learnt from; a null
+id is an id like any other. With nothing to learn from, every row is ``und``. Of languages with equal scores the first
+by name is told. Repeated rows get equal values. An empty table gives an empty result; other columns are not read, and
+may have any name.
 """
 
 from __future__ import annotations
@@ -23,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table
+from riskweave.llm.common import BATCH_BYTES, bounded_batches, slices, table
 
 DIM = 1 << 15
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 400
 SAMPLE = 6400
+FIT_BYTES = 32 << 20
 LANDMARKS = 256
 MARKS = 16  # of each language, where there are more than LANDMARKS / MARKS
 MOST_MARKS = 1024
@@ -84,21 +90,25 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column) -> list[tuple[str, str]]:
     """The bounded sample: ids first, from two narrow columns, then their texts."""
     able = F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]")  # as _LETTER
-    known = docs.where(learn & F.col(lang).isNotNull() & able).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
-    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
+    rows = docs.where(learn & F.col(lang).isNotNull() & able).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = rows.select("id", "lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     each = max(1, min(PER_LANG, SAMPLE // max(1, len(counts))))
     # A hash threshold leaves about four times the rows wanted of each language, so that few rows are ranked at any size;
     # at least 64, so that none loses all its rows.
-    order = F.xxhash64("_key")
+    order = F.xxhash64("id")
     shares = [(name, min(1.0, max(64, 4 * each) / count)) for name, count in counts.items()]
     shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "_name string, _share double"))
-    few = known.join(shares, F.col("_lang") == F.col("_name")).where(F.shiftrightunsigned(order, 11) < F.col("_share") * float(1 << 53))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_key"))
-    picked = few.withColumn("_rank", rank).where(F.col("_rank") <= each).select("_key").distinct()
+    few = known.join(shares, F.col("lang") == F.col("_name")).where(F.shiftrightunsigned(order, 11) < F.col("_share") * float(1 << 53))
+    few = few.groupBy("id").agg(F.min(F.struct("lang", "hash", "size")).alias("row")).select("id", "row.*")
+    by = Window.partitionBy("lang").orderBy(order, "id")
+    ranked = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= each).withColumn("_sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    picked = ranked.where((F.col("_rank") == 1) | (F.col("_sum") <= FIT_BYTES // max(1, len(counts)))).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("hash").alias("_hash"))
     # At most SAMPLE ids, or one a language: safe to broadcast.
-    got = docs.where(learn).join(F.broadcast(picked), F.col(key) == F.col("_key"), "left_semi").select(key, text, lang).collect()
-    got = [r for r in got if r[1] is not None and r[2] in counts and _LETTER.search(r[1])]
-    return [(r[1], r[2]) for r in sorted(got, key=lambda r: (hash_order(r[0]), r[2], r[1]))]
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
+    got = rows.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["id"]).collect()
+    got = [r for r in got if r["lang"] in counts and _LETTER.search(r["text"])]
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (hash_order(r["id"]), r["lang"], r["text"]))]
 
 
 def hash_order(key: object) -> int:
@@ -107,26 +117,33 @@ def hash_order(key: object) -> int:
     return zlib.crc32(repr(key).encode())
 
 
-def identify(df: DataFrame, key: str, text: str, langs: list[str], weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, kept columns, lang_pred and score of every row."""
+def _told(rows: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
+    """lang_pred and score beside the columns of (rest, text); a text goes to Python once."""
+    bounded_batches(rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            pred, best = ["und"] * len(texts), np.zeros(len(texts))
-            able = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
-            for a in range(0, len(able), ROWS):
-                some = able[a : a + ROWS]
-                values = presence([texts[i] for i in some]) @ weights
-                top = values.argmax(axis=1)
-                for i, j in zip(some, top, strict=True):
-                    pred[i] = langs[j]
-                best[some] = np.clip(values[np.arange(len(some)), top], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(best)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
-
-    rows = df.select(key, *keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double")
+        for whole in batches:
+            for batch in slices(whole, 1, BATCH_BYTES):
+                texts = batch.column(1).to_pylist()
+                pred, best = ["und"] * len(texts), np.zeros(len(texts))
+                able = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
+                for a in range(0, len(able), ROWS):
+                    some = able[a : a + ROWS]
+                    values = presence([texts[i] for i in some]) @ weights
+                    top = values.argmax(axis=1)
+                    for i, j in zip(some, top, strict=True):
+                        pred[i] = langs[j]
+                    best[some] = np.clip(values[np.arange(len(some)), top], 0, 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(best)], names=["rest", "text", "lang_pred", "score"])
+
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(score, f"rest {kind}, text string, lang_pred string, score double")
+
+
+def identify(df: DataFrame, key: str, text: str, langs: list[str], weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, kept columns, lang_pred and score of every row."""
+    told = _told(df.select(F.struct(key, *keep).alias("rest"), F.col(text).alias("text")), langs, weights)
+    return told.select("rest.*", "lang_pred", "score")
 
 
 def held_out(key: Column) -> Column:
@@ -145,7 +162,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of the documents table whose language is told with a score of REJECT or more."""
+    """Rows of the documents table whose language is told with a score of REJECT or more.
+
+    If no row has a language to learn from, there is nothing to tell a text by: all rows stay.
+    """
     langs, weights = trained(docs)
-    told = identify(docs.withColumn("_copy", F.col("text")), "doc_id", "_copy", langs, weights, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(*docs.columns)
+    if not langs:
+        return docs
+    others = [c for c in docs.columns if c != "text"]
+    told = _told(docs.select(F.struct(*others).alias("rest"), "text"), langs, weights)
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT))
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
