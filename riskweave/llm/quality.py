@@ -1,18 +1,21 @@
 """Quality rules: counts and fixed limits, then a trained model's verdict.
 
-The model is a logistic regression on hashed n-grams: words (1 and 2) and bytes (2 and 4). A text's feature in a
+The model is a logistic regression on hashed n-grams: words (1 and 2) and characters (2 and 4). A text's feature in a
 family is the share of its n-grams that fall in a hashed place, so that a score is a sum of mean weights and needs no
-counting table. Platt's scaling on rows that the fit hasn't seen makes the score a probability; a text is kept from
-KEEP_AT upwards. The fit uses up to SAMPLE labelled rows in hash order; counts and scores cover all rows and whole
-texts.
-
-Nulls: a null text has no words and fails the base rules; rows without a quality label are not learnt from. With no
-labels of both kinds, the base rules alone decide. Repeated rows get equal values. An empty table gives an empty
-result; other columns are not read.
+counting table. The steps of the fit end when rows that it doesn't see get no better. Platt's scaling on those rows makes
+the score a probability; a text is kept from KEEP_AT upwards. The fit uses up to SAMPLE labelled rows in hash order, as far
+as their texts come to FIT_BYTES (an id counts once, with its row of least hash); counts and scores cover all rows and
+whole texts, however long.
+
+Nulls: a null text has no words and fails the base rules; rows without a quality label are not learnt from, nor are null
+ids, which are scored like others. With no labels of both kinds, the base rules alone decide; of an id's several labels
+the greatest counts. Repeated rows get equal values. An empty table gives an empty result; other columns are not read,
+and may have any name.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table
+from riskweave.llm.common import BATCH_BYTES, bounded_batches, slices, table
 from riskweave.llm.words import Chunk, chunks, grams, mix
 
 SAMPLE = 3000
+FIT_BYTES = 16 << 20
 PLACES = 1 << 15  # of each family
-STEPS = 120
+STEPS, CHECK = 120, 10  # at most; and how many between two looks at the rows that the fit doesn't see
 RATE = 1.0
 DECAY = 1e-7
 MIN_WORDS = 50
@@ -79,17 +83,19 @@ def families(chunk: Chunk, names: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     twos = grams(names, 2)
     inside = np.flatnonzero(chunk.text_of[:-1] == chunk.text_of[1:]) if len(twos) else np.zeros(0, dtype=np.int64)
     out.append(((twos[inside] >> np.uint64(40)).astype(np.int64) % PLACES, chunk.text_of[inside]))
-    sizes = chunk.ends - chunk.begins - 1
-    buf = chunk.buf.astype(np.uint32)
+    chars = np.frombuffer(chunk.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    upto = np.concatenate(([0], np.cumsum((chunk.buf & 0xC0) != 0x80)))  # characters before a byte
+    begins = upto[chunk.begins]
+    sizes = upto[chunk.ends] - begins - 1
     for n in (2, 4):
-        name = np.zeros(max(0, len(buf) - n + 1), dtype=np.uint32)
+        name = np.zeros(max(0, len(chars) - n + 1), dtype=np.uint32)
         for k in range(n):
-            name = (name + buf[k : k + len(name)] + np.uint32(1)) * np.uint32(0x9E3779B1)
+            name = (name + chars[k : k + len(name)] + np.uint32(1)) * np.uint32(0x9E3779B1)
             name ^= name >> np.uint32(15)
         counts = np.maximum(sizes - n + 1, 0)
         of = np.repeat(np.arange(chunk.n), counts)
         first = np.cumsum(counts) - counts
-        at = np.arange(len(of)) - np.repeat(first - chunk.begins, counts)
+        at = np.arange(len(of)) - np.repeat(first - begins, counts)
         out.append(((name[at] & np.uint32(PLACES - 1)).astype(np.int64), of))
     return out
 
@@ -125,6 +131,8 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None:
     w, bias = np.zeros(4 * PLACES), 0.0
     m, v = np.zeros(4 * PLACES + 1), np.zeros(4 * PLACES + 1)
     score = np.zeros(len(rows))
+    held = test if test.any() else ~test
+    least, best = np.inf, (w, score)
     for step in range(1, STEPS + 1):
         error = share * (1 / (1 + np.exp(-np.clip(score + bias, -30, 30))) - wanted)
         slope = np.append(np.bincount(idx, weights=val * error[of], minlength=4 * PLACES) + DECAY * w, error.sum())
@@ -132,7 +140,13 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None:
         change = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - change[:-1], bias - 0.1 * change[-1]
         score = np.bincount(of, weights=val * w[idx], minlength=len(rows))
-    held = test if test.any() else ~test
+        if step % CHECK == 0:
+            said = np.clip(score[held] + bias, -30, 30)
+            loss = float(np.mean(np.log1p(np.exp(said)) - wanted[held] * said))
+            if loss >= least:
+                break
+            least, best = loss, (w, score)
+    w, score = best
     return w.reshape(4, PLACES).astype(np.float32), *platt(score[held], wanted[held])
 
 
@@ -150,14 +164,26 @@ def platt(score: np.ndarray, wanted: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Up to SAMPLE labelled texts: the ids that come first in hash order."""
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("_label"))
+    """Up to SAMPLE labelled texts of FIT_BYTES in all: the ids that come first in hash order."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # so at most SAMPLE rows are broadcast
-    picked = picked.select(F.col("doc_id").alias("_id"), "_label")
-    got = docs.join(F.broadcast(picked), docs["doc_id"] == F.col("_id")).select("_id", "text", "_label").collect()
-    got = sorted({r["_id"]: r for r in sorted(got, key=lambda r: r["text"] or "")}.values(), key=lambda r: r["_id"])
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), "label"))
+    narrow = rows.join(picked, F.col("id") == F.col("_id")).select("id", "label", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    narrow = narrow.groupBy("id", "label").agg(F.min(F.struct("hash", "size")).alias("row")).select("id", "label", "row.*")
+    chosen, left = [], FIT_BYTES
+    for r in sorted(narrow.collect(), key=lambda r: (zlib.crc32(repr(r["id"]).encode()), r["id"])):  # SAMPLE narrow rows at most
+        left -= r["size"]
+        if left < 0:
+            break
+        chosen.append((r["id"], r["hash"], r["label"]))
+    if not chosen:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id long, _hash long, label int"))
+    got = rows.join(wanted, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).dropDuplicates(["id"]).collect()
+    got = sorted(got, key=lambda r: r["id"])
     order = np.random.default_rng(5).permutation(len(got))
-    return [(got[i]["text"] or "", int(got[i]["_label"])) for i in order]
+    return [(got[i]["text"], int(got[i]["label"])) for i in order]
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -167,7 +193,7 @@ def rate(df: DataFrame, key: str, text: str, model: tuple[np.ndarray, float, flo
     """key, the counts and the calibrated probability (null without a model) of every row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH_BYTES)):
             texts = batch.column(1).to_pylist()
             for chunk in chunks(texts):
                 names = chunk.hashes()
@@ -183,6 +209,7 @@ def rate(df: DataFrame, key: str, text: str, model: tuple[np.ndarray, float, flo
                     names=[key, *COLUMNS, "quality_p"],
                 )
 
+    bounded_batches(df)
     rows = df.select(key, text)
     kinds = ", ".join(f"{c} bigint" for c in COLUMNS)
     return rows.mapInArrow(score, f"`{key}` {rows.schema[key].dataType.simpleString()}, {kinds}, quality_p double")
