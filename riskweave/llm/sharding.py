@@ -5,8 +5,9 @@ product, as in the usual generator, is an overflow error under ANSI arithmetic).
 and the shard count alone; with one more shard, a row either stays or moves into the new one.
 
 Nulls: a null key hashes like a value of its own; a null text has size 8 and the CRC of no bytes. Repeated rows
-share a shard and get slots of their own. An empty table gives an empty result. Columns of the input other than
-the key and the text are never looked at, so their names can't clash.
+share a shard and get slots of their own, side by side; they are counted first, so a row that is repeated very often
+isn't sorted in one task. A long text only adds to the scan: its size and checksum go on. An empty table gives an empty
+result. Columns of the input other than the key and the text are never looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -55,18 +56,15 @@ def assign_shards(df: DataFrame, key: str, text: str, shards: int) -> DataFrame:
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
     ).withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), "text_crc32", "size"), F.lit(BUCKETS)))
-    sizes = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    units = rows.groupBy("shard", "grown_shard", "_bucket", key, "size", "text_crc32").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = units.groupBy("shard", "_bucket").agg(F.sum("_rows").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32", "size")
-    return rows.join(starts, ["shard", "_bucket"]).select(
-        key,
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("_start") + F.row_number().over(within) - 1).cast("long").alias("slot"),
-        "grown_shard",
+    within = Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_start") + F.coalesce(F.sum("_rows").over(within), F.lit(0))
+    placed = units.join(starts, ["shard", "_bucket"]).withColumn("_first", first)
+    return placed.select(
+        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("_first", F.col("_first") + F.col("_rows") - 1)).alias("slot"), "grown_shard"
     )
 
 
