@@ -6,8 +6,9 @@ by lookup tables, decodes ADPCM step by step across all blocks of a batch at onc
 a four-tap filter in integers and returns PCM and features of it.
 
 Nulls: a null text is an empty one, which is stored as one block of spaces; a null media value gives nulls. Long
-texts make a batch of their own. Equal rows give equal values. An empty table gives an empty result. Only the named
-columns are read, so other columns may have any name.
+texts make a batch of their own. Equal rows give equal values; a null key is a key like any other, and rows that repeat
+one keep a row each. An empty table gives an empty result. Only the named columns are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import table
+from riskweave.llm.common import bounded_batches, table
 
 BLOCK = 192  # bytes of an ADPCM block: 4 of header, 188 of two samples each
 RATE = 8000
@@ -172,6 +173,8 @@ def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def store_payload(df: DataFrame, key: str, text: str, codec: str | None = None) -> DataFrame:
     """key, n_bytes and media: each text as a WAV file. Without a codec, the payload's checksum picks one of three."""
 
+    bounded_batches(df)
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
@@ -188,6 +191,8 @@ def store_payload(df: DataFrame, key: str, text: str, codec: str | None = None)
 def decode_media(df: DataFrame, keep: list[str], media: str = "media", with_pcm: bool = True) -> DataFrame:
     """The kept columns, then codec, payload digests, features and (unless left out) 16 kHz PCM, little-endian."""
 
+    bounded_batches(df)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(len(keep))
@@ -217,8 +222,9 @@ def decode_media(df: DataFrame, keep: list[str], media: str = "media", with_pcm:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_payload(table(spark, sf_dir, "documents"), "doc_id", "text")
-    read = decode_media(stored, ["doc_id", "n_bytes"], with_pcm=False)
+    read = decode_media(stored, ["doc_id", "n_bytes"])
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
