@@ -319,6 +319,13 @@ def test_media_digests(docs, empty):
     assert len({r["codec"] for r in rows.values()}) == 3
 
 
+def test_query_of_media_digests_the_pcm(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pcm = {r["doc_id"]: bytes(r["pcm"]) for r in media.decode_media(media.store_payload(docs, "doc_id", "text"), ["doc_id"]).collect()}
+    for r in media.op9_media(spark, str(tmp_path)).collect():
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(pcm[r["doc_id"]]), hashlib.sha256(pcm[r["doc_id"]]).hexdigest())
+
+
 def test_codecs():
     mu, a = media.TABLES["mulaw"], media.TABLES["alaw"]
     assert (int(mu[0xFF]), int(mu[0x00]), int(mu[0x80])) == (0, -32124, 32124)
