@@ -5,6 +5,12 @@ near_copies    of each component of the Jaccard join (5-word shingles, 80 %), th
 repeats        passages of 13 words and more that an earlier document has are cut out; empty rests go
 mixture        sources are repeated to the target weights; every row stays at least once
 pieces         two sampled segmentations of each text, with their inclusion scores
+
+Null texts, and texts without letters, go in the first stage, unless no row at all has a language to learn from: then all
+rows pass it. Null ids are no near copies of anything and lose nothing to others. Rows that repeat an id count as one
+document and go or stay together. Of copies the smallest id stays, of passages the first document's. Long texts are
+handled whole in each stage. An empty table gives an empty result. Other columns, whatever their names, go through all
+stages but the last, which keeps doc_id, lang and source.
 """
 
 from __future__ import annotations
