@@ -8,6 +8,8 @@ import sys
 import tempfile
 from pathlib import Path
 
+from pyspark.errors import PySparkException
+
 from riskweave.functions.urls import UnsafeGitUrlError
 from riskweave.plans import scan as plan
 from riskweave.sources import tree
@@ -29,7 +31,11 @@ def run_check(args: argparse.Namespace) -> int:
         except (OSError, tree.UnsafeZipError, tree.IngestError, UnsafeGitUrlError) as e:
             print(f"{args.source}: {e}", file=sys.stderr)
             return 2
-        found = plan.scan_tree(tree.read_tree(spark, str(root)))
+        try:
+            found = plan.scan_tree(tree.read_tree(spark, str(root)))
+        except PySparkException as e:  # a file that can't be read may hold what the gate looks for
+            print(f"{args.source}: {e}", file=sys.stderr)
+            return 2
         if plan.risk.is_empty_scan(found.operations, found.of("entrypoint"), found.confidence):
             print("nothing to scan was found", file=sys.stderr)
             return 3
@@ -45,6 +51,8 @@ def run_check(args: argparse.Namespace) -> int:
             Path(args.sarif).write_text(text, encoding="utf-8")
         if args.scan_out:
             plan.write_artifact(plan.artifact(spark, found, args.source, args.redact), args.scan_out)
+        found.release()
+        register.unpersist()
     counts = plan.counts_of(rows)
     if args.json:
         out = {"framework": found.framework, "operations": operations, "pii_findings": findings, "counts": counts, "total": gate["total"], "worst": gate["worst"], "threshold": threshold, "breached": gate["breached"]}

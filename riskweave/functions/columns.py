@@ -164,6 +164,16 @@ def ordinal(name: Column) -> Column:
     return out
 
 
+def threshold(given: Column) -> tuple[Column, Column]:
+    """Whether a given threshold is known, and the level it names; nothing given, like ``none``, names no level."""
+    key = F.when(F.coalesce(given, F.lit("")) == "", "none").otherwise(F.lower(F.trim(given)))
+    level = F.lit(None).cast("string")
+    for alias, name in rules.ALIASES.items():
+        if name:
+            level = F.when(key == alias, name).otherwise(level)
+    return key.isin(*rules.ALIASES), level
+
+
 def treatment(name: Column) -> Column:
     out = F.lit(None).cast("string")
     for known, what in rules.TREATMENT.items():

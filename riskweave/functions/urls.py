@@ -49,8 +49,53 @@ def checked_git_url(url: str, allowed: set[str] | None = None) -> str:
     return url
 
 
+# Ranges of addresses that are not public (first, last).
+PRIVATE = [
+    (network[0], network[-1])
+    for network in map(
+        ipaddress.IPv4Network,
+        (
+            "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
+            "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+        ),
+    )
+]
+
+
+def spelled_address(host: Column) -> Column:
+    """The IPv4 address, as a number, that a host spells in any notation that resolvers take, or null.
+
+    One to four parts, each decimal, octal (0...) or hexadecimal (0x...); the last one fills the bytes that are left.
+    """
+    whole = r"^(?:0[xX][0-9a-fA-F]{1,8}|[0-9]{1,11})$"
+
+    def number(part: Column) -> Column:
+        low = F.lower(part)
+        value = (
+            F.when(low.startswith("0x"), F.conv(F.substring(low, 3, 20), 16, 10))
+            .when(low.rlike("^0[0-7]+$"), F.conv(low, 8, 10))
+            .when(low.rlike("^(?:0|[1-9][0-9]*)$"), low)
+        )
+        return F.when(part.rlike(whole), value.cast("bigint"))
+
+    def address(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        head = F.aggregate(F.slice(parts, 1, n - 1), F.lit(0).cast("bigint"), lambda a, x: F.when(x <= 255, a * 256 + x))
+        room = F.when(n == 1, F.lit(1 << 32)).when(n == 2, F.lit(1 << 24)).when(n == 3, F.lit(1 << 16)).otherwise(F.lit(1 << 8)).cast("bigint")
+        return F.when((n <= 4) & (last < room), head * room + last)
+
+    parts = F.transform(F.split(host, r"\."), number)
+    return F.get(F.transform(F.array(parts), address), F.lit(0))
+
+
 def looks_clonable(url: Column) -> Column:
-    """The part of the check that needs no address arithmetic, for whole columns."""
+    """The check of an address for whole columns, without a look at name servers. Hosts in brackets (IPv6) don't pass."""
     clean = F.trim(url)
-    host = F.regexp_extract(clean, r"^https://([^/?#]*)", 1)
-    return F.coalesce((F.length(clean) <= MOST_CHARS) & ~clean.rlike(r"[\x00\r\n\t ]") & (host != "") & ~host.contains("@"), F.lit(False))
+    place = F.regexp_extract(clean, r"^https://([^/?#]*)", 1)
+    host = F.regexp_replace(place, ":[0-9]*$", "")
+    number = spelled_address(host)
+    private = F.lit(False)
+    for first, last in PRIVATE:
+        private = private | number.between(int(first), int(last))
+    fine = (F.length(clean) <= MOST_CHARS) & ~clean.rlike(r"[\x00\r\n\t ]") & (host != "") & ~place.contains("@") & ~host.startswith("[")
+    return F.coalesce(fine & ~F.coalesce(private, F.lit(False)), F.lit(False))

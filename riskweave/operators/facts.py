@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import rules
-from riskweave.operators.matches import matches
+from riskweave.operators.matches import bound, found_in
 
 FACT = "path string, fact string, kind string, name string, provider string, model string, line int, at long, snippet string, enclosing string, prev_comment string, return_var string, url string, parameters array<string>"
 
@@ -27,32 +27,45 @@ def js_provider(text: Column) -> Column:
 
 
 def js_matches(files: DataFrame) -> DataFrame:
-    """Handlers, routes, model calls and tools with, for each, the last function declared before it (an as-of join).
+    """Handlers, routes, model calls and tools with their line, the last line above it that isn't empty and, for each,
+    the last function declared before it (an as-of join).
 
-    Declarations and matches are rows of one frame, in order of their offset, so the join is a running last value.
+    Lines are taken within the file's row. Declarations and matches are narrow rows of one frame, in order of their
+    offset, so the join is a running last value.
     """
     u = "(?U)"
     patterns = [
         ("nextjs_route", u + rules.JS_HANDLER, 1), ("express_route", u + rules.JS_ROUTE, 2), ("call", u + rules.JS_CALL, 1),
         ("tool", u + rules.JS_TOOL, 0), ("function", u + rules.JS_FUNCTION, 3),
     ]
-    found = matches(files, ["path"], "text", patterns)
+    last = lambda lines: F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(-1))
+
+    def with_lines(lines: Column) -> Column:
+        def placed(x: Column) -> Column:
+            above = x["line"] - 1
+            near = F.slice(lines, F.greatest(F.lit(1), above - 15), F.least(above, F.lit(16)))
+            line = F.when(x["kind"] != "function", F.get(lines, above))
+            before = F.when((x["kind"] == "call") & (above > 0), F.coalesce(last(near), last(F.slice(lines, 1, above))))
+            return F.struct(x.alias("m"), line.alias("own"), before.alias("above"))
+
+        return F.transform(F.flatten(F.array_compact(F.array(*[found_in(F.col("text"), *p) for p in patterns]))), placed)
+
+    rows = files.select("path", js_provider(F.col("text")).alias("hint"), F.explode(bound(F.split("text", "\n", -1), with_lines)).alias("x"))
+    rows = rows.select("path", "hint", "x.m.*", F.col("x.own").alias("own"), F.col("x.above").alias("above"))
     names = F.when(F.col("kind") == "function", F.element_at(F.filter("groups", lambda g: F.coalesce(g, F.lit("")) != ""), 1))
     # A declaration counts once it has ended before the match begins.
-    placed = found.withColumns({"_name": names, "_order": F.when(F.col("kind") == "function", F.col("at") + F.length("value") - 0.5).otherwise(F.col("at"))})
+    order = F.when(F.col("kind") == "function", F.col("at") + F.length("value") - 0.5).otherwise(F.col("at"))
     before = Window.partitionBy("path").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({"_name": names, "_order": order})
     return placed.withColumn("enclosing", F.last("_name", ignorenulls=True).over(before)).where("kind != 'function'").drop("_name", "_order")
 
 
 def js_facts(files: DataFrame) -> DataFrame:
     """Rows of FACT for JavaScript and TypeScript files."""
-    some = js_files(files)
-    rows = js_matches(some).join(some.select(F.col("path").alias("_path"), "text", js_provider(F.col("text")).alias("hint")), F.col("path") == F.col("_path"))
+    rows = js_matches(js_files(files))
     kind, group = F.col("kind"), lambda n: F.get("groups", F.lit(n))
     is_call = kind == "call"
-    previous = F.regexp_replace(F.expr("substring_index(text, '\\n', line - 1)"), r"\n+$", "")
-    comment = F.trim(F.expr("substring_index(p, '\\n', -1)"))
-    rows = rows.withColumn("p", previous).withColumn("c", comment)
+    rows = rows.withColumn("c", F.trim("above"))
     text = F.trim(F.regexp_replace("c", "^/+", ""))
     return rows.select(
         "path",
@@ -63,7 +76,7 @@ def js_facts(files: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("model"),
         "line",
         F.col("at").cast("long").alias("at"),
-        F.when(is_call, F.trim(F.get(F.split("text", "\n", -1), F.col("line") - 1))).alias("snippet"),
+        F.when(is_call, F.trim("own")).alias("snippet"),
         F.when(is_call, F.col("enclosing")).alias("enclosing"),
         F.when(is_call & F.col("c").startswith("//") & (text != ""), text).alias("prev_comment"),
         F.lit(None).cast("string").alias("return_var"),
@@ -110,6 +123,15 @@ def config_facts(files: DataFrame) -> DataFrame:
     return seen.union(providers).union(listed("base_url", rules.BASE_URL)).union(listed("retention", rules.RETENTION))
 
 
+def providers_declared(config: DataFrame) -> DataFrame:
+    """name and place of each provider that configuration declares, once, in order of the first file that does."""
+    order = {k: n for n, (k, _) in enumerate(rules.PROVIDER_KEYS)}
+    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("name")]
+    firsts = config.where("fact = 'provider'").groupBy("name").agg(F.min(F.struct("path", rank.alias("rank"))).alias("first"))
+    by = Window.orderBy("first")  # as many rows as there are providers
+    return firsts.select("name", F.row_number().over(by).alias("place"))
+
+
 def operation_share(operations: DataFrame, provider: str = "provider") -> DataFrame:
     """provider and its share of the operations that have one."""
     counts = operations.where(F.coalesce(F.col(provider), F.lit("")) != "").groupBy(provider).agg(F.count(F.lit(1)).alias("n"))

@@ -1,41 +1,75 @@
-"""Regular-expression matches of whole texts with their lines, without Python.
+"""Regular-expression matches of whole texts with their lines, without Python and without a shuffle.
 
-Spark gives matches, but no offsets. The pieces between matches and the matches alternate, so a running sum of line
-breaks over both gives each match's line, and one of lengths its offset. The window is over one text.
+Spark gives matches, but no offsets. The pieces between matches and the matches alternate, so running sums of line breaks
+and lengths over both give each match's line and offset. The sums are made within the row, in blocks of BLOCK matches, so
+a text with very many matches takes work in proportion to their number; texts may have any keys, or none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 256
 
-def matches(df: DataFrame, keys: list[str], text: str, patterns: list[tuple[str, str, int]]) -> DataFrame:
-    """keys, kind, seq, value, line, at for each match; patterns are (kind, Java pattern, groups to return in ``groups``)."""
 
-    def found(kind: str, pattern: str, groups: int) -> Column:
-        every = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-        return F.when(
-            F.col(text).rlike(pattern),
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.split(text, pattern, -1).alias("between"),
-                every[0].alias("all"),
-                (F.array(*every[1:]) if groups else F.array().cast("array<array<string>>")).alias("groups"),
-            ),
-        )
-
-    kinds = F.array_compact(F.array(*[found(*p) for p in patterns]))
-    rows = df.select(*keys, F.explode(kinds).alias("m")).select(*keys, "m.kind", F.col("m.groups").alias("_groups"), F.posexplode(F.arrays_zip("m.between", "m.all")).alias("seq", "x"))
-    value = F.col("x.all")
-    until = Window.partitionBy(*keys, "kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    whole = F.concat(F.col("x.between"), F.coalesce(value, F.lit("")))
-    rows = rows.withColumns(
-        {
-            "line": (1 + F.sum(breaks(whole)).over(until) - breaks(F.coalesce(value, F.lit("")))).cast("int"),
-            "at": F.sum(F.length(whole)).over(until) - F.length(F.coalesce(value, F.lit(""))),
-        }
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is made once; inside a lambda a column could be made anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """For each element of an array of numbers: the sum of those before it."""
+    zero = F.lit(0).cast("bigint")
+
+    def sums(block: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("all"), zero.alias("sum"))
+        return F.aggregate(block, start, lambda a, x: F.struct(F.array_append(a["all"], a["sum"]).alias("all"), (a["sum"] + x).alias("sum")))
+
+    def cut(every: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(every) / BLOCK).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: sums(F.slice(every, k * BLOCK + 1, BLOCK)))
+
+    return bound(
+        bound(values, cut),
+        lambda own: bound(
+            sums(F.transform(own, lambda b: b["sum"])),
+            lambda starts: F.flatten(F.transform(own, lambda b, k: F.transform(b["all"], lambda x: x + F.get(starts["all"], k)))),
+        ),
     )
-    groups = F.transform("_groups", lambda g: F.get(g, F.col("seq")))
-    return rows.where(value.isNotNull()).select(*keys, "kind", "seq", value.alias("value"), "line", "at", groups.alias("groups"))
+
+
+def _breaks(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+
+
+def found_in(text: Column, kind: str, pattern: str, groups: int = 0, hint: Column | None = None) -> Column:
+    """An array of (kind, seq, value, line, at, groups), one for each match, or null if there is none.
+
+    ``hint`` is a cheaper test that every text with a match passes.
+    """
+    every = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
+
+    def listed(between: Column, values: Column) -> Column:
+        # Piece k comes before match k; what follows a match begins with the next piece.
+        lines = running(F.transform(values, lambda v, k: _breaks(F.get(between, k)) + _breaks(v)))
+        places = running(F.transform(values, lambda v, k: (F.length(F.get(between, k)) + F.length(v)).cast("bigint")))
+        columns = [values.alias("value"), lines.alias("line"), places.alias("at"), *(e.alias(f"g{n}") for n, e in enumerate(every[1:]))]
+        rows = bound(F.arrays_zip(*columns), lambda x: x)
+        return F.transform(
+            rows,
+            lambda x, k: F.struct(
+                F.lit(kind).alias("kind"), k.alias("seq"), x["value"].alias("value"), (1 + x["line"] + _breaks(F.get(between, k))).cast("int").alias("line"),
+                (x["at"] + F.length(F.get(between, k))).cast("bigint").alias("at"),
+                (F.array(*[x[f"g{n}"] for n in range(groups)]) if groups else F.array().cast("array<string>")).alias("groups"),
+            ),
+        )
+
+    tested = text.rlike(pattern) if hint is None else hint & text.rlike(pattern)
+    return F.when(tested, bound(F.struct(F.split(text, pattern, -1).alias("b"), every[0].alias("m")), lambda p: listed(p["b"], p["m"])))
+
+
+def matches(df: DataFrame, keys: list[str], text: str, patterns: list[tuple], hints: dict[str, Column] | None = None) -> DataFrame:
+    """keys, kind, seq, value, line, at, groups for each match; patterns are (kind, Java pattern, groups to return)."""
+    found = [found_in(F.col(text), *p, hint=(hints or {}).get(p[0])) for p in patterns]
+    return df.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("m")).select(*keys, "m.*")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, rules
-from riskweave.operators.matches import matches
+from riskweave.operators.matches import bound, found_in, matches
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -17,51 +17,73 @@ def text_files(files: DataFrame) -> DataFrame:
     )
 
 
-def candidates(files: DataFrame) -> DataFrame:
+#: Cheaper tests that every text with a match of the kind passes.
+def _hints(text: Column) -> dict[str, Column]:
+    return {"email": text.contains("@"), "phone": text.rlike(r"(?U)\d{4}-?\d{4}"), "cep": text.rlike(r"(?U)\d-\d{3}")}
+
+
+def candidate_matches(df: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...]) -> DataFrame:
+    """keys, kind, seq, value, line, at of all matches of some kinds, whatever their check digits."""
+    wanted = [(kind, pattern, 0) for kind, pattern, *_ in rules.CANDIDATES if kind in kinds]
+    return matches(df, keys, text, wanted, _hints(F.col(text))).drop("groups")
+
+
+def candidates(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """path, kind, seq, value, line of every candidate whose check digits, if its kind has any, are right."""
-    found = matches(files, ["path"], "text", [(kind, pattern, 0) for kind, pattern, *_ in rules.CANDIDATES]).drop("groups", "at")
+    found = candidate_matches(files, ["path"], "text", kinds or KINDS).drop("at")
     return found.where(columns.is_valid(F.col("kind"), F.col("value")))
 
 
-def line_context(files: DataFrame, found: DataFrame) -> DataFrame:
-    """For each line of files with candidates: the first keyword (by kind) and marker near it, and whether it shows a pattern.
+KINDS = tuple(kind for kind, *_ in rules.CANDIDATES)
+
+
+def _first(lines: Column, test) -> Column:
+    """What ``test`` says of the first line of which it says anything."""
+    return F.get(F.filter(F.transform(lines, test), lambda x: x.isNotNull()), F.lit(0))
 
-    Frames of lines take the place of a join with neighbouring lines.
+
+def _keyword_of(kind: str):
+    return lambda line: columns.keyword_hit(line, kind)
+
+
+def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Candidates with confidence, tier (high, low, discarded) and the signals that led to it.
+
+    Each match takes the lines around it from its own text, so nothing is joined or shuffled.
     """
-    some = files.join(found.select(F.col("path").alias("_path")).distinct(), F.col("path") == F.col("_path"), "left_semi")
-    lines = some.select("path", F.posexplode(F.split("text", "\n", -1)).alias("n", "body")).withColumn("line", F.col("n") + 1)
-    by = Window.partitionBy("path").orderBy("n")
-    near = by.rowsBetween(-rules.LINES_AROUND, rules.LINES_AROUND)
-    close = by.rowsBetween(-rules.MARKER_LINES, rules.MARKER_LINES)
-    kinds = [kind for kind, *_ in rules.CANDIDATES]
-    marked = lines.withColumns({f"k_{k}": columns.keyword_hit(F.col("body"), k) for k in kinds} | {"mark": columns.marker_hit(F.col("body"))})
-    seen = marked.select(
-        "path", "line", columns.is_regex_line(F.col("body")).alias("is_regex"),
-        F.first("mark", ignorenulls=True).over(close).alias("mark"),
-        *[F.first(f"k_{k}", ignorenulls=True).over(near).alias(f"k_{k}") for k in kinds],
-    )
-    return seen
+    wanted = [c for c in rules.CANDIDATES if c[0] in (kinds or KINDS)]
+    hints = _hints(F.col("text"))
+    found = [found_in(F.col("text"), kind, pattern, hint=hints.get(kind)) for kind, pattern, *_ in wanted]
+    around = rules.LINES_AROUND
+
+    def with_lines(lines: Column) -> Column:
+        def near(x: Column) -> Column:
+            first = F.greatest(F.lit(1), x["line"] - around)
+            some = F.slice(lines, first, x["line"] + around - first + 1)
+            return F.struct(x["kind"].alias("kind"), x["seq"].alias("seq"), x["value"].alias("value"), x["line"].alias("line"), some.alias("near"), (x["line"] - first).alias("own"))
 
+        valid = F.filter(F.flatten(F.array_compact(F.array(*found))), lambda x: columns.is_valid(x["kind"], x["value"]))
+        return F.transform(valid, near)
 
-def tiered(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds confidence, tier (high, low, discarded) and the signals that led to it."""
-    seen = line_context(files, found).withColumnRenamed("path", "_path").withColumnRenamed("line", "_line")
-    rows = found.join(seen, (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")))
+    rows = files.select("path", F.explode(bound(F.split("text", "\n", -1), with_lines)).alias("m")).select("path", "m.*")
+    start = F.greatest(F.lit(0), F.col("own") - rules.MARKER_LINES)
+    rows = rows.withColumns({"mark": _first(F.slice("near", start + 1, F.col("own") + rules.MARKER_LINES - start + 1), columns.marker_hit), "is_regex": columns.is_regex_line(F.get("near", F.col("own")))})
     keyword, checked, confidence = F.lit(None).cast("string"), F.lit(False), F.lit(0.0)
-    for kind, _, check, how in rules.CANDIDATES:
+    for kind, _, check, how in wanted:
         is_kind = F.col("kind") == kind
-        keyword = F.when(is_kind, F.col(f"k_{kind}")).otherwise(keyword)
+        keyword = F.when(is_kind, _first(F.col("near"), _keyword_of(kind))).otherwise(keyword)
         checked = F.when(is_kind, F.lit(check)).otherwise(checked)
         confidence = F.when(is_kind, F.lit(how)).otherwise(confidence)
-    test, meta = columns.is_test_path(F.col("path")), columns.is_meta_path(F.col("path"))
-    compromised = F.col("mark").isNotNull() | test | meta | F.col("is_regex")
+    rows = rows.withColumns({"keyword": keyword, "test": columns.is_test_path(F.col("path")), "meta": columns.is_meta_path(F.col("path"))})
+    keyword = F.col("keyword")
+    compromised = F.col("mark").isNotNull() | F.col("test") | F.col("meta") | F.col("is_regex")
     level = columns.tier(keyword.isNotNull(), compromised, checked)
     signals = F.array_compact(
         F.array(
             F.concat(F.lit("keyword:"), keyword),
             F.col("mark"),
-            F.when(test, "test_path"),
-            F.when(meta, "meta_path"),
+            F.when(F.col("test"), "test_path"),
+            F.when(F.col("meta"), "meta_path"),
             F.when(F.col("is_regex"), "regex_artifact"),
             F.when(keyword.isNull() & ~compromised & checked, "checksum_only"),
         )
@@ -74,12 +96,11 @@ def tiered(files: DataFrame, found: DataFrame) -> DataFrame:
 def scan_pii(files: DataFrame, require_context: bool = True) -> DataFrame:
     """path, kind, line, snippet (masked), confidence, tier, signals; discarded findings are left out."""
     some = text_files(files)
-    found = candidates(some)
     if require_context:
-        rows = tiered(some, found).where("tier != 'discarded'")
+        rows = tiered(some).where("tier != 'discarded'")
     else:
         how = F.lit(0.0)
         for kind, _, _, value in rules.CANDIDATES:
             how = F.when(F.col("kind") == kind, F.lit(value)).otherwise(how)
-        rows = found.withColumns({"confidence": how, "tier": F.lit("high"), "signals": F.array().cast("array<string>")})
+        rows = candidates(some).withColumns({"confidence": how, "tier": F.lit("high"), "signals": F.array().cast("array<string>")})
     return rows.select("path", "kind", "seq", "line", columns.masked(F.col("kind"), F.col("value")).alias("snippet"), "confidence", "tier", "signals")

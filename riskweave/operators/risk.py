@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, rules
@@ -10,35 +10,39 @@ from riskweave.functions import columns, rules
 EVIDENCE = "array<struct<file: string, line: int, kind: string>>"
 
 
-def scan_flags(operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row, also for empty scans: the kinds of operations and what the scan has of each trigger."""
-    kinds = operations.agg(
-        F.coalesce(F.collect_set("kind"), F.array().cast("array<string>")).alias("kinds"),
-        F.coalesce(F.bool_or(F.coalesce(F.col("provider"), F.lit("")) != ""), F.lit(False)).alias("external_provider"),
-    )
-    pii = findings.agg(F.coalesce(F.bool_or(F.coalesce("tier", F.lit("high")) == "high"), F.lit(False)).alias("pii"))
-    has = lambda *names: F.arrays_overlap("kinds", F.lit(list(names)))
-    return kinds.crossJoin(pii).select(
-        "kinds", "pii", "external_provider", has("telemetry").alias("telemetry"), has("memory_persist").alias("memory_store"), has(*rules.VECTOR_KINDS).alias("vector_store")
-    )
+#: Flags in the order in which their evidence is listed, after that of kinds.
+FLAG_ORDER = {"pii": 1, "external_provider": 2, "telemetry": 3, "memory_store": 4, "vector_store": 5}
 
 
-def flag_holds(flag: Column) -> Column:
-    out = flag == "always"
-    for name in ("pii", "external_provider", "telemetry", "memory_store", "vector_store"):
-        out = out | ((flag == name) & F.col(name))
-    return out
+def trigger_places(operations: DataFrame, findings: DataFrame) -> DataFrame:
+    """path, line, kind and triggers: each place once, with all that it triggers (``kind:`` and an operation's kind, or
+    a flag). The operations and the findings are read once."""
+    kind = F.col("kind")
+    flags = {
+        "external_provider": F.coalesce(F.col("provider"), F.lit("")) != "",
+        "telemetry": kind == "telemetry",
+        "memory_store": kind == "memory_persist",
+        "vector_store": kind.isin(*rules.VECTOR_KINDS),
+    }
+    said = F.array_compact(F.array(F.concat(F.lit("kind:"), kind), *[F.when(test, name) for name, test in flags.items()]))
+    ops = operations.select("path", "line", "kind", said.alias("triggers"))
+    high = findings.where(F.coalesce("tier", F.lit("high")) == "high")
+    pii = high.select("path", "line", F.concat(F.lit("pii:"), "kind").alias("kind"), F.array(F.lit("pii")).alias("triggers"))
+    places = ops.unionByName(pii).where(F.size("triggers") > 0).groupBy("path", "line", "kind")
+    return places.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("triggers")))).alias("triggers"))
 
 
-def matched(catalog: DataFrame, flags: DataFrame) -> DataFrame:
-    """Catalog rows that apply: always, by an operation's kind or by a flag. ``flags`` is one row."""
-    rows = catalog.crossJoin(F.broadcast(flags))
-    holds = F.arrays_overlap("operations", "kinds") | F.exists("flags", flag_holds)
-    return rows.where(F.coalesce(holds, F.lit(False))).select(*catalog.columns)
+def rule_triggers(catalog: DataFrame) -> DataFrame:
+    """id, trigger and branch (the order of its evidence) of each rule; as small as the catalog."""
+    kinds = F.transform(F.coalesce("operations", F.array().cast("array<string>")), lambda k: F.struct(F.concat(F.lit("kind:"), k).alias("trigger"), F.lit(0).alias("branch")))
+    order = F.create_map(*[F.lit(x) for pair in FLAG_ORDER.items() for x in pair])
+    flags = F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.isin(*FLAG_ORDER))
+    flags = F.transform(flags, lambda f: F.struct(f.alias("trigger"), F.get(F.array(order[f]), F.lit(0)).alias("branch")))
+    return catalog.select("id", F.explode(F.concat(kinds, flags)).alias("t")).select("id", "t.trigger", "t.branch")
 
 
 def scored(risks: DataFrame) -> DataFrame:
-    """Adds inherent and residual probability, impact and level, and the treatment."""
+    """Adds inherent and residual probability, impact and level, the treatment, and whether the risk applies always."""
     p, i = columns.clamped(F.col("p")), columns.clamped(F.col("i"))
     cut = lambda name: F.aggregate("mitigacoes", F.lit(0), lambda a, m: a + m[name])
     left_p, left_i = columns.residual(p, i, cut("probability"), cut("impact"))
@@ -46,54 +50,46 @@ def scored(risks: DataFrame) -> DataFrame:
     return risks.select(
         "ord", "id", "categoria", "descricao", "artigos", p.alias("probabilidade_inerente"), i.alias("impacto_inerente"), columns.level(p, i).alias("nivel_inerente"),
         left_p.alias("probabilidade_residual"), left_i.alias("impacto_residual"), level.alias("nivel_residual"), columns.treatment(level).alias("tratamento"),
-        F.transform("mitigacoes", lambda m: m["text"]).alias("mitigacoes"),
+        F.transform("mitigacoes", lambda m: m["text"]).alias("mitigacoes"), F.coalesce(F.array_contains("flags", "always"), F.lit(False)).alias("always"),
     )
 
 
-def evidence_places(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """id, path, line, kind and first: where each risk's triggers were met, each place once; ``first`` gives their order.
+def evidence_rows(catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
+    """id, branch, path, line and kind: each place of each risk once, with the first of the branches that lead to it."""
+    each = trigger_places(operations, findings).select("path", "line", "kind", F.explode("triggers").alias("trigger"))
+    met = each.join(F.broadcast(rule_triggers(catalog)), "trigger")  # the rules are few: a fixed, small table
+    return met.groupBy("id", "path", "line", "kind").agg(F.min("branch").alias("branch"))
 
-    The catalog has a fixed, small number of rows and is broadcast; the places stay rows, as they grow with the scan.
-    """
-    ops = operations.select("path", "line", "kind", "provider", F.struct(F.lit(0), "path", "line").alias("seq"))
-    by_kind = risks.select("id", F.explode("operations").alias("kind")).join(ops, "kind").select("id", F.lit(0).alias("branch"), "path", "line", "kind", "seq")
-    flag = risks.select("id", F.explode("flags").alias("flag"))
-    provider = F.coalesce(F.col("provider"), F.lit("")) != ""
-    fits = (
-        ((F.col("flag") == "external_provider") & provider)
-        | ((F.col("flag") == "telemetry") & (F.col("kind") == "telemetry"))
-        | ((F.col("flag") == "memory_store") & (F.col("kind") == "memory_persist"))
-        | ((F.col("flag") == "vector_store") & F.col("kind").isin(*rules.VECTOR_KINDS))
-    )
-    order = F.create_map(*[F.lit(x) for pair in zip(("external_provider", "telemetry", "memory_store", "vector_store"), (2, 3, 4, 5)) for x in pair])
-    by_flag = ops.join(F.broadcast(flag), fits).select("id", order[F.col("flag")].alias("branch"), "path", "line", "kind", "seq")
-    high = findings.where(F.coalesce("tier", F.lit("high")) == "high")
-    pii = flag.where("flag = 'pii'").crossJoin(high).select("id", F.lit(1).alias("branch"), "path", "line", F.concat(F.lit("pii:"), "kind").alias("kind"), F.struct(F.lit(0), "path", "line").alias("seq"))
-    return by_kind.unionByName(by_flag).unionByName(pii).groupBy("id", "path", "line", "kind").agg(F.min(F.struct("branch", "seq")).alias("first"))
 
-
-def evidence(risks: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
+def evidence(catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
     """id and evidencia, all places of a risk in one array: for the report of one repository only."""
-    places = evidence_places(risks, operations, findings)
-    listed = F.array_sort(F.collect_list(F.struct("first", "path", "line", "kind")))
+    listed = F.array_sort(F.collect_list(F.struct("branch", "path", "line", "kind")))
     plain = F.transform(listed, lambda x: F.struct(x["path"].alias("file"), x["line"].alias("line"), x["kind"].alias("kind")))
-    return places.groupBy("id").agg(plain.alias("evidencia"))
+    return evidence_rows(catalog, operations, findings).groupBy("id").agg(plain.alias("evidencia"))
 
 
 def register(catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
-    """The scored risks of a scan, with the number of places of their evidence and the first one, in catalog order."""
-    risks = matched(catalog, scan_flags(operations, findings))
-    least = F.min(F.struct("first", "path", "line", "kind"))
-    places = evidence_places(risks, operations, findings).groupBy("id").agg(F.count(F.lit(1)).alias("places"), least.alias("_least"))
-    first = F.struct(F.col("_least.path").alias("file"), F.col("_least.line").alias("line"), F.col("_least.kind").alias("kind"))
-    rows = scored(risks).join(places, "id", "left").withColumn("first_place", F.when(F.col("_least").isNotNull(), first)).drop("_least")
+    """The scored risks of a scan, with the number of places of their evidence and the first one, in catalog order.
+
+    A risk applies always, by an operation's kind or by a flag. Places are counted by the set of things they trigger,
+    of which there are few, whatever the scan's size; only those counts meet the catalog. Neither is shuffled or joined
+    row by row with the places.
+    """
+    least = F.min(F.struct("path", "line", "kind")).alias("least")
+    profile = trigger_places(operations, findings).groupBy("triggers").agg(F.count(F.lit(1)).alias("n"), least)
+    each = profile.select(F.explode("triggers").alias("trigger"), "triggers", "n", "least")
+    # A rule that meets a profile by several triggers counts its places once, at the first branch.
+    met = each.join(F.broadcast(rule_triggers(catalog)), "trigger").groupBy("id", "triggers").agg(F.first("n").alias("n"), F.min(F.struct("branch", "least")).alias("first"))
+    places = met.groupBy("id").agg(F.sum("n").alias("places"), F.min("first").alias("_first"))
+    rows = scored(catalog).join(F.broadcast(places), "id", "left")  # a row a risk
+    found = F.struct(F.col("_first.least.path").alias("file"), F.col("_first.least.line").alias("line"), F.col("_first.least.kind").alias("kind"))
+    rows = rows.where("places > 0 OR always").withColumn("first_place", F.when(F.col("_first").isNotNull(), found)).drop("_first", "always")
     return rows.withColumn("places", F.coalesce("places", F.lit(0)).cast("long")).orderBy("ord")
 
 
 def with_evidence(register: DataFrame, catalog: DataFrame, operations: DataFrame, findings: DataFrame) -> DataFrame:
     """Adds ``evidencia``, the arrays of all places: for the report of one repository only."""
-    listed = evidence(matched(catalog, scan_flags(operations, findings)), operations, findings)
-    rows = register.join(listed, "id", "left")
+    rows = register.join(evidence(catalog, operations, findings), "id", "left")
     return rows.withColumn("evidencia", F.coalesce("evidencia", F.array().cast(EVIDENCE))).orderBy("ord")
 
 
@@ -123,5 +119,11 @@ def residual_summary(risks: DataFrame) -> DataFrame:
     return risks.groupBy("nivel_residual").agg(F.count(F.lit(1)).alias("n"))
 
 
+def emptiness(operations: DataFrame, entrypoints: DataFrame, confidence: float) -> DataFrame:
+    """One row, ``empty``: no framework is likely, and there is neither an operation nor an entrypoint."""
+    some = operations.select(F.lit(1).alias("x")).limit(1).union(entrypoints.select(F.lit(1)).limit(1))
+    return some.agg((F.count(F.lit(1)) == 0).alias("_none")).select((F.col("_none") & F.lit(confidence < 0.3)).alias("empty"))
+
+
 def is_empty_scan(operations: DataFrame, entrypoints: DataFrame, confidence: float) -> bool:
-    return confidence < 0.3 and operations.isEmpty() and entrypoints.isEmpty()
+    return bool(emptiness(operations, entrypoints, confidence).first()["empty"])

@@ -8,52 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions import columns, rules, urls
+from riskweave.functions import columns, urls
 from riskweave.functions.catalog import ROWS, risk_catalog
 from riskweave.operators import facts, pii, risk
-from riskweave.operators.matches import matches
-from riskweave.operators.python_facts import python_facts
-
-NUMBERS = """
-SELECT o_orderkey AS k, lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR(20)), 9, '0') || lpad(CAST(o_orderkey % 100 AS VARCHAR(20)), 2, '0') AS v11,
-  lpad(CAST(o_orderkey * 104729 % 1000000000000 AS VARCHAR(20)), 12, '0') || lpad(CAST(o_orderkey % 89 AS VARCHAR(20)), 2, '0') AS v14,
-  lpad(CAST(o_orderkey * 7 % 100000000 AS VARCHAR(20)), 8, '0') || lpad(CAST(o_orderkey % 31 AS VARCHAR(20)), 2, '0') || lpad(CAST(o_orderkey % 97 AS VARCHAR(20)), 2, '0') AS v12
-FROM orders
-"""
-#: Files of a few lines: an identifier, an e-mail address and a phone number, with keywords and markers near some.
-FILES = (
-    "SELECT CASE k % 7 WHEN 0 THEN 'src/a' || k || '.py' WHEN 1 THEN 'tests/a' || k || '.py' WHEN 2 THEN 'docs/a' || k || '.md' WHEN 3 THEN 'pkg/README.md'"
-    " WHEN 4 THEN 'src/a' || k || '_test.py' WHEN 5 THEN 'src/conftest.py' ELSE 'lib/b' || k || '.py' END || '#' || k AS path,"
-    " concat_ws(chr(10), CASE WHEN k % 3 = 0 THEN 'customer_cpf = 1' ELSE 'value = 2' END, CASE WHEN k % 5 = 0 THEN '# sample row' ELSE '# row' END, 'x = 1', 'y = 2',"
-    " 'number \"' || v11 || '\"', CASE WHEN k % 4 = 0 THEN 'user-email: u' || k || '@mail.example.com' ELSE 'to u' || k || '@host.org' END, 'z = 3',"
-    " CASE WHEN k % 6 = 0 THEN 'mock_data = [' ELSE 'data = [' END, 'tel +55 11 9' || substr(v11, 1, 4) || '-' || substr(v11, 5, 4), ']') AS text"
-    f" FROM ({NUMBERS})"
-)
-JS = """
-SELECT 'web/r' || c_custkey || '.ts' AS path, concat_ws(chr(10), CASE c_custkey % 3 WHEN 0 THEN 'import { generateText } from ''ai''' WHEN 1 THEN 'import OpenAI from "openai"' ELSE '// none' END,
-  'export async function POST(req) {', '  // ask the model', '  const a = generateText({x: 1})', '}', CASE WHEN c_custkey % 2 = 0 THEN 'app.get("/v1/' || c_custkey || '", h)' ELSE 'embedMany(y)' END,
-  'tool({ name: 1 })') AS text
-FROM customer
-"""
-MANIFESTS = """
-SELECT CASE o_orderkey % 4 WHEN 0 THEN '.env' WHEN 1 THEN 'Dockerfile' WHEN 2 THEN 'requirements.txt' ELSE 'notes.txt' END AS name, o_orderkey AS k,
-  concat_ws(chr(10), 'OPENAI_API_KEY=x', 'SERVICE_BASE_URL = "https://h' || o_orderkey || '.org/v1"', 'CACHE_TTL: ' || o_orderkey % 900, CASE WHEN o_orderkey % 3 = 0 THEN 'langchain-core==0.2' ELSE 'openai>=1' END, 'anthropic==0.3') AS text
-FROM orders
-"""
-OPERATIONS = """
-SELECT 'src/u' || (user_id % 50) || '.py' AS path, CAST(event_id % 40 + 1 AS INT) AS line,
-  CASE event_id % 5 WHEN 0 THEN 'invoke_llm' WHEN 1 THEN 'embed' WHEN 2 THEN 'telemetry' WHEN 3 THEN 'vector_store_write' ELSE 'external' END AS kind,
-  CASE event_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'langsmith' ELSE '' END AS provider
-FROM events
-"""
-_TABLES = ("orders", "customer", "events")
-
+from riskweave.operators.python_facts import python_facts, python_files
+from riskweave.plans import derived as sources
+from riskweave.plans import scan
+from riskweave.plans.derived import ADDRESSES, FILES, JS, MANIFESTS, NUMBERS, OPERATIONS, PY, THRESHOLDS
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in sql}
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sources.TABLES if f"FROM {t}" in sql}
     sql = sql.replace("{", "{{").replace("}", "}}")
     for name in frames:
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
@@ -84,14 +51,12 @@ def masked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail and phone candidates of all documents, with their lines."""
-    wanted = [(k, p, 0) for k, p, *_ in rules.CANDIDATES if k in ("email", "phone")]
-    found = matches(table(spark, sf_dir, "documents"), ["doc_id"], "text", wanted)
+    found = pii.candidate_matches(table(spark, sf_dir, "documents"), ["doc_id"], "text", ("email", "phone"))
     return found.select("doc_id", "kind", "seq", "value", F.col("line").cast("long").alias("line"))
 
 
 def pages_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = [(k, p, 0) for k, p, *_ in rules.CANDIDATES if k in ("email", "phone", "cep")]
-    found = matches(table(spark, sf_dir, "pages"), ["page_id"], "html", wanted)
+    found = pii.candidate_matches(table(spark, sf_dir, "pages"), ["page_id"], "html", ("email", "phone", "cep"))
     return found.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"))
 
 
@@ -103,8 +68,7 @@ def path_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPF and e-mail candidates of derived files with tier and signals, discarded ones too."""
     files = as_files(derived(spark, sf_dir, FILES))
-    found = pii.candidates(files).where(F.col("kind").isin("cpf", "email"))
-    return pii.tiered(files, found).select("path", "kind", "line", "tier", F.array_join("signals", ",").alias("signals"))
+    return pii.tiered(files, ("cpf", "email")).select("path", "kind", "line", "tier", F.array_join("signals", ",").alias("signals"))
 
 
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +77,7 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def js_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.js_facts(as_files(derived(spark, sf_dir, JS)))
-    return rows.select("path", "fact", "kind", "name", "provider", F.col("line").cast("int").alias("line"), "enclosing", "prev_comment")
+    return rows.select("path", "fact", "kind", "name", "provider", "line", "at", "snippet", "enclosing", "prev_comment")
 
 
 def framework(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +97,21 @@ def provider_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("provider", F.round("share", 9).alias("share"))
 
 
+def providers_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, MANIFESTS).select(F.concat(F.col("k").cast("string"), F.lit("/"), "name").alias("path"), "name", "text")
+    return facts.providers_declared(facts.config_facts(rows))
+
+
+def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, OPERATIONS)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tiers(spark, sf_dir).where("tier != 'discarded'")
+
+
 def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    operations = derived(spark, sf_dir, OPERATIONS)
-    findings = context_tiers(spark, sf_dir).where("tier != 'discarded'")
-    return risk.register(risk_catalog(spark), operations, findings)
+    return risk.register(risk_catalog(spark), _operations(spark, sf_dir), _findings(spark, sf_dir))
 
 
 def risk_register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,40 +121,93 @@ def risk_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place, articles and mitigation that the findings list shows for each risk."""
+    place = F.col("first_place")
+    return _risks(spark, sf_dir).select(
+        "id", place["file"].alias("file"), place["line"].alias("line"), place["kind"].alias("kind"), F.greatest(F.col("places") - 1, F.lit(0)).alias("more"),
+        scan.articles(F.col("artigos")).alias("articles"), F.size("mitigacoes").alias("mitigations"),
+    )
+
+
 def risk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.verdict(_risks(spark, sf_dir), "Alto")
 
 
+def gate_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.verdict(_risks(spark, sf_dir), None)
+
+
+def gate_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.verdict(_risks(spark, sf_dir), "Crítico")
+
+
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.histogram(_risks(spark, sf_dir)).select("level", "n")
 
 
+def residual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.residual_summary(_risks(spark, sf_dir))
+
+
 def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risks in the order of the findings list: worst first, then as in the catalog."""
     rows = _risks(spark, sf_dir).select("id", "ord", "nivel_inerente", columns.ordinal(F.col("nivel_inerente")).alias("o"))
-    from pyspark.sql import Window
-
     return rows.select("id", "nivel_inerente", F.row_number().over(Window.orderBy(F.desc("o"), "ord")).alias("place"))  # 28 rows at most
 
 
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each location of each result of the derived scan's SARIF log."""
+    operations, findings, catalog = _operations(spark, sf_dir), _findings(spark, sf_dir), risk_catalog(spark)
+    rows = scan.sarif_locations(risk.register(catalog, operations, findings), risk.evidence_rows(catalog, operations, findings))
+    return rows.select("rule", "level", "uri", "line")
+
+
+def empty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the derived Python modules make an empty scan, and whether their build folder alone does."""
+    found = python_facts(as_files(derived(spark, sf_dir, PY)))
+    nothing = found.where("path LIKE 'build/%'")
+    each = [risk.emptiness(f.where("fact = 'operation'"), f.where("fact = 'entrypoint'"), 0.0).select(F.lit(name).alias("scan"), "empty") for name, f in (("all", found), ("build", nothing))]
+    return each[0].union(each[1])
+
+
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python and JavaScript files that a scan of the derived tree reads."""
+    files = as_files(derived(spark, sf_dir, JS)).union(as_files(derived(spark, sf_dir, PY)))
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("language"), "n") for name, rows in (("python", python_files(files)), ("javascript", facts.js_files(files)))]
+    return counts[0].union(counts[1])
+
+
+def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level that each given threshold names, and whether it names any (none names the gate that is off)."""
+    rows = derived(spark, sf_dir, THRESHOLDS)
+    known, level = columns.threshold(F.col("given"))
+    return rows.groupBy("given").agg(F.count(F.lit(1)).alias("n")).select("given", known.alias("known"), level.alias("level"), "n")
+
+
 def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = derived(spark, sf_dir, ADDRESSES)
     return rows.select("page_id", urls.looks_clonable(F.col("url")).alias("clonable"))
 
 
 def redacted_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, JS)
-    ops = facts.js_facts(as_files(rows)).where("fact = 'operation'")
-    return ops.select("path", "line", "kind", F.lit("").alias("snippet"), F.lit(None).cast("string").alias("prev_comment"))
+    """Operations and entrypoints of a redacted scan: operations lose their source text, all else stays."""
+    rows = facts.js_facts(as_files(derived(spark, sf_dir, JS)))
+    found = scan.Scan(rows, _findings(spark, sf_dir).withColumn("snippet", F.lit("x")), rows, "unknown", 0.0, 0, 0)
+    return scan.redacted(found).facts.select("path", "line", "fact", "kind", "snippet", "enclosing", "prev_comment")
+
+
+def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of the derived files reports of addresses and phone numbers, masked."""
+    rows = pii.scan_pii(derived(spark, sf_dir, FILES).select("path", F.substring_index(F.substring_index("path", "#", 1), "/", -1).alias("name"), F.split("path", "/").alias("parts"), "text"))
+    return rows.where(F.col("kind").isin("cpf", "email")).select("path", "kind", "line", "snippet", "confidence", "tier")
 
 
 def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of Python modules derived from customers; the syntax tree has no SQL."""
-    text = (
-        "SELECT 'svc/m' || c_custkey || '.py' AS path, concat_ws(chr(10), 'import httpx', 'from redis import Redis', 'store = Redis()', '@app.post(\"/x\")', 'async def run(a):', '    # ask',"
-        " '    r = await client.chat.completions.create(model=\"m' || c_custkey || '\")', '    store.set(a, r)', '    return httpx.get(\"https://h/' || c_custkey || '\")') AS text FROM customer"
+    """Facts of Python modules derived from customers."""
+    return python_facts(as_files(derived(spark, sf_dir, PY))).select(
+        "path", "fact", "kind", "name", "provider", "model", "line", "at", "snippet", "enclosing", "prev_comment", "return_var", "url"
     )
-    return python_facts(as_files(derived(spark, sf_dir, text))).drop("parameters")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +215,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, js_facts, framework, config_values, provider_share,
-    risk_register, risk_gate, risk_levels, findings_order, url_checks, redacted_operations, python_calls,
+    numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, pii_findings, js_facts, framework, config_values,
+    providers_declared, provider_share, risk_register, first_evidence, risk_gate, gate_off, gate_critical, risk_levels, residual_summary, findings_order,
+    sarif_results, empty_scan, file_counts, thresholds, url_checks, redacted_operations, python_calls,
 )
 
 
@@ -199,4 +228,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from riskweave.plans import oracles
 
-    return oracles.sql(NUMBERS, FILES, JS, MANIFESTS, OPERATIONS, ROWS)
+    return oracles.sql(ROWS)

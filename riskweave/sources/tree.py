@@ -34,7 +34,10 @@ class Some(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    """The driver lists the tree; executors, which must see the same folder, read FILES files a task."""
+    """The driver lists the tree; executors, which must see the same folder, read FILES files a task.
+
+    A file that can't be read fails the scan: a gate must not pass because of what it hasn't seen.
+    """
 
     FILES = 512
 
@@ -46,19 +49,16 @@ class TreeReader(DataSourceReader):
         found = []
         for folder, folders, names in os.walk(self.root):
             folders[:] = sorted(f for f in folders if f not in self.skipped)
-            found += [os.path.relpath(os.path.join(folder, n), self.root) for n in sorted(names)]
+            found += [os.path.relpath(full, self.root) for full in (os.path.join(folder, n) for n in sorted(names)) if os.path.isfile(full)]
         return [Some(found[a : a + self.FILES]) for a in range(0, len(found), self.FILES)] or [Some([])]
 
     def read(self, partition: Some) -> Iterator[tuple]:
         for path in partition.paths:
             full = os.path.join(self.root, path)
-            try:
-                if not os.path.isfile(full) or (self.most and os.path.getsize(full) > self.most):
-                    continue
-                with open(full, encoding="utf-8", errors="ignore") as f:  # invalid bytes go; line ends become \n
-                    yield PurePosixPath(path).as_posix(), f.read()
-            except OSError:
+            if self.most and os.path.getsize(full) > self.most:
                 continue
+            with open(full, encoding="utf-8", errors="ignore") as f:  # invalid bytes go; line ends become \n
+                yield PurePosixPath(path).as_posix(), f.read()
 
 
 class TreeSource(DataSource):

@@ -28,7 +28,7 @@ def test_register_counts_places(spark):
 def test_artifact_lists_are_frames(spark, tmp_path):
     none = spark.createDataFrame([], facts.FACT)
     found = spark.createDataFrame([("a\n\"é", "cpf", 1)], "path string, kind string, line int")
-    config = spark.createDataFrame([("x", "file")] * 3, "path string, fact string")
+    config = spark.createDataFrame([("x", "file", "x")] * 3, "path string, fact string, name string")
     data = plan.artifact(spark, plan.Scan(none, found, config, "none", 0.5, 1, 0), "l")
     assert all(isinstance(data["scan"][k], DataFrame) for k in ("facts", "pii_findings", "config"))
     plan.write_artifact(data, str(tmp_path / "s.json"))

@@ -143,7 +143,7 @@ def test_tiers(spark):
             ("k.py", f"mock_user = 1\ncpf {cpf}"),
         ],
     )
-    got = {r["path"]: (r["tier"], r["signals"]) for r in pii.tiered(rows, pii.candidates(rows).where("kind IN ('cpf', 'email')")).collect()}
+    got = {r["path"]: (r["tier"], r["signals"]) for r in pii.tiered(rows, ("cpf", "email")).collect()}
     assert got == {
         "a.py": ("high", ["keyword:cpf"]),
         "b.py": ("low", ["checksum_only"]),
@@ -235,7 +235,7 @@ def test_command_line(spark, project, tmp_path, capsys):
     assert cli.main(["check", str(project), "--fail-on", "high", "--summary-md", str(summary), "--sarif", str(log), "--json"]) == 4
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["breached"] and out["worst"] == "Alto" and out["counts"]["Crítico"] == 0
-    assert "Gate falhou" in summary.read_text() and "`AI-001`" in summary.read_text() and json.loads(log.read_text())["runs"]
+    assert "Reprovado" in summary.read_text() and "`AI-001`" in summary.read_text() and json.loads(log.read_text())["runs"]
     assert cli.main(["check", str(project), "--fail-on", "critico"]) == 0
     assert cli.main(["check", str(tmp_path / "none")]) == 2 and cli.main(["check", str(project), "--fail-on", "x"]) == 2
     (tmp_path / "empty").mkdir()
