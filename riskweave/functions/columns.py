@@ -2,92 +2,101 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave.functions import rules
 
 
+def literal(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with a name for a value that is made once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def applied(sql: str, **values: Column) -> Column:
+    """SQL over ``x``, a struct of the given columns. One parsed text takes the place of very many column calls."""
+    return F.get(F.call_function("transform", F.array(F.struct(*[v.alias(k) for k, v in values.items()])), F.expr(f"x -> {sql}")), F.lit(0))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def _digit(d: Column, i: int) -> Column:
-    return F.ascii(F.substring(d, i + 1, 1)) - 48
+def _digit(i: int) -> str:
+    return f"(ascii(substring(d, {i + 1}, 1)) - 48)"
 
 
-def _dot(d: Column, weights: list[int], start: int = 0) -> Column:
-    return reduce(lambda a, b: a + b, [_digit(d, start + i) * w for i, w in enumerate(weights)])
+def _dot(weights: list[int], start: int = 0) -> str:
+    return "(" + " + ".join(f"{_digit(start + i)} * {w}" for i, w in enumerate(weights)) + ")"
 
 
-def _sane(d: Column, n: int) -> Column:
-    return (F.length(d) == n) & (F.replace(d, F.substring(d, 1, 1), F.lit("")) != "")
+def _valid(value: str, n: int, checks: list[str]) -> str:
+    """Whether n digits, not all the same, pass the checks, which are SQL over the digits ``d``."""
+    sane = f"length(d) = {n} AND replace(d, substring(d, 1, 1), '') != ''"
+    test = bound(f"regexp_replace({value}, {literal(chr(92) + 'D')}, '')", "d", f"CASE WHEN {sane} THEN {' AND '.join(checks)} ELSE false END")
+    return f"coalesce({test}, false)"
 
 
-def _valid(value: Column, n: int, checks) -> Column:
-    """Whether n digits, not all the same, pass the checks. The digits are bound once, not made anew for each use."""
+def cpf_sql(value: str) -> str:
+    return _valid(value, 11, [f"{_dot(list(range(n + 1, 1, -1)))} * 10 % 11 % 10 = {_digit(n)}" for n in (9, 10)])
 
-    def test(d: Column) -> Column:
-        return F.when(_sane(d, n), reduce(lambda a, b: a & b, checks(d))).otherwise(False)
 
-    return F.coalesce(F.get(F.transform(F.array(digits(value)), test), F.lit(0)), F.lit(False))
+def cnpj_sql(value: str) -> str:
+    weights = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    rests = [(f"{_dot(w)} % 11", _digit(len(w))) for w in (weights, [6, *weights])]
+    return _valid(value, 14, [f"CASE WHEN {rest} < 2 THEN 0 ELSE 11 - {rest} END = {digit}" for rest, digit in rests])
 
 
-def is_cpf(value: Column) -> Column:
-    def checks(d: Column) -> list[Column]:
-        return [_dot(d, list(range(n + 1, 1, -1))) * 10 % 11 % 10 == _digit(d, n) for n in (9, 10)]
+def cnh_sql(value: str) -> str:
+    one = f"{_dot(list(range(9, 0, -1)))} % 11"
+    two = f"({_dot(list(range(1, 10)))} % 11 - CASE WHEN {one} >= 10 THEN 2 ELSE 0 END)"
+    two = f"CASE WHEN {two} < 0 THEN {two} + 11 ELSE {two} END"
+    return _valid(value, 11, [f"CASE WHEN {x} >= 10 THEN 0 ELSE {x} END = {_digit(n)}" for n, x in ((9, one), (10, f"({two})"))])
 
-    return _valid(value, 11, checks)
 
+def titulo_sql(value: str) -> str:
+    one = f"{_dot(list(range(2, 10)))} % 11 % 10"
+    two = f"({_digit(8)} * 7 + {_digit(9)} * 8 + {one} * 9) % 11 % 10"
+    return _valid(value, 12, [f"{_digit(8)} * 10 + {_digit(9)} BETWEEN 1 AND 28", f"{one} = {_digit(10)}", f"{two} = {_digit(11)}"])
 
-def is_cnpj(value: Column) -> Column:
-    weights = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
-    def checks(d: Column) -> list[Column]:
-        rests = [(_dot(d, w) % 11, _digit(d, len(w))) for w in (weights, [6, *weights])]
-        return [F.when(rest < 2, 0).otherwise(11 - rest) == digit for rest, digit in rests]
+def pis_sql(value: str) -> str:
+    check = f"(11 - {_dot([3, 2, 9, 8, 7, 6, 5, 4, 3, 2])} % 11)"
+    return _valid(value, 11, [f"CASE WHEN {check} >= 10 THEN 0 ELSE {check} END = {_digit(10)}"])
 
-    return _valid(value, 14, checks)
 
+def is_cpf(value: Column) -> Column:
+    return applied(cpf_sql("x.v"), v=value)
+
+
+def is_cnpj(value: Column) -> Column:
+    return applied(cnpj_sql("x.v"), v=value)
 
-def is_cnh(value: Column) -> Column:
-    def checks(d: Column) -> list[Column]:
-        one = _dot(d, list(range(9, 0, -1))) % 11
-        two = _dot(d, list(range(1, 10))) % 11 - F.when(one >= 10, 2).otherwise(0)
-        two = F.when(two < 0, two + 11).otherwise(two)
-        return [F.when(one >= 10, 0).otherwise(one) == _digit(d, 9), F.when(two >= 10, 0).otherwise(two) == _digit(d, 10)]
 
-    return _valid(value, 11, checks)
+def is_cnh(value: Column) -> Column:
+    return applied(cnh_sql("x.v"), v=value)
 
 
 def is_titulo_eleitor(value: Column) -> Column:
-    def checks(d: Column) -> list[Column]:
-        one = _dot(d, list(range(2, 10))) % 11 % 10
-        two = (_digit(d, 8) * 7 + _digit(d, 9) * 8 + one * 9) % 11 % 10
-        return [(_digit(d, 8) * 10 + _digit(d, 9)).between(1, 28), one == _digit(d, 10), two == _digit(d, 11)]
-
-    return _valid(value, 12, checks)
+    return applied(titulo_sql("x.v"), v=value)
 
 
 def is_pis(value: Column) -> Column:
-    def checks(d: Column) -> list[Column]:
-        check = 11 - _dot(d, [3, 2, 9, 8, 7, 6, 5, 4, 3, 2]) % 11
-        return [F.when(check >= 10, 0).otherwise(check) == _digit(d, 10)]
+    return applied(pis_sql("x.v"), v=value)
 
-    return _valid(value, 11, checks)
 
-
-VALIDATORS = {"cpf": is_cpf, "cnpj": is_cnpj, "cnh": is_cnh, "titulo_eleitor": is_titulo_eleitor}
+VALIDATORS = {"cpf": cpf_sql, "cnpj": cnpj_sql, "cnh": cnh_sql, "titulo_eleitor": titulo_sql}
 
 
 def is_valid(kind: Column, value: Column) -> Column:
     """Whether a candidate of the kind has right check digits; kinds without such digits pass."""
-    out = F.lit(True)
-    for name, check in VALIDATORS.items():
-        out = F.when(kind == name, check(value)).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN '{name}' THEN {check('x.v')}" for name, check in VALIDATORS.items())
+    return applied(f"CASE x.k {cases} ELSE true END", k=kind, v=value)
 
 
 def masked(kind: Column, value: Column) -> Column:
@@ -115,24 +124,29 @@ def _quoted(word: str) -> str:
     return word.replace("-", r"\-")
 
 
-def keyword_hit(line: Column, kind: str) -> Column:
+def keyword_sql(line: str, kind: str) -> str:
     """The first keyword of the kind that stands in the line between other characters than a-z and 0-9."""
-    low, out = F.lower(line), F.lit(None).cast("string")
-    for word in reversed(rules.KEYWORDS[kind]):
-        out = F.when(low.rlike(f"(?<![a-z0-9]){_quoted(word)}(?![a-z0-9])"), word).otherwise(out)
+    word = lambda w: literal(f"(?<![a-z0-9]){w}(?![a-z0-9])")
+    each = " ".join(f"WHEN low RLIKE {word(_quoted(w))} THEN {literal(w)}" for w in rules.KEYWORDS[kind])
     any_of = "|".join(map(_quoted, rules.KEYWORDS[kind]))
-    return F.when(low.rlike(f"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])"), out)  # most lines need one test only
+    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {word(f'(?:{any_of})')} THEN CASE {each} END END")  # most lines need one test only
 
 
-def marker_hit(line: Column) -> Column:
+def marker_sql(line: str) -> str:
     """``marker:`` and the word in a comment line, ``var_marker:`` and the word where one is assigned to, or null."""
-    low, comment, other = F.lower(line), F.lit(None).cast("string"), F.lit(None).cast("string")
-    body = F.lower(F.regexp_extract(line, "(?U)" + rules.COMMENT_LINE, 1))
-    for word in reversed(rules.MARKERS):
-        comment = F.when(body.rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])"), f"marker:{word}").otherwise(comment)
-        other = F.when(low.rlike(rf"(?U)(?<![a-z0-9]){word}\w*\s*[=:]"), f"var_marker:{word}").otherwise(other)
-    found = F.when(line.rlike("(?U)" + rules.COMMENT_LINE), comment).otherwise(other)
-    return F.when(low.rlike("|".join(rules.MARKERS)), found)
+    comment = literal("(?U)" + rules.COMMENT_LINE)
+    inside = " ".join(f"WHEN body RLIKE {literal(f'(?<![a-z0-9]){w}(?![a-z0-9])')} THEN 'marker:{w}'" for w in rules.MARKERS)
+    outside = " ".join(f"WHEN low RLIKE {literal(f'(?U)(?<![a-z0-9]){w}' + chr(92) + 'w*' + chr(92) + 's*[=:]')} THEN 'var_marker:{w}'" for w in rules.MARKERS)
+    said = bound(f"lower(regexp_extract({line}, {comment}, 1))", "body", f"CASE {inside} END")
+    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {literal('|'.join(rules.MARKERS))} THEN CASE WHEN {line} RLIKE {comment} THEN {said} ELSE CASE {outside} END END END")
+
+
+def keyword_hit(line: Column, kind: str) -> Column:
+    return applied(keyword_sql("x.v", kind), v=line)
+
+
+def marker_hit(line: Column) -> Column:
+    return applied(marker_sql("x.v"), v=line)
 
 
 def is_regex_line(line: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import rules
-from riskweave.operators.matches import bound, found_in
+from riskweave.functions.columns import bound
+from riskweave.operators.matches import all_found, found_in
 
 FACT = "path string, fact string, kind string, name string, provider string, model string, line int, at long, snippet string, enclosing string, prev_comment string, return_var string, url string, parameters array<string>"
 
@@ -38,19 +39,13 @@ def js_matches(files: DataFrame) -> DataFrame:
         ("nextjs_route", u + rules.JS_HANDLER, 1), ("express_route", u + rules.JS_ROUTE, 2), ("call", u + rules.JS_CALL, 1),
         ("tool", u + rules.JS_TOOL, 0), ("function", u + rules.JS_FUNCTION, 3),
     ]
-    last = lambda lines: F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(-1))
-
-    def with_lines(lines: Column) -> Column:
-        def placed(x: Column) -> Column:
-            above = x["line"] - 1
-            near = F.slice(lines, F.greatest(F.lit(1), above - 15), F.least(above, F.lit(16)))
-            line = F.when(x["kind"] != "function", F.get(lines, above))
-            before = F.when((x["kind"] == "call") & (above > 0), F.coalesce(last(near), last(F.slice(lines, 1, above))))
-            return F.struct(x.alias("m"), line.alias("own"), before.alias("above"))
-
-        return F.transform(F.flatten(F.array_compact(F.array(*[found_in(F.col("text"), *p) for p in patterns]))), placed)
-
-    rows = files.select("path", js_provider(F.col("text")).alias("hint"), F.explode(bound(F.split("text", "\n", -1), with_lines)).alias("x"))
+    last = lambda lines: f"try_element_at(filter({lines}, l -> l != ''), -1)"
+    # The last 16 lines first: seldom is the line above empty so often.
+    above = f"CASE WHEN m.kind = 'call' AND m.line > 1 THEN coalesce({last('slice(ls, greatest(1, m.line - 16), least(m.line - 1, 16))')}, {last('slice(ls, 1, m.line - 1)')}) END"
+    row = f"named_struct('m', m, 'own', CASE WHEN m.kind != 'function' THEN get(ls, m.line - 1) END, 'above', {above})"
+    found = all_found([found_in("text", *p) for p in patterns])
+    placed = bound("split(text, '\\n', -1)", "ls", f"transform({found}, m -> {row})")
+    rows = files.select("path", js_provider(F.col("text")).alias("hint"), F.explode(F.expr(placed)).alias("x"))
     rows = rows.select("path", "hint", "x.m.*", F.col("x.own").alias("own"), F.col("x.above").alias("above"))
     names = F.when(F.col("kind") == "function", F.element_at(F.filter("groups", lambda g: F.coalesce(g, F.lit("")) != ""), 1))
     # A declaration counts once it has ended before the match begins.

@@ -7,69 +7,56 @@ a text with very many matches takes work in proportion to their number; texts ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.columns import bound, literal
+
 BLOCK = 256
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is made once; inside a lambda a column could be made anew for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _sums(block: str) -> str:
+    """SQL of a struct: for each number of an array the sum of those before it, and the sum of all."""
+    start = "named_struct('part', cast(array() AS array<bigint>), 'sum', 0L)"
+    return f"aggregate({block}, {start}, (a, y) -> named_struct('part', array_append(a.part, a.sum), 'sum', a.sum + y))"
 
 
-def running(values: Column) -> Column:
-    """For each element of an array of numbers: the sum of those before it."""
-    zero = F.lit(0).cast("bigint")
+def running(values: str) -> str:
+    """SQL of, for each element of an array of numbers, the sum of those before it."""
+    cut = f"transform(sequence(0, greatest(0, cast(ceil(size(every) / {BLOCK}) AS int) - 1)), n -> {_sums(f'slice(every, n * {BLOCK} + 1, {BLOCK})')})"
+    spread = bound(_sums("transform(own, c -> c.sum)"), "starts", "flatten(transform(own, (c, n) -> transform(c.part, z -> z + get(starts.part, n))))")
+    return bound(values, "every", bound(cut, "own", spread))
 
-    def sums(block: Column) -> Column:
-        start = F.struct(F.array().cast("array<bigint>").alias("all"), zero.alias("sum"))
-        return F.aggregate(block, start, lambda a, x: F.struct(F.array_append(a["all"], a["sum"]).alias("all"), (a["sum"] + x).alias("sum")))
 
-    def cut(every: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil(F.size(every) / BLOCK).cast("int") - 1)
-        return F.transform(F.sequence(F.lit(0), last), lambda k: sums(F.slice(every, k * BLOCK + 1, BLOCK)))
+def _breaks(text: str) -> str:
+    return f"cast(length({text}) - length(replace({text}, '\\n', '')) AS bigint)"
 
-    return bound(
-        bound(values, cut),
-        lambda own: bound(
-            sums(F.transform(own, lambda b: b["sum"])),
-            lambda starts: F.flatten(F.transform(own, lambda b, k: F.transform(b["all"], lambda x: x + F.get(starts["all"], k)))),
-        ),
-    )
 
+def found_in(text: str, kind: str, pattern: str, groups: int = 0, hint: str | None = None) -> str:
+    """SQL of an array of (kind, seq, value, line, at, groups), one for each match in a column, or null if there is none.
+
+    ``hint`` is a cheaper test that every text with a match passes.
+    """
+    p = literal(pattern)
+    every = ", ".join(f"'g{g}', regexp_extract_all({text}, {p}, {g})" for g in range(groups + 1))
+    # Piece k comes before match k; what follows a match begins with the next piece.
+    lines = running(f"transform(p.g0, (v, k) -> {_breaks('get(p.b, k)')} + {_breaks('v')})")
+    places = running("transform(p.g0, (v, k) -> cast(length(get(p.b, k)) + length(v) AS bigint))")
+    own = "array(" + ", ".join(f"get(p.g{g}, k)" for g in range(1, groups + 1)) + ")" if groups else "cast(array() AS array<string>)"
+    row = (
+        f"named_struct('kind', '{kind}', 'seq', k, 'value', v, 'line', cast(1 + get(q.l, k) + {_breaks('get(p.b, k)')} AS int),"
+        f" 'at', get(q.a, k) + length(get(p.b, k)), 'groups', {own})"
+    )
+    rows = bound(f"named_struct('l', {lines}, 'a', {places})", "q", f"transform(p.g0, (v, k) -> {row})")
+    tested = f"{text} RLIKE {p}" if hint is None else f"({hint}) AND {text} RLIKE {p}"
+    return f"CASE WHEN {tested} THEN {bound(f'named_struct({chr(39)}b{chr(39)}, split({text}, {p}, -1), {every})', 'p', rows)} END"
 
-def _breaks(text: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 
+def all_found(parts: list[str]) -> str:
+    return f"flatten(array_compact(array({', '.join(parts)})))"
 
-def found_in(text: Column, kind: str, pattern: str, groups: int = 0, hint: Column | None = None) -> Column:
-    """An array of (kind, seq, value, line, at, groups), one for each match, or null if there is none.
 
-    ``hint`` is a cheaper test that every text with a match passes.
-    """
-    every = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-
-    def listed(between: Column, values: Column) -> Column:
-        # Piece k comes before match k; what follows a match begins with the next piece.
-        lines = running(F.transform(values, lambda v, k: _breaks(F.get(between, k)) + _breaks(v)))
-        places = running(F.transform(values, lambda v, k: (F.length(F.get(between, k)) + F.length(v)).cast("bigint")))
-        columns = [values.alias("value"), lines.alias("line"), places.alias("at"), *(e.alias(f"g{n}") for n, e in enumerate(every[1:]))]
-        rows = bound(F.arrays_zip(*columns), lambda x: x)
-        return F.transform(
-            rows,
-            lambda x, k: F.struct(
-                F.lit(kind).alias("kind"), k.alias("seq"), x["value"].alias("value"), (1 + x["line"] + _breaks(F.get(between, k))).cast("int").alias("line"),
-                (x["at"] + F.length(F.get(between, k))).cast("bigint").alias("at"),
-                (F.array(*[x[f"g{n}"] for n in range(groups)]) if groups else F.array().cast("array<string>")).alias("groups"),
-            ),
-        )
-
-    tested = text.rlike(pattern) if hint is None else hint & text.rlike(pattern)
-    return F.when(tested, bound(F.struct(F.split(text, pattern, -1).alias("b"), every[0].alias("m")), lambda p: listed(p["b"], p["m"])))
-
-
-def matches(df: DataFrame, keys: list[str], text: str, patterns: list[tuple], hints: dict[str, Column] | None = None) -> DataFrame:
+def matches(df: DataFrame, keys: list[str], text: str, patterns: list[tuple], hints: dict[str, str] | None = None) -> DataFrame:
     """keys, kind, seq, value, line, at, groups for each match; patterns are (kind, Java pattern, groups to return)."""
-    found = [found_in(F.col(text), *p, hint=(hints or {}).get(p[0])) for p in patterns]
-    return df.select(*keys, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("m")).select(*keys, "m.*")
+    found = [found_in(f"`{text}`", *p, hint=(hints or {}).get(p[0])) for p in patterns]
+    return df.select(*keys, F.explode(F.expr(all_found(found))).alias("m")).select(*keys, "m.*")

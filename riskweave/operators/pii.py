@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, rules
-from riskweave.operators.matches import bound, found_in, matches
+from riskweave.functions.columns import bound, literal
+from riskweave.operators.matches import all_found, found_in, matches
 
 
 def text_files(files: DataFrame) -> DataFrame:
@@ -17,15 +18,15 @@ def text_files(files: DataFrame) -> DataFrame:
     )
 
 
-#: Cheaper tests that every text with a match of the kind passes.
-def _hints(text: Column) -> dict[str, Column]:
-    return {"email": text.contains("@"), "phone": text.rlike(r"(?U)\d{4}-?\d{4}"), "cep": text.rlike(r"(?U)\d-\d{3}")}
+def _hints(text: str) -> dict[str, str]:
+    """Cheaper tests that every text with a match of the kind passes."""
+    return {"email": f"contains({text}, '@')", "phone": f"{text} RLIKE {literal(r'(?U)\d{4}-?\d{4}')}", "cep": f"{text} RLIKE {literal(r'(?U)\d-\d{3}')}"}
 
 
 def candidate_matches(df: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...]) -> DataFrame:
     """keys, kind, seq, value, line, at of all matches of some kinds, whatever their check digits."""
     wanted = [(kind, pattern, 0) for kind, pattern, *_ in rules.CANDIDATES if kind in kinds]
-    return matches(df, keys, text, wanted, _hints(F.col(text))).drop("groups")
+    return matches(df, keys, text, wanted, _hints(f"`{text}`")).drop("groups")
 
 
 def candidates(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -37,13 +38,9 @@ def candidates(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
 KINDS = tuple(kind for kind, *_ in rules.CANDIDATES)
 
 
-def _first(lines: Column, test) -> Column:
-    """What ``test`` says of the first line of which it says anything."""
-    return F.get(F.filter(F.transform(lines, test), lambda x: x.isNotNull()), F.lit(0))
-
-
-def _keyword_of(kind: str):
-    return lambda line: columns.keyword_hit(line, kind)
+def _first(lines: str, test: str) -> Column:
+    """What ``test``, SQL over a line ``l``, says of the first line of which it says anything."""
+    return F.expr(f"get(filter(transform({lines}, l -> {test}), h -> h IS NOT NULL), 0)")
 
 
 def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -52,26 +49,18 @@ def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     Each match takes the lines around it from its own text, so nothing is joined or shuffled.
     """
     wanted = [c for c in rules.CANDIDATES if c[0] in (kinds or KINDS)]
-    hints = _hints(F.col("text"))
-    found = [found_in(F.col("text"), kind, pattern, hint=hints.get(kind)) for kind, pattern, *_ in wanted]
-    around = rules.LINES_AROUND
-
-    def with_lines(lines: Column) -> Column:
-        def near(x: Column) -> Column:
-            first = F.greatest(F.lit(1), x["line"] - around)
-            some = F.slice(lines, first, x["line"] + around - first + 1)
-            return F.struct(x["kind"].alias("kind"), x["seq"].alias("seq"), x["value"].alias("value"), x["line"].alias("line"), some.alias("near"), (x["line"] - first).alias("own"))
-
-        valid = F.filter(F.flatten(F.array_compact(F.array(*found))), lambda x: columns.is_valid(x["kind"], x["value"]))
-        return F.transform(valid, near)
-
-    rows = files.select("path", F.explode(bound(F.split("text", "\n", -1), with_lines)).alias("m")).select("path", "m.*")
-    start = F.greatest(F.lit(0), F.col("own") - rules.MARKER_LINES)
-    rows = rows.withColumns({"mark": _first(F.slice("near", start + 1, F.col("own") + rules.MARKER_LINES - start + 1), columns.marker_hit), "is_regex": columns.is_regex_line(F.get("near", F.col("own")))})
+    found = all_found([found_in("text", kind, pattern, hint=_hints("text").get(kind)) for kind, pattern, *_ in wanted])
+    around, near = rules.LINES_AROUND, rules.MARKER_LINES
+    first = f"greatest(1, m.line - {around})"
+    row = f"named_struct('kind', m.kind, 'seq', m.seq, 'value', m.value, 'line', m.line, 'near', slice(ls, {first}, m.line + {around} - {first} + 1), 'own', m.line - {first})"
+    rows = files.select("path", F.explode(F.expr(bound("split(text, '\\n', -1)", "ls", f"transform({found}, m -> {row})"))).alias("m")).select("path", "m.*")
+    rows = rows.where(columns.is_valid(F.col("kind"), F.col("value")))
+    close = f"slice(near, greatest(0, own - {near}) + 1, own + {near} - greatest(0, own - {near}) + 1)"
+    rows = rows.withColumns({"mark": _first(close, columns.marker_sql("l")), "is_regex": columns.is_regex_line(F.get("near", F.col("own")))})
     keyword, checked, confidence = F.lit(None).cast("string"), F.lit(False), F.lit(0.0)
     for kind, _, check, how in wanted:
         is_kind = F.col("kind") == kind
-        keyword = F.when(is_kind, _first(F.col("near"), _keyword_of(kind))).otherwise(keyword)
+        keyword = F.when(is_kind, _first("near", columns.keyword_sql("l", kind))).otherwise(keyword)
         checked = F.when(is_kind, F.lit(check)).otherwise(checked)
         confidence = F.when(is_kind, F.lit(how)).otherwise(confidence)
     rows = rows.withColumns({"keyword": keyword, "test": columns.is_test_path(F.col("path")), "meta": columns.is_meta_path(F.col("path"))})
