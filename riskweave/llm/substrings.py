@@ -12,8 +12,9 @@ symbol, with the least document; a shuffle by name tells documents which of thei
 
 Verify: only windows whose picked symbol is shared, and those that have none, are named themselves and shuffled; a
 window is removed where a smaller document has it. Windows inside a long symbol that a smaller document has are
-settled without that. What removes words, a window or a long symbol, goes by two independent names of 64 bits each, both
-made of its words; so two different windows are taken for one with a chance of 2**-128 a pair.
+settled without that. What removes words, a window or a long symbol, goes by two independent names of 64 and 32 bits, both
+made of its words; so two different windows are taken for one with a chance of 2**-96 a pair (0.001 such pairs are to be
+expected among 1.5e13 windows, as 100 TB hold).
 
 Before each shuffle a task keeps one row for a name and batch of rows, so a name that a third of all documents
 have sends one row from each batch. Behind it Spark sorts each partition by name, and the rows are read in that order, so
@@ -44,9 +45,9 @@ ASK, KNOWN, SPAN = 0, 1, 2
 
 
 def span_names(names: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    """A name for the words from begins to ends; with ``other``, one that is independent of the first."""
+    """A name for the words from begins to ends; with ``other``, one of 32 bits that is independent of the first."""
     if other:
-        names = mix(names ^ np.uint64(0xA3B195354A39B70D))
+        return span_names(mix(names ^ np.uint64(0xA3B195354A39B70D)), begins, ends) >> np.uint64(32)
     up, down = powers(len(names) + 1)
     sums = np.zeros(len(names) + 1, dtype=np.uint64)
     np.cumsum(names * up[: len(names)], out=sums[1:])
@@ -185,7 +186,7 @@ class Parse:
 
 
 def lead(keys: np.ndarray, others: np.ndarray, docs: np.ndarray, either: np.ndarray) -> list[np.ndarray]:
-    """Rows (key, other, doc, kind) for a batch: what the batch itself tells is KNOWN, and the least document of a key asks.
+    """Rows (key, tag, doc) for a batch: what the batch itself tells is KNOWN, and the least document of a key asks.
 
     A key with ``either`` is of interest to all its documents if there are two; any other to all but the least.
     """
@@ -197,16 +198,17 @@ def lead(keys: np.ndarray, others: np.ndarray, docs: np.ndarray, either: np.ndar
     keys, others, rank, either = keys[new], others[new], rank[new], either[new]
     later, several, _ = Meetings().feed([keys, others], rank)
     out = np.concatenate((np.flatnonzero(starts([keys, others])), np.flatnonzero(later | (several & either))))
-    kind = np.full(len(out), KNOWN, dtype=np.int8)
-    kind[: len(out) - int((later | (several & either)).sum())] = ASK
-    return [keys[out], others[out], ids[rank[out]], kind]
+    asks = len(out) - int((later | (several & either)).sum())
+    tags = others[out].astype(np.int64)
+    tags[asks:] += KNOWN << 32
+    return [keys[out], tags, ids[rank[out]]]
 
 
-def _batch(keys: np.ndarray, others: np.ndarray, docs: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(others.view(np.int64)), pa.array(docs), pa.array(kinds)], names=["key", "other", "doc", "kind"])
+def _batch(keys: np.ndarray, tags: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tags), pa.array(docs)], names=["key", "tag", "doc"])
 
 
-_ROWS = "key long, other long, doc long, kind byte"
+_ROWS = "key long, tag long, doc long"  # the tag is the kind of row (upper half) and the other name
 
 
 def _decide(all_even: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -215,16 +217,16 @@ def _decide(all_even: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meetings = Meetings()
         for batch in batches:
-            key, other, doc, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            told, ask = kind != ASK, kind == ASK
-            yield _batch(key[told], other[told], doc[told], kind[told])
-            key, other, doc, kind = key[ask], other[ask], doc[ask], kind[ask]
-            later, several, owed = meetings.feed([key, other], doc, kind)
+            key, tag, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            told = tag >> 32 != ASK
+            yield _batch(key[told], tag[told], doc[told])
+            key, tag, doc = key[~told], tag[~told], doc[~told]
+            later, several, owed = meetings.feed([key, tag], doc)
             if all_even:
                 later = np.where(key & 1 == 0, several, later)
                 if len(owed[0]) and owed[0][0] & 1 == 0:
-                    yield _batch(*owed[:3], np.full(1, KNOWN, dtype=np.int8))
-            yield _batch(key[later], other[later], doc[later], np.full(int(later.sum()), KNOWN, dtype=np.int8))
+                    yield _batch(owed[0], owed[1] + (KNOWN << 32), owed[2])
+            yield _batch(key[later], tag[later] + (KNOWN << 32), doc[later])
 
     return decide
 
@@ -261,7 +263,8 @@ def _within(names: np.ndarray, others: np.ndarray, texts: np.ndarray, lists: lis
     if not len(names):
         return np.zeros(0, dtype=bool)
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = [(np.concatenate(lists).view(np.uint64), names), (np.concatenate(other_lists).view(np.uint64), others), (of, texts)]
+    known_others = np.concatenate(other_lists).astype(np.int32).view(np.uint32).astype(np.uint64)
+    columns = [(np.concatenate(lists).view(np.uint64), names), (known_others, others), (of, texts)]
     name, other, text = (np.concatenate((known.astype(own.dtype), own)) for known, own in columns)
     mine = np.arange(len(text)) >= len(of)
     order = np.lexsort((mine, other, text, name))
@@ -308,7 +311,7 @@ def _verify(window: int, long: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             yield _batch(*lead(key, np.concatenate(others), np.concatenate(docs), np.zeros(len(key), dtype=bool)))
             if spans:
                 span = np.concatenate(spans)
-                yield _batch(span, np.zeros(len(span), dtype=np.uint64), np.concatenate(span_docs), np.full(len(span), SPAN, dtype=np.int8))
+                yield _batch(span, np.full(len(span), SPAN << 32), np.concatenate(span_docs))
 
     return verify
 
@@ -365,14 +368,15 @@ def dedup_substrings(
     rest = F.struct(*keep) if keep else F.lit(None).cast("boolean")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), rest.alias("rest"))
     kind = docs.schema["rest"].dataType.simpleString()
-    sorted_by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "other", "doc")
-    lists = lambda wanted, *names: [F.collect_list(F.when(wanted, F.col(c))).alias(alias) for c, alias in names]
+    sorted_by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "tag", "doc")
+    other = F.shiftright(F.shiftleft("tag", 32), 32).cast("int")
+    lists = lambda wanted, *names: [F.collect_list(F.when(wanted, c)).alias(alias) for c, alias in names]
     found = sorted_by_key(docs.select("doc_id", "text").mapInArrow(_reveal(window, long), _ROWS)).mapInArrow(_decide(True), _ROWS)
-    shared = found.groupBy(F.col("doc").alias("_doc")).agg(*lists(F.lit(True), ("key", "shared"), ("other", "shared_other")))
+    shared = found.groupBy(F.col("doc").alias("_doc")).agg(*lists(F.lit(True), (F.col("key"), "shared"), (other, "shared_other")))
     asked = docs.join(shared, docs["doc_id"] == shared["_doc"], "left").select("doc_id", "text", "rest", "shared", "shared_other")
     told = sorted_by_key(asked.mapInArrow(_verify(window, long), _ROWS)).mapInArrow(_decide(False), _ROWS)
-    is_span = F.col("kind") == SPAN
-    gone = told.groupBy(F.col("doc").alias("_doc")).agg(*lists(~is_span, ("key", "gone"), ("other", "gone_other")), *lists(is_span, ("key", "spans")))
+    is_span = F.shiftright("tag", 32) == SPAN
+    gone = told.groupBy(F.col("doc").alias("_doc")).agg(*lists(~is_span, (F.col("key"), "gone"), (other, "gone_other")), *lists(is_span, (F.col("key"), "spans")))
     last = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").select("doc_id", "text", "rest", "gone", "gone_other", "spans")
     return last.mapInArrow(_strip(window, original), f"doc_id long, n_words long, n_removed long, kept_text string, rest {kind}")
 
