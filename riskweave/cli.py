@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.errors import PySparkException
 
+from riskweave.functions.catalog import CatalogError, read_catalog
 from riskweave.functions.urls import UnsafeGitUrlError
 from riskweave.plans import scan as plan
 from riskweave.sources import tree
@@ -19,7 +20,8 @@ def run_check(args: argparse.Namespace) -> int:
     """0 passed, 2 bad source or threshold, 3 nothing to scan, 4 breached."""
     try:
         threshold = plan.parse_threshold(args.fail_on)
-    except plan.ThresholdError as e:
+        catalog = read_catalog(args.catalog) if args.catalog else None
+    except (plan.ThresholdError, CatalogError) as e:
         print(e, file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession
@@ -39,7 +41,7 @@ def run_check(args: argparse.Namespace) -> int:
         if plan.risk.is_empty_scan(found.operations, found.of("entrypoint"), found.confidence):
             print("nothing to scan was found", file=sys.stderr)
             return 3
-        register = plan.register_of(spark, found).persist()
+        register = plan.register_of(spark, found, catalog).persist()
         rows, gate = register.drop("evidencia").collect(), plan.risk.verdict(register, threshold).first()
         operations, findings = found.operations.count(), found.findings.count()
         if args.summary_md:
@@ -73,6 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     check = commands.add_parser("check", help="scan a folder, a zip or a https repository")
     check.add_argument("source")
     check.add_argument("--fail-on", default="none")
+    check.add_argument("--catalog", help="a JSON file of risks instead of the bundled catalog")
     check.add_argument("--summary-md")
     check.add_argument("--sarif")
     check.add_argument("--scan-out")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 # id, category, description, articles, probability, impact, operations, flags, mitigations (text, probability cut, impact cut)
@@ -43,6 +46,43 @@ SCHEMA = (
 )
 
 
+NAMES = ("id", "categoria", "descricao", "artigos", "p", "i", "operations", "flags", "mitigacoes")
+
+
+class CatalogError(ValueError):
+    """A file that is no catalog of risks."""
+
+
+def read_catalog(path: str) -> list[tuple]:
+    """Rows of a catalog file that users can edit: a JSON list of objects with NAMES as keys.
+
+    Lists may be left out; a mitigation is an object with text, probability and impact (cuts, 0 if left out).
+    """
+    try:
+        entries = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        raise CatalogError(f"{path} can't be read as JSON") from e
+    if not isinstance(entries, list):
+        raise CatalogError(f"{path} holds no list")
+    rows = []
+    for n, entry in enumerate(entries, 1):
+        missing = {"id", "categoria", "descricao", "p", "i"} - entry.keys() if isinstance(entry, dict) else {"everything"}
+        if missing or entry.keys() - set(NAMES) or not all(isinstance(entry[k], int) and 1 <= entry[k] <= 5 for k in ("p", "i")):
+            raise CatalogError(f"{path}, entry {n}: it needs id, categoria, descricao, and p and i from 1 to 5, and may have {', '.join(NAMES)}")
+        steps = [(m["text"], int(m.get("probability", 0)), int(m.get("impact", 0))) for m in entry.get("mitigacoes", [])]
+        lists = [list(map(str, entry.get(k, []))) for k in ("artigos", "operations", "flags")]
+        rows.append((str(entry["id"]), entry["categoria"], entry["descricao"], lists[0], entry["p"], entry["i"], lists[1], lists[2], steps))
+    return rows
+
+
+def write_catalog(path: str, rows: list | None = None) -> None:
+    """The catalog as a file to edit."""
+    entries = [dict(zip(NAMES, row, strict=True)) for row in rows or ROWS]
+    for entry in entries:
+        entry["mitigacoes"] = [dict(zip(("text", "probability", "impact"), m, strict=True)) for m in entry["mitigacoes"]]
+    Path(path).write_text(json.dumps(entries, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+
+
 def risk_catalog(spark: SparkSession, rows: list | None = None) -> DataFrame:
     """The catalog as a frame; ``ord`` keeps its order. 28 rows, so it may be broadcast."""
-    return spark.createDataFrame([(n, *row) for n, row in enumerate(rows or ROWS)], SCHEMA)
+    return spark.createDataFrame([(n, *row) for n, row in enumerate(ROWS if rows is None else rows)], SCHEMA)

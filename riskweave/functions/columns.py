@@ -153,6 +153,11 @@ def is_regex_line(line: Column) -> Column:
     return line.rlike(rules.REGEX_ARTIFACT)
 
 
+def category(kind: Column) -> Column:
+    """The family of an integration's kind: vector, memory or else telemetry."""
+    return F.when(kind.startswith("vector"), "vector").when(kind.startswith("memory"), "memory").otherwise("telemetry")
+
+
 def tier(keyword: Column, compromised: Column, checked: Column) -> Column:
     return (
         F.when(keyword & ~compromised, "high")

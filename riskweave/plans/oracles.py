@@ -272,6 +272,7 @@ SELECT CASE WHEN langchain > 0 THEN 'langchain' ELSE 'other' END AS framework, r
         "config_values": f"WITH t AS ({manifests}) SELECT path, fact, name, value FROM ({declared}) UNION ALL {config('base_url', rules.BASE_URL)} UNION ALL {config('retention', rules.RETENTION)}",
         "providers_declared": f"WITH t AS ({manifests}) SELECT name, CAST(row_number() OVER (ORDER BY f.path, f.o) AS INT) AS place FROM (SELECT name, min({{'path': path, 'o': o}}) AS f FROM ({declared}) GROUP BY name)",
         "provider_share": f"SELECT provider, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ({OPERATIONS}) WHERE provider <> '' GROUP BY provider",
+        "integration_categories": f"SELECT split_part(kind, '_', 1) AS category, count(*) AS n FROM ({OPERATIONS}) WHERE kind IN ('telemetry', 'memory_persist', 'vector_store_write') GROUP BY 1",
         "risk_register": f"SELECT * EXCLUDE (ord) FROM ({reg})",
         "first_evidence": f"""{where}, f AS (SELECT id, min({{'branch': branch, 'path': path, 'line': line, 'kind': kind}}) AS f FROM e GROUP BY id)
 SELECT reg.id, f.path AS file, f.line AS line, f.kind AS kind, CAST(greatest(reg.places - 1, 0) AS BIGINT) AS more, c.law AS articles, CAST(c.steps AS INT) AS mitigations FROM reg JOIN c ON c.id = reg.id LEFT JOIN f ON f.id = reg.id""",

@@ -102,6 +102,12 @@ def providers_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.providers_declared(facts.config_facts(rows))
 
 
+def integration_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrations of the derived scan by family."""
+    rows = derived(spark, sf_dir, OPERATIONS).where(F.col("kind").rlike("^(vector|memory|telemetry)"))
+    return rows.groupBy(columns.category(F.col("kind")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, OPERATIONS)
 
@@ -216,7 +222,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, pii_findings, js_facts, framework, config_values,
-    providers_declared, provider_share, risk_register, first_evidence, risk_gate, gate_off, gate_critical, risk_levels, residual_summary, findings_order,
+    providers_declared, provider_share, integration_categories, risk_register, first_evidence, risk_gate, gate_off, gate_critical, risk_levels, residual_summary, findings_order,
     sarif_results, empty_scan, file_counts, thresholds, url_checks, redacted_operations, python_calls,
 )
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.functions import columns, urls
+from riskweave.functions import catalog, columns, urls
 from riskweave.operators import facts, pii, risk
 from riskweave.operators.matches import BLOCK, matches
 from riskweave.plans import scan as plan
@@ -94,3 +94,19 @@ def test_artifact_without_a_list_is_refused(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"format": "%s", "scan": {"facts": []}}' % plan.FORMAT)
     with pytest.raises(plan.ScanArtifactError):
         plan.read_artifact(spark, str(tmp_path / "s.json"))
+
+
+def test_catalog_file(spark, tmp_path):
+    path = tmp_path / "risks.json"
+    catalog.write_catalog(str(path))
+    assert catalog.read_catalog(str(path)) == catalog.ROWS
+    path.write_text('[{"id": "X-1", "categoria": "c", "descricao": "d", "p": 4, "i": 5, "flags": ["always"], "mitigacoes": [{"text": "m", "impact": 1}]}]')
+    rows = catalog.read_catalog(str(path))
+    none = spark.createDataFrame([], facts.FACT)
+    found = spark.createDataFrame([], "path string, kind string, line int, tier string")
+    got = risk.register(catalog.risk_catalog(spark, rows), none, found).collect()
+    assert [(r["id"], r["nivel_inerente"], r["impacto_residual"], r["mitigacoes"]) for r in got] == [("X-1", "Crítico", 4, ["m"])]
+    for bad in ("{}", "[1]", '[{"id": "X"}]', '[{"id": "X", "categoria": "c", "descricao": "d", "p": 9, "i": 1}]', "nothing"):
+        path.write_text(bad)
+        with pytest.raises(catalog.CatalogError):
+            catalog.read_catalog(str(path))
