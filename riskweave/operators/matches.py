@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.columns import bound, literal
 
 BLOCK = 256
+MARK, OTHER = "\uffff", "\ufffe"  # two characters that no pattern tells apart
 
 
 def _sums(block: str) -> str:
@@ -49,7 +50,10 @@ def found_in(text: str, kind: str, pattern: str, groups: int = 0, hint: str | No
     )
     rows = bound(f"named_struct('l', {lines}, 'a', {places})", "q", f"transform(p.g0, (v, k) -> {row})")
     tested = f"{text} RLIKE {p}" if hint is None else f"({hint}) AND {text} RLIKE {p}"
-    return f"CASE WHEN {tested} THEN {bound(f'named_struct({chr(39)}b{chr(39)}, split({text}, {p}, -1), {every})', 'p', rows)} END"
+    # Spark's split would compile the pattern for each row, its replacement does not. Only lengths and line breaks of the
+    # pieces count, so the mark may be taken out of the text before.
+    between = f"split(regexp_replace(translate({text}, '{MARK}', '{OTHER}'), {p}, '{MARK}'), '{MARK}', -1)"
+    return f"CASE WHEN {tested} THEN {bound(f'named_struct({chr(39)}b{chr(39)}, {between}, {every})', 'p', rows)} END"
 
 
 def all_found(parts: list[str]) -> str:

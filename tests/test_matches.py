@@ -21,7 +21,7 @@ def test_lines_of_repeated_and_null_keys(spark):
 
 @pytest.mark.parametrize("n", [1, BLOCK - 1, BLOCK, BLOCK + 1, 5 * BLOCK + 3])
 def test_many_matches_and_groups(spark, n):
-    text = "".join(f"k{i}=v\n" if i % 3 else f"\n\nkey {i} = ;" for i in range(n))
+    text = "\uffff\n" + "".join(f"k{i}=v\n" if i % 3 else f"\n\nkey {i} = ;" for i in range(n))
     pattern = r"(\d+)(\s?)="
     want = [(i, m[0], text.count("\n", 0, m.start()) + 1, m.start(), [m[1], m[2]]) for i, m in enumerate(re.finditer(pattern, text))]
     rows = matches(spark.createDataFrame([(text,)], "t string"), [], "t", [("x", pattern, 2)]).collect()
