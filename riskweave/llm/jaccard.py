@@ -27,8 +27,9 @@ outside its largest component with all of the key's, part by part. So a block of
 its size, and no link between different components is lost.
 
 Null ids: such rows have a size, link with nothing and get a null component. Null texts, and texts without words, have
-an empty set and link with nothing. Rows that share an id count as one document. An empty table gives an empty
-result; only the id and the text are read.
+an empty set and link with nothing. Rows that share an id count as one document. Of equal sets the smallest id stands for
+all. A long text makes a chunk of its own. An empty table gives an empty result; only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ others last for a chunk. Steps of all words of a chunk are drawn in one go, and
 Texts are handled in chunks of about half a million characters (a longer text makes one of its own).
 
 Nulls: a null text gives null samples, an empty text one empty sample. A null key is a key like any other. A text with
-fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. An
-empty table gives an empty result; only the named columns are read.
+fewer than k segmentations gives all it has, each with inclusion probability 1. Repeated rows get equal samples. Samples
+of one text are distinct; of equal values the one drawn first comes first. An empty table gives an empty result; only the
+named columns are read, so others may have any name (kept ones any but text, samples and round_trip).
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ Before each shuffle a task keeps one row for a name and batch of rows, so a name
 have sends one row from each batch. Behind it Spark sorts each partition by name, and the rows are read in that order, so
 no partition is held in a worker.
 
-Rows with a null id remove nothing from others and lose nothing; null texts have no words. Rows that share an id
-count as one document. An empty table gives an empty result; only the id and the text are read.
+Rows with a null id remove nothing from others and lose nothing; null texts have no words. Of equal windows those of the
+smallest id stay, all of them. Rows that share an id count as one document. A long text makes a chunk of its own, parsed as
+a whole. An empty table gives an empty result; only the id and the text are read, and kept columns may have any name.
 """
 
 from __future__ import annotations
