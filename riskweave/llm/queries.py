@@ -15,6 +15,7 @@ _NAMED = {
     "op8_quality": "quality",
     "op9_media": "media",
     "op10_licenses": "licenses",
+    "op11_divergence": "divergence",
 }
 
 
