@@ -16,6 +16,8 @@ _NAMED = {
     "op9_media": "media",
     "op10_licenses": "licenses",
     "op11_divergence": "divergence",
+    "op12_simhash": "simhash",
+    "op13_prefixes": "prefixes",
 }
 
 
