@@ -7,8 +7,10 @@ import json
 import sys
 import tempfile
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 
 from riskweave.functions.catalog import CatalogError, read_catalog
 from riskweave.functions.urls import UnsafeGitUrlError
@@ -16,6 +18,15 @@ from riskweave.plans import scan as plan
 from riskweave.sources import tree
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """Where a clone goes: a folder that executors see, of which ``spark.checkpoint.dir`` is one; in local mode any will do."""
+    found = urlsplit(spark.conf.get("spark.checkpoint.dir", None) or "")
+    if found.path and found.scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+        Path(found.path).mkdir(parents=True, exist_ok=True)
+        return found.path
+    return None
+
+
 def run_check(args: argparse.Namespace) -> int:
     """0 passed, 2 bad source or threshold, 3 nothing to scan, 4 breached."""
     try:
@@ -24,21 +35,19 @@ def run_check(args: argparse.Namespace) -> int:
     except (plan.ThresholdError, CatalogError) as e:
         print(e, file=sys.stderr)
         return 2
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.builder.appName("riskweave").getOrCreate()
-    with tempfile.TemporaryDirectory() as work:
+    with tempfile.TemporaryDirectory(dir=shared_folder(spark)) as work:
         try:
             root = tree.resolve(args.source, Path(work))
         except (OSError, tree.UnsafeZipError, tree.IngestError, UnsafeGitUrlError) as e:
             print(f"{args.source}: {e}", file=sys.stderr)
             return 2
         try:
-            found = plan.scan_tree(tree.read_tree(spark, str(root)))
-        except PySparkException as e:  # a file that can't be read may hold what the gate looks for
+            found = plan.scan_directory(spark, str(root))
+        except (PySparkException, plan.UnreadFileError) as e:  # a file that can't be read may hold what the gate looks for
             print(f"{args.source}: {e}", file=sys.stderr)
             return 2
-        if plan.risk.is_empty_scan(found.operations, found.of("entrypoint"), found.confidence):
+        if plan.risk.is_empty_scan(found.facts, found.confidence):
             print("nothing to scan was found", file=sys.stderr)
             return 3
         register = plan.register_of(spark, found, catalog).persist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, rules
@@ -31,8 +31,12 @@ def candidate_matches(df: DataFrame, keys: list[str], text: str, kinds: tuple[st
 
 def candidates(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """path, kind, seq, value, line of every candidate whose check digits, if its kind has any, are right."""
-    found = candidate_matches(files, ["path"], "text", kinds or KINDS).drop("at")
-    return found.where(columns.is_valid(F.col("kind"), F.col("value")))
+    if "piece" not in files.columns:
+        found = candidate_matches(files, ["path"], "text", kinds or KINDS).drop("at")
+        return found.where(columns.is_valid(F.col("kind"), F.col("value")))
+    every = _own(candidate_matches(files, ["path", *PIECE], "text", kinds or KINDS))
+    found = every.where(columns.is_valid(F.col("kind"), F.col("value")))
+    return _in_file(found, every, files).select("path", "kind", "seq", "value", "line")
 
 
 KINDS = tuple(kind for kind, *_ in rules.CANDIDATES)
@@ -43,18 +47,49 @@ def _first(lines: str, test: str) -> Column:
     return F.expr(f"get(filter(transform({lines}, l -> {test}), h -> h IS NOT NULL), 0)")
 
 
+PIECE = ["piece", "pieces", "own_from", "own_to"]
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """Without the matches that lie in the lines around a piece, which belong to its neighbours."""
+    return rows.where((F.col("at") >= F.col("own_from")) & (F.col("at") < F.col("own_to"))) if "piece" in rows.columns else rows
+
+
+def _in_file(rows: DataFrame, every: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines and numbers of matches in their file instead of their piece. ``every``: all matches of the pieces, valid or not.
+
+    The line breaks, and the matches of a kind, that come before a piece are running sums over the file's pieces; only counts are
+    summed, no texts, and only for files that have several pieces.
+    """
+    by = lambda *keys: Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    split = F.col("pieces") > 1
+    breaks = files.where(split).select(F.col("path").alias("_path"), "piece", "halo_breaks", F.coalesce(F.sum("own_breaks").over(by("path")), F.lit(0)).alias("_before"))
+    breaks = breaks.select("_path", F.col("piece").alias("_piece"), (F.col("_before") - F.col("halo_breaks")).cast("int").alias("_lines"))
+    counts = every.where(split).groupBy("path", "kind", "piece").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    counts = counts.select(
+        F.col("path").alias("_p"), F.col("kind").alias("_k"), F.col("piece").alias("_of"), (F.coalesce(F.sum("_n").over(by("path", "kind")), F.lit(0)) - F.col("_first")).cast("int").alias("_seq"),
+    )
+    rows = rows.join(breaks, (F.col("path") == F.col("_path")) & (F.col("piece") == F.col("_piece")), "left")
+    rows = rows.join(counts, (F.col("path") == F.col("_p")) & (F.col("kind") == F.col("_k")) & (F.col("piece") == F.col("_of")), "left")
+    none = F.lit(0)
+    return rows.withColumns({"line": F.col("line") + F.coalesce("_lines", none), "seq": F.col("seq") + F.coalesce("_seq", none)})
+
+
 def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Candidates with confidence, tier (high, low, discarded) and the signals that led to it.
 
-    Each match takes the lines around it from its own text, so nothing is joined or shuffled.
+    Each match takes the lines around it from its own text, so nothing is joined or shuffled; only for files in pieces, lines and
+    numbers are completed with what comes before the piece.
     """
+    in_pieces = "piece" in files.columns
     wanted = [c for c in rules.CANDIDATES if c[0] in (kinds or KINDS)]
     found = all_found([found_in("text", kind, pattern, hint=_hints("text").get(kind)) for kind, pattern, *_ in wanted])
     around, near = rules.LINES_AROUND, rules.MARKER_LINES
     first = f"greatest(1, m.line - {around})"
-    row = f"named_struct('kind', m.kind, 'seq', m.seq, 'value', m.value, 'line', m.line, 'near', slice(ls, {first}, m.line + {around} - {first} + 1), 'own', m.line - {first})"
-    rows = files.select("path", F.explode(F.expr(bound("split(text, '\\n', -1)", "ls", f"transform({found}, m -> {row})"))).alias("m")).select("path", "m.*")
-    rows = rows.where(columns.is_valid(F.col("kind"), F.col("value")))
+    row = f"named_struct('kind', m.kind, 'seq', m.seq, 'value', m.value, 'line', m.line, 'at', m.at, 'near', slice(ls, {first}, m.line + {around} - {first} + 1), 'own', m.line - {first})"
+    keys = ["path", *(PIECE if in_pieces else [])]
+    every = _own(files.select(*keys, F.explode(F.expr(bound("split(text, '\\n', -1)", "ls", f"transform({found}, m -> {row})"))).alias("m")).select(*keys, "m.*"))
+    rows = every.where(columns.is_valid(F.col("kind"), F.col("value")))
     close = f"slice(near, greatest(0, own - {near}) + 1, own + {near} - greatest(0, own - {near}) + 1)"
     rows = rows.withColumns({"mark": _first(close, columns.marker_sql("l")), "is_regex": columns.is_regex_line(F.get("near", F.col("own")))})
     keyword, checked, confidence = F.lit(None).cast("string"), F.lit(False), F.lit(0.0)
@@ -77,6 +112,8 @@ def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
             F.when(keyword.isNull() & ~compromised & checked, "checksum_only"),
         )
     )
+    if in_pieces:
+        rows = _in_file(rows, every.select("path", "pieces", "piece", "kind", "seq"), files)
     return rows.select(
         "path", "kind", "seq", "value", "line", confidence.alias("confidence"), level.alias("tier"), signals.alias("signals")
     )
@@ -84,7 +121,7 @@ def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
 
 def scan_pii(files: DataFrame, require_context: bool = True) -> DataFrame:
     """path, kind, line, snippet (masked), confidence, tier, signals; discarded findings are left out."""
-    some = text_files(files)
+    some = text_files(files.where("piece >= 0") if "piece" in files.columns else files)
     if require_context:
         rows = tiered(some).where("tier != 'discarded'")
     else:

@@ -119,11 +119,11 @@ def residual_summary(risks: DataFrame) -> DataFrame:
     return risks.groupBy("nivel_residual").agg(F.count(F.lit(1)).alias("n"))
 
 
-def emptiness(operations: DataFrame, entrypoints: DataFrame, confidence: float) -> DataFrame:
+def emptiness(facts: DataFrame, confidence: float) -> DataFrame:
     """One row, ``empty``: no framework is likely, and there is neither an operation nor an entrypoint."""
-    some = operations.select(F.lit(1).alias("x")).limit(1).union(entrypoints.select(F.lit(1)).limit(1))
+    some = facts.where(F.col("fact").isin("operation", "entrypoint")).select(F.lit(1).alias("x")).limit(1)
     return some.agg((F.count(F.lit(1)) == 0).alias("_none")).select((F.col("_none") & F.lit(confidence < 0.3)).alias("empty"))
 
 
-def is_empty_scan(operations: DataFrame, entrypoints: DataFrame, confidence: float) -> bool:
-    return bool(emptiness(operations, entrypoints, confidence).first()["empty"])
+def is_empty_scan(facts: DataFrame, confidence: float) -> bool:
+    return bool(emptiness(facts, confidence).first()["empty"])

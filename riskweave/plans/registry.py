@@ -176,7 +176,7 @@ def empty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the derived Python modules make an empty scan, and whether their build folder alone does."""
     found = python_facts(as_files(derived(spark, sf_dir, PY)))
     nothing = found.where("path LIKE 'build/%'")
-    each = [risk.emptiness(f.where("fact = 'operation'"), f.where("fact = 'entrypoint'"), 0.0).select(F.lit(name).alias("scan"), "empty") for name, f in (("all", found), ("build", nothing))]
+    each = [risk.emptiness(f, 0.0).select(F.lit(name).alias("scan"), "empty") for name, f in (("all", found), ("build", nothing))]
     return each[0].union(each[1])
 
 
