@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a frame that reads it.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return a frame that reads it; options are those of Parquet.
 
     This cuts the lineage: a lost executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,18 +1,19 @@
 """Source divergence audit by chunk factorization: how far a source's words are from those of the others of its language.
 
-1. Whitespace chunks are counted per document, a unit of about UNIT bytes of texts at a time: a row for each language,
-   source and chunk of a unit has its occurrences, its documents and, below ``least`` of them, which ones they are.
-2. Those rows meet by chunk. Each globally distinct chunk is cut into terms once, and its terms are joined back to the
-   counts: occurrences of a term are sums over its chunks.
-3. Distinct documents of a term: a chunk in ``least`` documents of the language settles it, and so do chunks that come to
-   fewer in all. Only for the terms between does the union of documents matter. All their chunks are rare, so the lists of
-   step 1 are complete for them; they are joined, and distinct documents counted.
+1. Whitespace chunks are counted per document, a unit of about UNIT bytes of texts at a time: a row for each language and
+   chunk of a unit has its occurrences by source (a source goes by a 64-bit code until the end), its number of documents and, below ``least`` of them, which ones they are.
+2. Those rows meet by chunk. Each globally distinct chunk is cut into terms once, and its counts go to each of its terms;
+   occurrences of a term are sums over its chunks.
+3. Distinct documents of a term: a chunk in ``least`` documents of the language settles it, and so do rare chunks that come
+   to fewer in all. Only for the terms between does the union of documents matter. All their chunks are rare, so the lists
+   of step 1 are complete for them; distinct documents are counted.
 4. Sources are compared in blocks of BLOCK sources. Each kept term of a language has a row for each block, with the
    probabilities of the block's sources; pairs of blocks meet by term, and a batch's contributions are summed in Python
    as whole matrices before they are shuffled.
 
-A hot language or source adds a row a unit to a chunk, no more; joins have unique right sides or can be split. Only counts are
-shuffled, no texts. What is asked for has a row for each pair of sources, so work on pairs grows with their number.
+A hot language adds a row a unit to a chunk, no more; a chunk's own counts have an entry a source, and joins have unique right
+sides or can be split. Only counts are shuffled, no texts. What is asked for has a row for each pair of sources, so work on
+pairs grows with their number.
 
 Nulls: a null language or source is '', a null text has no terms; its group still counts. A document is a row, so
 repeated rows are several documents. Ties rank by the bytes of the item. A long text is counted whole, in a unit of its own if
@@ -39,11 +40,22 @@ SCALE = 1_000_000_000
 UNIT = 24 << 20
 BLOCK = 64
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-COUNTED = "lang string, source string, chunk string, n long, df long, docs array<long>"
+COUNTED = "lang string, chunk string, sources array<long>, ns array<long>, df long, docs array<long>"
+
+
+def _codes(rows: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
+    coded = rows[column].combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _lists(sizes: np.ndarray, values: pa.Array, present: np.ndarray | None = None) -> pa.ListArray:
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=None if present is None else pa.array(~present))
 
 
 def _unit(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of whitespace chunks of some whole documents (id, lang, source, text)."""
+    """Counts of whitespace chunks of some whole documents (id, lang, code of the source, text)."""
     rows = pa.Table.from_batches(held).combine_chunks()
     words = pc.ascii_split_whitespace(pc.fill_null(rows["text"].cast(pa.large_string()), ""))
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
@@ -56,28 +68,27 @@ def _unit(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     size = len(coded.dictionary)
     keys, n = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)  # by document and chunk
     doc, chunk = keys // size, keys % size
-    lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
-    lang, source = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (lang, source))
-    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-    keys = group[doc] * size + chunk
+    (lang, langs), (sources, source) = _codes(rows, "lang"), np.unique(rows["code"].to_numpy(), return_inverse=True)
+    keys = (lang[doc] * size + chunk) * len(sources) + source[doc]
     order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], rows["id"].to_numpy()[doc[order]]
-    begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    df = np.diff(np.append(begins, len(keys)))
-    n = np.add.reduceat(n[order], begins)
-    few = df < least
-    offsets = np.concatenate(([0], np.cumsum(np.where(few, df, 0)))).astype(np.int32)
-    listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs[np.repeat(few, df)]), mask=pa.array(~few))
-    group, chunk = keys[begins] // size, keys[begins] % size
+    keys, docs, n = keys[order], rows["id"].to_numpy()[doc[order]], n[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    each = np.flatnonzero(new)  # language, chunk and source
+    whole = keys // len(sources)
+    both = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))  # language and chunk
+    df = np.diff(np.append(both, len(keys)))
+    n, few = np.add.reduceat(n, each).astype(np.int64), df < least
+    per = np.diff(np.append(np.searchsorted(each, both), len(each)))
     out = [
-        lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))),
-        coded.dictionary.take(pa.array(chunk)).cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(df.astype(np.int64)), listed,
+        langs.take(pa.array(whole[both] // size)), coded.dictionary.take(pa.array(whole[both] % size)).cast(pa.string()),
+        _lists(per, pa.array(sources[keys[each] % len(sources)])), _lists(per, pa.array(n)), pa.array(df.astype(np.int64)),
+        _lists(np.where(few, df, 0), pa.array(docs[np.repeat(few, df)]), few),
     ]
-    yield from pa.Table.from_arrays(out, names=["lang", "source", "chunk", "n", "df", "docs"]).to_batches(max_chunksize=20_000)
+    yield from pa.Table.from_arrays(out, names=["lang", "chunk", "sources", "ns", "df", "docs"]).to_batches(max_chunksize=20_000)
 
 
 def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
-    """Rows of COUNTED of (lang, source, text). A row's number serves as the document's; it only has to differ."""
+    """Rows of COUNTED of (lang, code, text). A row's number serves as the document's; it only has to differ."""
     bounded_batches(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,24 +102,39 @@ def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
         if held:
             yield from _unit(held, least)
 
-    return docs.select(F.monotonically_increasing_id().alias("id"), "lang", "source", "text").mapInArrow(count, COUNTED)
+    return docs.select(F.monotonically_increasing_id().alias("id"), "lang", "code", "text").mapInArrow(count, COUNTED)
+
 
+def chunk_terms(units: DataFrame, least: int) -> DataFrame:
+    """A row for each term of each distinct chunk: term, k (how often the chunk has it) and found, the chunk's counts as
+    (lang, code, n, most, docs): most is the chunk's number of documents in the language, docs tells them if they are few.
 
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """chunk, term and k (how often the term is in the chunk) of distinct chunks."""
+    Rows meet by chunk alone. What is known of a chunk's documents in a language comes first, so that only lists of chunks that
+    are rare in all go on; ``found`` then has an entry for each language and source and these few lists.
+    """
+    by = Window.partitionBy("chunk", "lang")
+    met = units.repartition("chunk").withColumn("most", F.sum("df").over(by))
+    each = met.select("chunk", "lang", "most", "docs", F.posexplode(F.arrays_zip("sources", "ns")).alias("at", "x"))
+    docs = F.when((F.col("most") < least) & (F.col("at") == 0), F.col("docs")).alias("docs")
+    each = each.select("chunk", "lang", F.col("x.sources").alias("code"), "most", docs, F.col("x.ns").alias("n"))
+    sums = each.groupBy("chunk", "lang", "code", "most", "docs").agg(F.sum("n").alias("n"))
+    chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "code", "n", "most", "docs")).alias("found"))
     lowered = F.translate("chunk", string.ascii_uppercase, string.ascii_lowercase)
-    found = chunks.select("chunk", F.explode(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("term"))
-    return found.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("k"))
+    terms = F.array_sort(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
+    # Equal terms are neighbours: how often each occurs is told by where the next one begins.
+    begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    rows = chunks.select(terms.alias("terms"), "found").where(F.size("terms") > 0).withColumn("begins", begins)
+    pairs = F.transform("begins", lambda b, i: F.struct(F.get("terms", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.size("terms")) - b).alias("k")))
+    return rows.select("found", F.explode(pairs).alias("x")).select("x.term", "x.k", "found")
 
 
-def kept_terms(units: DataFrame, forms: DataFrame, met: DataFrame, least: int) -> DataFrame:
+def kept_terms(forms: DataFrame, met: DataFrame, least: int) -> DataFrame:
     """lang and term, for terms in ``least`` documents of the language or more. ``met`` has lang, term, most (the documents
-    of the term's most frequent chunk) and all_df (the sum over its chunks)."""
+    of the term's most frequent chunk) and few (the sum over its rare chunks)."""
     sure = met.where(F.col("most") >= least).select("lang", "term")
-    open_ = met.where((F.col("most") < least) & (F.col("all_df") >= least)).select("lang", F.col("term").alias("_term"))
-    asked = forms.join(open_, F.col("term") == F.col("_term")).select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "term")
-    lists = units.where("docs IS NOT NULL").select("lang", "chunk", "docs")
-    listed = lists.join(asked, (F.col("lang") == F.col("_lang")) & (F.col("chunk") == F.col("_chunk")))
+    open_ = met.where((F.col("most") < least) & (F.col("few") >= least)).select(F.col("lang").alias("_lang"), F.col("term").alias("_term"))
+    rare = forms.select("term", F.explode(F.filter("found", lambda x: x["docs"].isNotNull())).alias("x")).select("term", "x.lang", "x.docs")
+    listed = rare.join(open_, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")))
     seen = listed.select("lang", "term", F.explode("docs").alias("doc")).distinct()
     return sure.union(seen.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang", "term"))
 
@@ -168,27 +194,26 @@ def pair_values(kept: DataFrame, counted: DataFrame, groups: DataFrame) -> DataF
 
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value and rank of (lang, source, text): see the module's docstring."""
-    docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    units = written(chunk_counts(docs, least), "chunk-counts")
-    # By chunk alone, so that the sums by language, source and chunk and those by language and chunk need one shuffle.
-    sums = units.select("lang", "source", "chunk", "n", "df").repartition("chunk").groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    chunks = written(sums.withColumn("all_df", F.sum("df").over(Window.partitionBy("chunk", "lang"))), "chunks")
-    forms = written(terms_of(chunks.select("chunk").distinct()), "chunk-terms")
-    joined = chunks.join(forms.withColumnRenamed("chunk", "_chunk"), F.col("chunk") == F.col("_chunk"))
-    counted = joined.groupBy("lang", "term", "source").agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.max("all_df").alias("most"), F.sum("df").alias("all_df"))
-    counted = written(counted, "term-counts")
-    met = counted.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("all_df").alias("all_df"), F.sum("n").alias("lang_n"))
-    kept = written(kept_terms(units, forms, met, least).join(met.select("lang", "term", "lang_n"), ["lang", "term"]), "kept-terms")
-    counted = counted.select("lang", "term", "source", "n").join(kept, ["lang", "term"])
+    docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], "text").withColumn("code", F.xxhash64("source"))
+    groups = written(docs.select("lang", "source", "code").distinct(), "groups")
+    if not groups.groupBy("lang", "code").count().where("count > 1").isEmpty():
+        raise ValueError("two sources have one code")  # 2**-64 a pair
+    forms = written(chunk_terms(chunk_counts(docs, least), least), "chunk-terms", compression="zstd")
+    each = forms.select("term", "k", F.explode("found").alias("x")).select("term", "k", "x.*")
+    counted = each.groupBy("lang", "term", "code").agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.max("most").alias("most"), F.sum(F.coalesce(F.size("docs"), F.lit(0))).alias("few"))
+    counted = written(counted, "term-counts", compression="zstd")
+    met = counted.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("few").alias("few"), F.sum("n").alias("lang_n"))
+    kept = written(kept_terms(forms, met, least).join(met.select("lang", "term", "lang_n"), ["lang", "term"]), "kept-terms")
+    counted = counted.select("lang", "term", "code", "n").join(kept, ["lang", "term"])
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, ["lang"], "left")
+    totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("total"))
+    groups = groups.join(totals, ["lang", "code"], "left").join(langs, ["lang"], "left")
     groups = groups.select(
-        "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")],
+        "lang", "source", "code", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")],
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("at"),
     )
     groups = written(groups, "groups")
-    counted = written(counted.join(groups, ["lang", "source"]).withColumn("p", probability(F.col("n"), F.col("total"), F.col("terms"))), "probabilities")
+    counted = written(counted.join(groups, ["lang", "code"]).withColumn("p", probability(F.col("n"), F.col("total"), F.col("terms"))), "probabilities")
 
     q = probability(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
     told = counted.withColumn("q", q).where("n > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
