@@ -3,9 +3,9 @@
 The model is a logistic regression on hashed n-grams: words (1 and 2) and characters (2 and 4). A text's feature in a
 family is the share of its n-grams that fall in a hashed place, so that a score is a sum of mean weights and needs no
 counting table. The steps of the fit end when rows that it doesn't see get no better. Platt's scaling on those rows makes
-the score a probability; a text is kept from KEEP_AT upwards. The fit uses up to SAMPLE labelled rows in hash order, as far
-as their texts come to FIT_BYTES (an id counts once, with its row of least hash); counts and scores cover all rows and
-whole texts, however long.
+the score a probability; a text is kept from KEEP_AT upwards. The fit uses up to SAMPLE labelled documents in hash order (an id
+counts once, with its row of least hash), of whose texts each is taken that still fits in FIT_BYTES; counts and scores cover
+all rows and whole texts, however long.
 
 Nulls: a null text has no words and fails the base rules; rows without a quality label are not learnt from, nor are null
 ids, which are scored like others. With no labels of both kinds, the base rules alone decide; of an id's several labels
@@ -164,8 +164,10 @@ def platt(score: np.ndarray, wanted: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Up to SAMPLE labelled texts of FIT_BYTES in all: the ids that come first in hash order."""
+    """Up to SAMPLE labelled texts of FIT_BYTES in all: the ids of documents that come first in hash order. A text that doesn't fit
+    any more is left out, and those after it still count."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a document take no place
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # so at most SAMPLE rows are broadcast
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     picked = F.broadcast(picked.select(F.col("doc_id").alias("_id"), "label"))
@@ -173,10 +175,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     narrow = narrow.groupBy("id", "label").agg(F.min(F.struct("hash", "size")).alias("row")).select("id", "label", "row.*")
     chosen, left = [], FIT_BYTES
     for r in sorted(narrow.collect(), key=lambda r: (zlib.crc32(repr(r["id"]).encode()), r["id"])):  # SAMPLE narrow rows at most
-        left -= r["size"]
-        if left < 0:
-            break
-        chosen.append((r["id"], r["hash"], r["label"]))
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r["id"], r["hash"], r["label"]))
     if not chosen:
         return []
     wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id long, _hash long, label int"))
