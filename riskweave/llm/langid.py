@@ -9,8 +9,9 @@ so the second product is done once.
 Every language is learnt. The fit uses up to PER_LANG rows of each, taken in hash order, and SAMPLE rows in all: with
 more than SAMPLE / PER_LANG languages each gets an equal share, one row at least, and MARKS landmarks as long as these
 are MOST_MARKS at most, one at least. All its texts come to FIT_BYTES at most, dealt to the languages alike (one row each
-may go beyond). An id counts once, with the least of its rows by language and hash. The weights take 4 * DIM bytes a
-language. The scoring covers all rows and whole texts, however long.
+may go beyond). An id counts once, in the rarest of its languages (unless that
+leaves another without any row), with its row of least hash. The weights take 4 * DIM bytes a
+language; more than MOST_LANGS languages are an error. The scoring covers all rows and whole texts, however long.
 
 Nulls: null text, or one without a letter, is ``und`` with score 0; rows without a language are not learnt from; a null
 id is an id like any other. With nothing to learn from, every row is ``und``. Of languages with equal scores the first
@@ -41,13 +42,18 @@ MOST_MARKS = 1024
 RIDGE = 1e-3
 ROWS = 64  # texts of a presence matrix
 REJECT = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGS = 512  # as the weights go to every worker
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:97] = 32
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[123:128] = 32
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """A row of DIM zeros and ones for each text, divided by the root of its number of ones."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -89,25 +95,32 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column) -> list[tuple[str, str]]:
     """The bounded sample: ids first, from two narrow columns, then their texts."""
-    able = F.col(text).rlike(r"[\p{L}\p{Nl}\p{No}]")  # as _LETTER
+    able = F.col(text).rlike(r"\p{L}")  # as has_letter
     rows = docs.where(learn & F.col(lang).isNotNull() & able).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = rows.select("id", "lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    # Distinct ids, as rows may repeat one very often; an estimate will do, for a threshold with room to spare.
+    found = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("null_id")).limit(MOST_LANGS + 1).collect()
+    if len(found) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: the column holds something else, or needs cleaning first")
+    counts = {r["lang"]: r["ids"] + r["null_id"] for r in found}
     each = max(1, min(PER_LANG, SAMPLE // max(1, len(counts))))
     # A hash threshold leaves about four times the rows wanted of each language, so that few rows are ranked at any size;
     # at least 64, so that none loses all its rows.
     order = F.xxhash64("id")
-    shares = [(name, min(1.0, max(64, 4 * each) / count)) for name, count in counts.items()]
-    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "_name string, _share double"))
+    shares = [(name, min(1.0, max(64, 4 * each) / count), count) for name, count in counts.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "_name string, _share double, _ids long"))
     few = known.join(shares, F.col("lang") == F.col("_name")).where(F.shiftrightunsigned(order, 11) < F.col("_share") * float(1 << 53))
-    few = few.groupBy("id").agg(F.min(F.struct("lang", "hash", "size")).alias("row")).select("id", "row.*")
-    by = Window.partitionBy("lang").orderBy(order, "id")
-    ranked = few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= each).withColumn("_sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    few = few.groupBy("id", "lang", "_ids").agg(F.min(F.struct("hash", "size")).alias("row")).select("id", "lang", "_ids", "row.*")
+    # An id of several languages counts in the rarest; a language of such ids alone keeps one.
+    few = few.withColumn("_other", F.min(F.struct("_ids", "lang")).over(Window.partitionBy("id"))["lang"] != F.col("lang"))
+    by = Window.partitionBy("lang").orderBy("_other", order, "id")
+    ranked = few.withColumn("_rank", F.row_number().over(by)).where((F.col("_rank") <= each) & (~F.col("_other") | (F.col("_rank") == 1)))
+    ranked = ranked.withColumn("_sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     picked = ranked.where((F.col("_rank") == 1) | (F.col("_sum") <= FIT_BYTES // max(1, len(counts)))).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("hash").alias("_hash"))
     # At most SAMPLE ids, or one a language: safe to broadcast.
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
-    got = rows.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["id"]).collect()
-    got = [r for r in got if r["lang"] in counts and _LETTER.search(r["text"])]
+    got = rows.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["id", "lang"]).collect()
+    got = [r for r in got if r["lang"] in counts and has_letter(r["text"])]
     return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (hash_order(r["id"]), r["lang"], r["text"]))]
 
 
@@ -126,7 +139,7 @@ def _told(rows: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
             for batch in slices(whole, 1, BATCH_BYTES):
                 texts = batch.column(1).to_pylist()
                 pred, best = ["und"] * len(texts), np.zeros(len(texts))
-                able = [i for i, t in enumerate(texts) if langs and t is not None and _LETTER.search(t)]
+                able = [i for i, t in enumerate(texts) if langs and t is not None and has_letter(t)]
                 for a in range(0, len(able), ROWS):
                     some = able[a : a + ROWS]
                     values = presence([texts[i] for i in some]) @ weights
