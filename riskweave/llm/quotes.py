@@ -9,9 +9,8 @@ one leads anywhere, the message hangs on that ancestor, the nearest one that its
 grow with the logarithm of a chain's length. A conversation is ordered by the root's turn, then by turn: every reply
 comes after what it answers.
 
-A conversation's rows are numbered by cells of one thread and RANGE turns each, whose sizes are summed first within
-RANGE threads, then over those; so a conversation that holds a third of all rows is spread over many tasks, also if it
-is one thread. The index is pre-aggregated, and all joins are on unique right sides.
+Places are dealt out by ranges (``numbering.py``), so a conversation that holds a third of all rows is spread over many tasks, also
+if it is one thread, or rows of one turn or of none. The index is pre-aggregated, and all joins are on unique right sides.
 
 Nulls: rows without a conversation or turn link with nothing; a null text is quoted by none and stays null. Rows that
 repeat a turn share its link and have places side by side, in order of role and text hash. Of turns with equally many
@@ -25,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import table, written
+from riskweave.llm.numbering import numbered
 
-RANGE = 512
 _MARKS = r"^((?:[ \t]{0,3}>)+)"
 
 
@@ -105,23 +104,10 @@ def reply_order(messages: DataFrame) -> DataFrame:
     joined = rows.join(tree, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     placed = joined.select(
         "conv_id", "turn", "role", "text", F.col("parent").alias("reply_to"), F.coalesce("root", "turn").alias("thread"),
-        F.coalesce("depth", F.lit(0)).alias("depth"), "quote_depth",
-    ).withColumns({"_threads": F.floor(F.col("thread") / RANGE), "_turns": F.floor(F.col("turn") / RANGE)})
-    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
-    cells = placed.groupBy("conv_id", "_threads", "thread", "_turns").agg(F.count(F.lit(1)).alias("_n"))
-    inner = before(Window.partitionBy("conv_id", "_threads").orderBy("thread", "_turns"))
-    cells = cells.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    ranges = cells.groupBy("conv_id", "_threads").agg(F.sum("_n").alias("_n"))
-    outer = before(Window.partitionBy("conv_id").orderBy("_threads"))
-    ranges = ranges.select(F.col("conv_id").alias("_conv"), F.col("_threads").alias("_from"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_outer"))
-    starts = cells.join(ranges, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_threads").eqNullSafe(F.col("_from")))
-    starts = starts.select(F.col("conv_id").alias("_c"), F.col("thread").alias("_t"), F.col("_turns").alias("_u"), (F.col("_outer") + F.col("_inner")).alias("_start"))
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("thread").eqNullSafe(F.col("_t")) & F.col("_turns").eqNullSafe(F.col("_u"))
-    within = Window.partitionBy("conv_id", "thread", "_turns").orderBy("turn", "role", F.xxhash64("text"))
-    return placed.join(starts, same).select(
-        "conv_id", "turn", "role", "reply_to", "thread", "depth", "quote_depth",
-        (F.col("_start") + F.row_number().over(within) - 1).cast("long").alias("position"), "text",
+        F.coalesce("depth", F.lit(0)).alias("depth"), "quote_depth", F.xxhash64("text").alias("_hash"),
     )
+    placed = numbered(placed, ["conv_id"], ["thread", "turn", "role", "_hash"], "position")
+    return placed.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "quote_depth", "position", "text")
 
 
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
