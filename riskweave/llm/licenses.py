@@ -11,8 +11,11 @@ similarity; a band has one row.
   most STEP / 2 off, so 6 of 10 shingles are shared and BANDS bands miss with a chance of 0.4**8 = 0.0007 for each of
   the template's windows.
 
-A candidate is confirmed where the shingles around it hold SHARE or more of the template's. Shingles are compared by
-64-bit hashes. The templates are a fixed, small table, so what is broadcast or inlined is bounded.
+A band value that text and template share tells which template it is and where it would begin. The window of the template's
+length there, or up to STEP shingles to either side, must hold SHARE or more of its shingles. Hits, places and shares are
+arrays within the text's row, of which only what is confirmed is exploded: memory grows with the text, not with its square,
+also where a text is one license after the other. Shingles are compared by 64-bit hashes. The templates are a small table whose
+bands are inlined; texts as long as whole licenses may be given as templates too.
 
 Nulls: a null text has no words and no license; null ids are one id. Repeated rows get equal values; rows that share an
 id get the licenses of all of them. Of equally good places the first is told. A long text is scanned as a whole, in one
@@ -21,6 +24,8 @@ row. An empty table gives an empty result; only the id and the text are read, so
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +47,7 @@ _BSD_DISCLAIMER = (
     " GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT"
     " LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-# License texts and notices as they are published, and short statements by which texts name a license.
+# License texts (of long ones the first paragraphs or the notice) and short statements by which texts name a license.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -147,86 +152,113 @@ def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
     return rows.select("license", "n", chosen.alias("own")).where(F.size("own") > 0)
 
 
-def template_bands(templates: list) -> dict[tuple[int, int], list[set[int]]]:
-    """For each class (n, length of short templates or 0): the MinHashes of each band."""
-    out: dict[tuple[int, int], list[set[int]]] = {}
-    for _, n, own in templates:
+def template_bands(templates: list[tuple[int, list[int]]]) -> dict[tuple[int, int], list[dict[int, list[int]]]]:
+    """For each class (n, length of short templates or 0) and band: the templates' MinHashes, each with where it is found, as
+    numbers that ``_packed`` makes of the template's number and the shingle."""
+    out: dict[tuple[int, int], list[dict[int, list[int]]]] = {}
+    for number, (n, own) in enumerate(templates):
         short = len(own) <= SHORT
-        sets = out.setdefault((n, len(own) if short else 0), [set() for _ in range(1 if short else BANDS)])
-        cuts = [own] if short else [own[a : a + WIDTH] for a in range(0, max(len(own) - WIDTH, 0) + STEP, STEP) if a < len(own)]
-        for cut in cuts:
-            for band, found in enumerate(sets):
-                found.add(min(x ^ _MASKS[band] for x in cut))
+        bands = out.setdefault((n, len(own) if short else 0), [{} for _ in range(1 if short else BANDS)])
+        for a in [0] if short else [a for a in range(0, max(len(own) - WIDTH, 0) + STEP, STEP) if a < len(own)]:
+            for band, found in enumerate(bands):
+                found.setdefault(min(x ^ _MASKS[band] for x in own[a : a + (SHORT if short else WIDTH)]), []).append(_packed(number, -a))
     return out
 
 
-def _short_hit(shingled: str, length: int, keys: set[int]) -> Column:
-    """Whether the window of a short template's length that begins at ``at`` equals one."""
-    values = [F.get(shingled, F.col("at") + k).bitwiseXOR(F.lit(_MASKS[0])) for k in range(length)]
-    least = F.least(*values) if length > 1 else values[0]
-    return F.coalesce((F.col("at") + length <= F.size(shingled)) & least.isin(sorted(keys)), F.lit(False))
+_BITS, _ZERO = 40, 1 << 32  # a place in the low bits, counted from _ZERO so that it may be in front of the text
+
+
+def _packed(template: int, place: int) -> int:
+    return (template << _BITS) + _ZERO + place
+
+
+def _least(window: Column, band: int) -> Column:
+    return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(_MASKS[band]))))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A constant of many numbers. Written as one text, which Spark reads once as it plans; as a tree of literals it would take long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
 
+def _map(band: dict[int, list[int]]) -> Column:
+    keys = sorted(band)
+    return F.map_from_arrays(_constant(keys, "array<bigint>"), _constant([band[k] for k in keys], "array<array<bigint>>"))
 
-def _long_hits(shingled: Column, bands: list[set[int]]) -> Column:
-    """Starts of the windows of WIDTH shingles that share a band with a long template."""
 
-    def least(window: Column, band: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(_MASKS[band]))))
+def _hits(own: Column, width: int, step: int, bands: list[dict[int, list[int]]]) -> Column:
+    """Starts of the windows that share a band with a template."""
 
     def shared(window: Column) -> Column:
-        found = least(window, 0).isin(sorted(bands[0]))
+        found = _least(window, 0).isin(sorted(bands[0]))
         for band in range(1, len(bands)):
-            found = found | least(window, band).isin(sorted(bands[band]))
+            found = found | _least(window, band).isin(sorted(bands[band]))
         return found
 
-    starts = F.sequence(F.lit(0), F.size(shingled) - 1, F.lit(STEP))
-    found = F.filter(starts, lambda i: _let(F.slice(shingled, i + 1, WIDTH), shared))
-    return F.when(F.size(shingled) > 0, found).otherwise(F.array().cast("array<int>"))
+    last = F.size(own) - (1 if step > 1 else width)  # the last windows of a grid may be short
+    found = F.filter(F.sequence(F.lit(0), last, F.lit(step)), lambda i: _let(F.slice(own, i + 1, width), shared))
+    return F.when(last >= 0, found).otherwise(F.array().cast("array<int>"))
 
 
-def _long_of(bands: list[set[int]]):
-    return lambda own: _long_hits(own, bands)
+def _places(own: Column, hits: Column, width: int, bands: list[dict[int, list[int]]]) -> Column:
+    """Templates and their beginnings, packed, that windows' bands point to; each once."""
+
+    def told(i: Column) -> Column:
+        each = lambda w: F.flatten(F.array(*[F.coalesce(F.try_element_at(_map(band), _least(w, b)), _none()) for b, band in enumerate(bands)]))
+        return F.transform(_let(F.slice(own, i + 1, width), each), lambda e: e + i)
+
+    return F.array_distinct(F.flatten(F.transform(hits, told)))
+
+
+def _confirmed(own: Column, places: Column, templates: list[tuple[int, list[int]]], reach: int) -> Column:
+    """(template, at, containment) of the places around which a window of the template's length holds SHARE of it or more."""
+    lists = _constant([own for _, own in templates], "array<array<bigint>>")
+    sizes = _constant([len(set(own)) for _, own in templates], "array<bigint>")
+
+    def share(place: Column) -> Column:
+        number, begin = F.shiftright(place, _BITS).cast("int"), (place.bitwiseAND(F.lit((1 << _BITS) - 1)) - _ZERO).cast("int")
+
+        def best(wanted: Column) -> Column:
+            def held(d: Column) -> Column:
+                first = begin + d
+                window = F.slice(own, F.greatest(first, F.lit(0)) + 1, F.greatest(F.size(wanted) + F.least(first, F.lit(0)), F.lit(0)))
+                return F.size(F.array_intersect(wanted, window))
+
+            return F.array_max(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), held))
+
+        found = _let(F.get(lists, number), best) / F.get(sizes, number)
+        return F.struct(number.alias("number"), F.greatest(begin, F.lit(0)).alias("at"), found.alias("containment"))
+
+    return F.filter(F.transform(places, share), lambda x: x["containment"] >= SHARE)
 
 
 def license_matches(df: DataFrame, key: str, text: str, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc, license, at (shingle where the window that found it begins), containment: one row for each license found."""
-    known = template_table(df.sparkSession, templates)
-    rows = [(r["license"], r["n"], list(r["own"])) for r in known.collect()]  # a fixed, small table
-    bands = template_bands(rows)
+    """doc, license, at (shingle where it begins), containment: one row for each license found."""
+    known = [(r["license"], r["n"], list(r["own"])) for r in template_table(df.sparkSession, templates).collect()]  # a small table
+    shingled = [(n, own) for _, n, own in known]
+    classes = sorted(template_bands(shingled).items())
+    sizes = sorted({n for (n, _), _ in classes})
     docs = df.select(F.col(key).alias("doc"), split_words(F.col(text)).alias("_words"))
-    for n in sorted({n for n, _ in bands}):
-        docs = docs.withColumn(f"_s{n}", shingles(F.col("_words"), n))
-    classes = [(n, length, sets) for (n, length), sets in sorted(bands.items())]
-    sizes = sorted({n for n, *_ in classes})
-    longest = F.greatest(F.lit(0), *[F.size(f"_s{n}") for n in sizes])
-    docs = docs.select("doc", *[f"_s{n}" for n in sizes])
-    long = [(n, sets) for n, length, sets in classes if not length]
-    docs = docs.withColumns({f"_l{n}": _let(F.col(f"_s{n}"), _long_of(sets)) for n, sets in long})
-    conditions = [(n, length, _short_hit(f"_s{n}", length, sets[0])) for n, length, sets in classes if length]
-    conditions += [(n, 0, F.array_contains(f"_l{n}", F.col("at"))) for n, _ in long]
-    any_hit = F.lit(False)
-    for *_, hit in conditions:
-        any_hit = any_hit | hit
-    # The filter is compiled together with the explode: no row is made for a window without a hit.
-    docs = docs.withColumn("at", F.explode(F.sequence(F.lit(0), longest))).where(any_hit)
-    tags = F.array(*[F.when(hit, F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.col("at"))) for n, k, hit in conditions])
-    hits = docs.withColumn("_hit", F.explode(F.filter(tags, lambda x: x.isNotNull())))
-    kind = F.when(F.size("own") <= SHORT, F.size("own")).otherwise(F.lit(0))
-    same = (F.col("_hit.n") == F.col("n")) & (F.col("_hit.k") == F.col("kind"))
-    pairs = hits.join(F.broadcast(known.withColumn("kind", kind)), same)
-    size = F.size("own")
-    begin = F.greatest(F.col("_hit.at") - size, F.lit(0))
-    own = F.lit(None).cast("array<bigint>")
-    for n in sorted({n for n, *_ in classes}):
-        own = F.when(F.col("n") == n, F.col(f"_s{n}")).otherwise(own)
-    around = F.slice(own, begin + 1, F.when(F.col("kind") > 0, size + F.col("_hit.at") - begin).otherwise(2 * size + WIDTH))
-    share = F.size(F.array_intersect(F.col("own"), around)) / F.size(F.array_distinct("own"))
-    return (
-        pairs.select("doc", "license", F.col("_hit.at").alias("at"), share.alias("containment"))
-        .where(F.col("containment") >= SHARE)
-        .groupBy("doc", "license")
-        .agg(F.min("at").alias("at"), F.max("containment").alias("containment"))
-    )
+    docs = docs.select("doc", *[shingles(F.col("_words"), n).alias(f"_s{n}") for n in sizes])
+    hits, found = {}, []
+    for (n, length), bands in classes:
+        own, name = F.col(f"_s{n}"), f"_h{n}_{length}"
+        width = length or WIDTH
+        hits[name] = _hits(own, width, 1 if length else STEP, bands)
+        if length:  # few texts have any shingle of a short template: look before going over all windows
+            some = sorted({x for m, shingle in shingled if m == n and len(shingle) == length for x in shingle})
+            hits[name] = F.when(F.arrays_overlap(own, _constant(some, "array<bigint>")), hits[name]).otherwise(F.array().cast("array<int>"))
+        found.append((own, F.col(name), width, bands, 0 if length else STEP))
+    docs = docs.withColumns(hits)
+    docs = docs.withColumns({f"_p{k}": _places(own, at, width, bands) for k, (own, at, width, bands, _) in enumerate(found)})
+    lists = [_confirmed(own, F.col(f"_p{k}"), shingled, reach) for k, (own, *_, reach) in enumerate(found)]
+    each = docs.select("doc", F.explode(F.flatten(F.array(*lists))).alias("x"))
+    names = F.array(*[F.lit(name) for name, *_ in known])
+    return each.groupBy("doc", F.get(names, F.col("x.number")).alias("license")).agg(F.min("x.at").alias("at"), F.max("x.containment").alias("containment"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
