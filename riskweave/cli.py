@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
+import shutil
 import sys
-import tempfile
 from pathlib import Path
-from urllib.parse import urlsplit
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from riskweave.functions.catalog import CatalogError, read_catalog
+from riskweave.functions.catalog import CatalogError, read_catalog, risk_catalog
 from riskweave.functions.urls import UnsafeGitUrlError
 from riskweave.plans import scan as plan
 from riskweave.sources import tree
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Where a clone goes: a folder that executors see, of which ``spark.checkpoint.dir`` is one; in local mode any will do."""
-    found = urlsplit(spark.conf.get("spark.checkpoint.dir", None) or "")
-    if found.path and found.scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
-        Path(found.path).mkdir(parents=True, exist_ok=True)
-        return found.path
-    return None
+from riskweave.sources.shared import shared_folder
 
 
 def run_check(args: argparse.Namespace) -> int:
@@ -36,9 +28,12 @@ def run_check(args: argparse.Namespace) -> int:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("riskweave").getOrCreate()
-    with tempfile.TemporaryDirectory(dir=shared_folder(spark)) as work:
+    with contextlib.ExitStack() as stack:
         try:
-            root = tree.resolve(args.source, Path(work))
+            work = Path(shared_folder(spark) if "://" in args.source or args.source.startswith("git@") else "")  # where a clone goes
+            if work.name:
+                stack.callback(shutil.rmtree, work, ignore_errors=True)
+            root = tree.resolve(args.source, work)
         except (OSError, tree.UnsafeZipError, tree.IngestError, UnsafeGitUrlError) as e:
             print(f"{args.source}: {e}", file=sys.stderr)
             return 2
@@ -50,16 +45,15 @@ def run_check(args: argparse.Namespace) -> int:
         if plan.risk.is_empty_scan(found.facts, found.confidence):
             print("nothing to scan was found", file=sys.stderr)
             return 3
-        register = plan.register_of(spark, found, catalog).persist()
-        rows, gate = register.drop("evidencia").collect(), plan.risk.verdict(register, threshold).first()
+        known = risk_catalog(spark, catalog)
+        register = plan.risk.register(known, found.operations, found.findings).persist()
+        rows, gate = register.collect(), plan.risk.verdict(register, threshold).first()
         operations, findings = found.operations.count(), found.findings.count()
         if args.summary_md:
             with open(args.summary_md, "a", encoding="utf-8") as f:
                 f.write(plan.markdown(rows, gate, found.framework, operations, findings, args.source) + plan.findings_text(rows))
         if args.sarif:
-            Path(args.sarif).parent.mkdir(parents=True, exist_ok=True)
-            text = json.dumps(json.loads(plan.sarif(register).first()["sarif"]), indent=2, ensure_ascii=False)
-            Path(args.sarif).write_text(text, encoding="utf-8")
+            plan.write_sarif_log(register, plan.risk.evidence_rows(known, found.operations, found.findings), args.sarif)
         if args.scan_out:
             plan.write_artifact(plan.artifact(spark, found, args.source, args.redact), args.scan_out)
         found.release()

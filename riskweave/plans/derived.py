@@ -57,9 +57,10 @@ FROM events
 """
 #: Repository addresses: names and spellings of internet addresses, ports, credentials, other schemes.
 ADDRESSES = """
-SELECT page_id, CASE page_id % 16 WHEN 0 THEN 'https://127.0.0.1/r' || page_id WHEN 1 THEN 'https://0x7f000001/r' WHEN 2 THEN 'https://2130706433/r' WHEN 3 THEN 'https://10.1/r' WHEN 4 THEN 'https://8.8.8.8/r'
+SELECT page_id, CASE page_id % 20 WHEN 0 THEN 'https://127.0.0.1/r' || page_id WHEN 1 THEN 'https://0x7f000001/r' WHEN 2 THEN 'https://2130706433/r' WHEN 3 THEN 'https://10.1/r' WHEN 4 THEN 'https://8.8.8.8/r'
   WHEN 5 THEN 'https://017700000001/r' WHEN 6 THEN 'https://192.168.1.' || page_id % 256 || ':8443/r' WHEN 7 THEN 'https://u@host.org/r' WHEN 8 THEN 'http://host.org/r' WHEN 9 THEN 'https://host' || page_id || '.org/r'
-  WHEN 10 THEN 'https://172.' || page_id % 40 || '.0.1/r' WHEN 11 THEN 'https://1.2.3.4.5/r' WHEN 12 THEN 'https://169.254.1/r' WHEN 13 THEN 'https://0x08.010.8.8/r' WHEN 14 THEN 'https:///r' ELSE url END AS url
+  WHEN 10 THEN 'https://172.' || page_id % 40 || '.0.1/r' WHEN 11 THEN 'https://1.2.3.4.5/r' WHEN 12 THEN 'https://169.254.1/r' WHEN 13 THEN 'https://0x08.010.8.8/r' WHEN 14 THEN 'https:///r'
+  WHEN 15 THEN 'HTTPS://Host' || page_id || '.ORG/r' WHEN 16 THEN chr(9) || ' https://host.org/r ' || chr(10) WHEN 17 THEN 'https://host.org/a b' WHEN 18 THEN 'hTTps://0X7F.1/r' ELSE url END AS url
 FROM pages
 """
 #: What users may give as a threshold.

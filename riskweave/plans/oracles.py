@@ -204,7 +204,7 @@ def address(host: str) -> str:
     def part(k: int) -> str:
         x = f"lower(split_part({host}, '.', {k}))"
         octal = " + ".join(f"CAST(substr(lpad({x}, 12, '0'), {i + 1}, 1) AS BIGINT) * {8 ** (11 - i)}" for i in range(12))
-        return f"(CASE WHEN regexp_full_match({x}, '0x[0-9a-f]{{1,8}}') THEN CAST({x} AS BIGINT) WHEN regexp_full_match({x}, '0[0-7]{{1,10}}') THEN {octal} WHEN regexp_full_match({x}, '0|[1-9][0-9]{{0,10}}') THEN CAST({x} AS BIGINT) END)"
+        return f"(CASE WHEN regexp_full_match({x}, '0x[0-9a-f]{{1,8}}') THEN CAST({x} AS BIGINT) WHEN regexp_full_match({x}, '0[0-7]{{1,11}}') THEN {octal} WHEN regexp_full_match({x}, '0|[1-9][0-9]{{0,10}}') THEN CAST({x} AS BIGINT) END)"
 
     n = f"len(string_split({host}, '.'))"
     low = lambda k: f"(CASE WHEN {part(k)} <= 255 THEN {part(k)} END)"
@@ -219,8 +219,9 @@ def clonable() -> str:
     private = ((0, 8), (10, 8), (127, 8), (169 * 256 + 254, 16), (172 * 16 + 1, 12), (192 * 256 + 168, 16), (14, 4), (15, 4))
     hit = " OR ".join(f"a // {1 << (32 - bits)} = {top}" for top, bits in private)
     return f"""
-SELECT page_id, coalesce(length(u) <= 2048 AND NOT regexp_matches(u, '[\\x00\\r\\n\\t ]') AND regexp_matches(u, '^https://[^/?#@:]+(:[0-9]*)?([/?#]|$)') AND NOT coalesce({hit}, FALSE), FALSE) AS clonable
-FROM (SELECT *, {address("regexp_extract(u, '^https://([^/?#:]*)', 1)")} AS a FROM (SELECT page_id, trim(url) AS u FROM ({ADDRESSES})))"""
+SELECT page_id, coalesce(length(u) <= 2048 AND NOT regexp_matches(u, '[\\x00\\r\\n\\t ]') AND lower(left(u, 8)) = 'https://' AND split_part(place, ':', 1) <> '' AND NOT contains(place, '@') AND NOT coalesce({hit}, FALSE), FALSE) AS clonable
+FROM (SELECT *, {address("split_part(place, ':', 1)")} AS a FROM (SELECT *, split_part(split_part(split_part(substr(u, 9), '/', 1), '?', 1), '#', 1) AS place
+  FROM (SELECT page_id, trim(url, ' ' || chr(9) || chr(10) || chr(13)) AS u FROM ({ADDRESSES}))))"""
 
 
 def sql(rows: list) -> dict[str, str]:
@@ -289,4 +290,7 @@ SELECT reg.id, f.path AS file, f.line AS line, f.kind AS kind, CAST(greatest(reg
         "url_checks": clonable(),
         "redacted_operations": f"SELECT path, line, fact, kind, CASE WHEN fact = 'operation' THEN '' ELSE snippet END AS snippet, enclosing, CASE WHEN fact <> 'operation' THEN prev_comment END AS prev_comment FROM ({js_rows()})",
         "python_calls": python_rows(),
+        "scan_order": f"""SELECT row_number() OVER (ORDER BY o, path, c, "at", kind NULLS FIRST, name NULLS FIRST, provider NULLS FIRST) AS place, lang, path, fact, kind, "at" FROM (
+  SELECT *, CASE fact WHEN 'entrypoint' THEN 1 WHEN 'operation' THEN 2 WHEN 'tool' THEN 3 ELSE 4 END AS c FROM (
+    SELECT 0 AS o, 'python' AS lang, path, fact, kind, name, provider, "at" FROM ({python_rows()}) UNION ALL SELECT 1, 'javascript', path, fact, kind, name, provider, "at" FROM ({js_rows()})))""",
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import columns, urls
 from riskweave.functions.catalog import ROWS, risk_catalog
-from riskweave.operators import facts, pii, risk
+from riskweave.operators import facts, order, pii, risk
 from riskweave.operators.python_facts import python_facts, python_files
 from riskweave.plans import derived as sources
 from riskweave.plans import scan
@@ -219,6 +219,12 @@ def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of the derived modules in canonical order."""
+    rows = order.canonical(python_facts(as_files(derived(spark, sf_dir, PY))), facts.js_facts(as_files(derived(spark, sf_dir, JS))))
+    return rows.select("place", "lang", "path", "fact", "kind", "at")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_register(spark, sf_dir)
 
@@ -226,7 +232,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, pii_findings, js_facts, framework, config_values,
     providers_declared, provider_share, integration_categories, risk_register, first_evidence, risk_gate, gate_off, gate_critical, risk_levels, residual_summary, findings_order,
-    sarif_results, empty_scan, file_counts, thresholds, url_checks, redacted_operations, python_calls,
+    sarif_results, empty_scan, file_counts, thresholds, url_checks, redacted_operations, python_calls, scan_order,
 )
 
 
