@@ -17,6 +17,18 @@ FILES = (
     " CASE WHEN k % 6 = 0 THEN 'mock_data = [' ELSE 'data = [' END, 'tel +55 11 9' || substr(v11, 1, 4) || '-' || substr(v11, 5, 4), ']') AS text"
     f" FROM ({NUMBERS})"
 )
+#: Files with a value of every kind, far enough from each other that each has only its own line of context, with or without a keyword.
+KINDS = (
+    "SELECT 'src/k' || k || '.txt' AS path, concat_ws(chr(10),"
+    + ", repeat('-' || chr(10), 5) || '-', ".join(
+        f"CASE WHEN k % {n} = 0 THEN '{word}' ELSE 'value' END, {value}"
+        for n, word, value in (
+            (2, "cnpj", "v14"), (3, "titulo", "v12"), (5, "telefone", "'+55 11 9' || substr(v11, 1, 4) || '-' || substr(v11, 5, 4)"),
+            (7, "cep", "substr(v11, 1, 5) || '-' || substr(v11, 6, 3)"), (4, "cnh", "v11"),
+        )
+    )
+    + f") AS text FROM ({NUMBERS})"
+)
 #: TypeScript modules of different imports, handlers, calls and comments.
 JS = """
 SELECT CASE c_custkey % 9 WHEN 8 THEN 'node_modules/r' ELSE 'web/r' END || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.mjs' ELSE '.css' END AS path, concat_ws(chr(10),

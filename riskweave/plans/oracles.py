@@ -251,7 +251,16 @@ def sql(rows: list) -> dict[str, str]:
     where = f"WITH {places(OPERATIONS, findings, rows)}, reg AS (SELECT * FROM ({reg}))"
     alias = {k: v for k, v in rules.ALIASES.items()}
     key = "CASE WHEN trim(given) = '' THEN 'none' ELSE lower(trim(given)) END"
+    spots = (
+        ("cnpj", 2, CNPJ, "k % 2 = 0", "low", 0.95, masks["cnpj"].format("v14")), ("phone", 2, "TRUE", "FALSE", "discarded", 0.7, "'[phone]'"), ("titulo_eleitor", 10, TITULO, "k % 3 = 0", "low", 0.85, masks["titulo_eleitor"].format("v12")),
+        ("phone", 10, "TRUE", "FALSE", "discarded", 0.7, "'[phone]'"), ("phone", 18, "TRUE", "k % 5 = 0", "discarded", 0.7, "'[phone]'"), ("cep", 26, "TRUE", "k % 7 = 0", "discarded", 0.7, "substr(v11, 1, 5) || '-' || substr(v11, 6, 3)"),
+        ("cnh", 34, CNH, "k % 4 = 0", "low", 0.85, masks["cnh"].format("v11")), ("cpf", 34, CPF, "FALSE", "low", 0.95, masks["cpf"].format("v11")),
+    )
     return {
+        "kind_tiers": " UNION ALL ".join(
+            f"SELECT 'src/k' || k || '.txt' AS path, '{kind}' AS kind, {line} AS line, CASE WHEN {word} THEN 'high' ELSE '{other}' END AS tier, {how}::DOUBLE AS confidence, {mask} AS snippet FROM ({NUMBERS}) WHERE {test}"
+            for kind, line, test, word, other, how, mask in spots
+        ),
         "numbers_valid": f"SELECT k, {CPF} AS cpf, {CNH} AS cnh, {PIS} AS pis, {CNPJ} AS cnpj, {TITULO} AS titulo FROM ({NUMBERS})",
         "masked_numbers": " UNION ALL ".join(f"SELECT k, '{k}' AS kind, {masks[k].format(v)} AS mask FROM ({NUMBERS})" for k, v in kinds),
         "documents_pii": found("documents", "doc_id", "text", "email", EMAIL) + " UNION ALL " + found("documents", "doc_id", "text", "phone", PHONE),

@@ -17,7 +17,7 @@ from riskweave.operators import facts, order, pii, risk
 from riskweave.operators.python_facts import python_facts, python_files
 from riskweave.plans import derived as sources
 from riskweave.plans import scan
-from riskweave.plans.derived import ADDRESSES, FILES, JS, MANIFESTS, NUMBERS, OPERATIONS, PY, THRESHOLDS
+from riskweave.plans.derived import ADDRESSES, FILES, JS, KINDS, MANIFESTS, NUMBERS, OPERATIONS, PY, THRESHOLDS
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows that the SQL makes of a table. A row of a few bytes becomes a text that takes many times the work to scan, so the
@@ -74,6 +74,12 @@ def context_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.tiered(files, ("cpf", "email")).select("path", "kind", "line", "tier", F.array_join("signals", ",").alias("signals"))
 
 
+def kind_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all seven kinds with tier, confidence and mask, discarded ones too."""
+    rows = pii.tiered(as_files(derived(spark, sf_dir, KINDS)))
+    return rows.select("path", "kind", "line", "tier", "confidence", columns.masked(F.col("kind"), F.col("value")).alias("snippet"))
+
+
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tiers(spark, sf_dir).groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -207,7 +213,7 @@ def redacted_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a scan of the derived files reports of addresses and phone numbers, masked."""
+    """What a scan of the derived files reports of CPF numbers and e-mail addresses, masked; ``kind_tiers`` has all kinds."""
     rows = pii.scan_pii(derived(spark, sf_dir, FILES).select("path", F.substring_index(F.substring_index("path", "#", 1), "/", -1).alias("name"), F.split("path", "/").alias("parts"), "text"))
     return rows.where(F.col("kind").isin("cpf", "email")).select("path", "kind", "line", "snippet", "confidence", "tier")
 
@@ -230,7 +236,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, tier_counts, pii_findings, js_facts, framework, config_values,
+    numbers_valid, masked_numbers, documents_pii, pages_pii, path_class, context_tiers, kind_tiers, tier_counts, pii_findings, js_facts, framework, config_values,
     providers_declared, provider_share, integration_categories, risk_register, first_evidence, risk_gate, gate_off, gate_critical, risk_levels, residual_summary, findings_order,
     sarif_results, empty_scan, file_counts, thresholds, url_checks, redacted_operations, python_calls, scan_order,
 )
