@@ -46,7 +46,7 @@ SELECT CASE c_custkey % 13 WHEN 12 THEN 'build/m' ELSE 'svc/m' END || c_custkey
   CASE c_custkey % 3 WHEN 0 THEN 'from redis import Redis' WHEN 1 THEN 'import pinecone' ELSE 'from langsmith import Client' END,
   CASE c_custkey % 3 WHEN 0 THEN 'store = Redis()' WHEN 1 THEN 'store = pinecone.Pinecone()' ELSE 'store = Client()' END,
   CASE c_custkey % 5 WHEN 0 THEN '@app.post("/x")' WHEN 1 THEN '@router.get("/y")' WHEN 2 THEN '@tool' WHEN 3 THEN '@shared_task' ELSE '@other.thing' END,
-  CASE c_custkey % 2 WHEN 0 THEN 'async def run' ELSE 'def run' END || c_custkey || '(a):',
+  CASE c_custkey % 2 WHEN 0 THEN 'async def run' ELSE 'def run' END || c_custkey || CASE c_custkey % 7 WHEN 0 THEN '(self, a, b=1):' WHEN 1 THEN '(a, *rest, c=2):' ELSE '(a):' END,
   CASE c_custkey % 4 WHEN 0 THEN '    # ask model ' || c_custkey WHEN 1 THEN '' WHEN 2 THEN '    #' ELSE '    pass' END,
   '    r = ' || CASE c_custkey % 2 WHEN 0 THEN 'await ' ELSE '' END || CASE c_custkey % 8 WHEN 0 THEN 'client.messages.create(model="m' || c_custkey || '")' WHEN 1 THEN 'llm.invoke(a)'
     WHEN 2 THEN 'emb.embed_query(a)' WHEN 3 THEN 'client.responses.create(model=name)' WHEN 4 THEN 'obj.generate_content(a)' WHEN 5 THEN 'mystream(a)' WHEN 6 THEN 'client.beta.chat.completions.create(model="g")' ELSE 'chain.stream(a)' END,

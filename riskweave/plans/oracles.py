@@ -184,19 +184,19 @@ WITH f AS (SELECT path, string_split(text, chr(10)) AS ls FROM ({PY}) WHERE path
 ), w AS (
   SELECT *, first_value(split_part(known, '|', 2)) OVER (PARTITION BY path ORDER BY CASE WHEN body LIKE 'store = %' AND known IS NOT NULL THEN 0 ELSE 1 END, n) AS origin FROM z
 ), calls AS (
-  SELECT *, CAST(n * 100000 + strpos(body, fn || '(') - 1 AS BIGINT) AS "at", coalesce(nullif(regexp_extract(body, '\("([^"]*)"', 1), ''), nullif(regexp_extract(body, 'url="([^"]*)"', 1), '')) AS url0 FROM w WHERE fn IS NOT NULL
+  SELECT *, CAST(n * 100000 + strpos(body, fn || '(') - 1 AS BIGINT) AS "at", coalesce(nullif(regexp_extract(body, '\("([^"]*)"', 1), ''), nullif(regexp_extract(body, 'url="([^"]*)"', 1), '')) AS url0, '' FROM w WHERE fn IS NOT NULL
 )
 SELECT path, 'operation' AS fact, {rule(1)} AS kind, {none} AS name, {rule(2)} AS provider, nullif(regexp_extract(body, 'model="(\w+)"', 1), '') AS model, CAST(n AS INT) AS line, "at",
-  trim(body) AS snippet, enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), '') AS return_var, url0 AS url FROM calls WHERE {rule(1)} IS NOT NULL
+  trim(body) AS snippet, enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), '') AS return_var, url0 AS url, '' AS parameters FROM calls WHERE {rule(1)} IS NOT NULL
 UNION ALL SELECT path, 'external_call', upper(split_part(fn, '.', -1)), {none}, {library}, nullif(regexp_extract(body, 'model="(\w+)"', 1), ''), CAST(n AS INT), "at",
-  trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), url0 FROM calls WHERE {library} IS NOT NULL AND split_part(fn, '.', -1) IN ({verbs})
-UNION ALL SELECT path, 'operation', split_part(known, '|', 1), {none}, split_part(known, '|', 2), {none}, CAST(n AS INT), "at", trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), {none} FROM calls WHERE known IS NOT NULL
-UNION ALL SELECT path, 'operation', CASE split_part(fn, '.', -1) {methods} END, {none}, origin, {none}, CAST(n AS INT), "at", trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), {none}
+  trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), url0, '' FROM calls WHERE {library} IS NOT NULL AND split_part(fn, '.', -1) IN ({verbs})
+UNION ALL SELECT path, 'operation', split_part(known, '|', 1), {none}, split_part(known, '|', 2), {none}, CAST(n AS INT), "at", trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), {none}, '' FROM calls WHERE known IS NOT NULL
+UNION ALL SELECT path, 'operation', CASE split_part(fn, '.', -1) {methods} END, {none}, origin, {none}, CAST(n AS INT), "at", trim(body), enclosing, prev_comment, nullif(regexp_extract(body, '^\s*(\w+) = ', 1), ''), {none}, ''
   FROM calls WHERE known IS NULL AND regexp_matches(fn, '^store(\.\w+)?\.\w+$') AND CASE split_part(fn, '.', -1) {methods} END IS NOT NULL
-UNION ALL SELECT path, 'entrypoint', {route}, def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none} FROM w WHERE {route} IS NOT NULL
-UNION ALL SELECT path, 'tool', {none}, def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), '', {none}, {none}, {none}, {none} FROM w WHERE dec = 'tool' OR ends_with(dec, '.tool')
-UNION ALL SELECT path, 'entrypoint', 'aws_lambda', def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none} FROM w WHERE is_def AND def_name IN ('handler', 'lambda_handler') AND body LIKE '%(event, context)%'
-UNION ALL SELECT path, 'entrypoint', 'script', '__main__', {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none} FROM w WHERE body LIKE 'if __name__ == "__main__"%'"""
+UNION ALL SELECT path, 'entrypoint', {route}, def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none}, '' FROM w WHERE {route} IS NOT NULL
+UNION ALL SELECT path, 'tool', {none}, def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), '', {none}, {none}, {none}, {none}, CASE WHEN body LIKE '%(self, %' THEN 'a,b' ELSE 'a' END FROM w WHERE dec = 'tool' OR ends_with(dec, '.tool')
+UNION ALL SELECT path, 'entrypoint', 'aws_lambda', def_name, {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none}, '' FROM w WHERE is_def AND def_name IN ('handler', 'lambda_handler') AND body LIKE '%(event, context)%'
+UNION ALL SELECT path, 'entrypoint', 'script', '__main__', {none}, {none}, CAST(n AS INT), CAST(n * 100000 AS BIGINT), {none}, {none}, {none}, {none}, {none}, '' FROM w WHERE body LIKE 'if __name__ == "__main__"%'"""
 
 
 def address(host: str) -> str:

@@ -221,7 +221,7 @@ def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of Python modules derived from customers."""
     return python_facts(as_files(derived(spark, sf_dir, PY))).select(
-        "path", "fact", "kind", "name", "provider", "model", "line", "at", "snippet", "enclosing", "prev_comment", "return_var", "url"
+        "path", "fact", "kind", "name", "provider", "model", "line", "at", "snippet", "enclosing", "prev_comment", "return_var", "url", F.array_join("parameters", ",").alias("parameters"),
     )
 
 
