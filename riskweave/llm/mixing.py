@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import count_words, table, written
@@ -43,7 +43,7 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None, target_entrop
     """The exponent at which the target is just met, to 2**-30.
 
     ``sources`` has one row a source, with its ``share``. A job evaluates all exponents that the next six bisections
-    may ask for, so that five jobs suffice; each returns two sums for each exponent and no source is collected.
+    may ask for, so that five jobs suffice; each returns one row for each exponent and no source is collected.
     """
     row = sources.agg(F.count(F.lit(1)).alias("n"), F.max("share").alias("top")).first()
     if not row["n"] or row["n"] == 1:
@@ -51,23 +51,13 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None, target_entrop
     low, high = 0.0, 1.0  # the entropy falls from low to high, and so do the repeats
 
     def evaluate(grid: list[float]) -> list[tuple[float, float]]:
-        sums: list[Column] = []
-        for i, a in enumerate(grid):
-            power = F.pow("share", F.lit(a))
-            sums += [
-                F.sum(power).alias(f"z{i}"),
-                F.sum(power * F.log("share") * a).alias(f"l{i}"),
-                F.max(power / F.col("share")).alias(f"r{i}"),
-            ]
-        got = sources.agg(*sums).first()
+        power = F.pow("share", "a")
+        rows = sources.select("share", F.posexplode(F.array(*map(F.lit, grid))).alias("i", "a"))
+        sums = rows.groupBy("i").agg(F.sum(power).alias("z"), F.sum(power * F.log("share") * F.col("a")).alias("l"), F.max(power / F.col("share")).alias("r"))
+        got = sorted(sums.collect())  # one row an exponent
         top = row["top"]
-        return [
-            (
-                math.log(got[f"z{i}"]) - got[f"l{i}"] / got[f"z{i}"],
-                got[f"r{i}"] * top ** (1 - a),  # against the largest source, of which one pass is made
-            )
-            for i, a in enumerate(grid)
-        ]
+        # Repeats count against the largest source, of which one pass is made.
+        return [(math.log(x["z"]) - x["l"] / x["z"], x["r"] * top ** (1 - a)) for x, a in zip(got, grid, strict=True)]
 
     def meets(entropy: float, repeats: float) -> bool:
         """Whether a smaller exponent is allowed still."""
