@@ -47,7 +47,6 @@ THETA = 0.5
 SEED = 29
 CHARS = 1 << 19
 KEPT_EDGES = 1 << 20  # of units that stay in a task's lattice from chunk to chunk: about 35 MB
-SLOT_BITS = 18
 FADED = 120.0
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -99,11 +98,12 @@ def load(path: str = MODEL, theta: float = THETA) -> Vocabulary:
             name = _extend(name, np.array([ord(char)], dtype=np.uint64))
             key = int(name[0])
             found[key] = i if k == len(piece) - 1 else found.get(key, -1)
-    names, ids = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1)
+    slots = 1 << (2 * len(found)).bit_length()  # at most half of them are taken
+    names, ids = np.zeros(slots, dtype=np.uint64), np.full(slots, -1)
     for key, i in found.items():
-        slot = _slot(np.array([key], dtype=np.uint64))[0]
+        slot = _slot(np.array([key], dtype=np.uint64), slots)[0]
         while names[slot]:
-            slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
+            slot = (slot + 1) & (slots - 1)
         names[slot], ids[slot] = key, i
     shown = [chr(int(p, 16)) if is_byte[i] else p.replace(SPACE, " ") for i, p in enumerate(pieces)]
     part = np.array([is_byte[i] and int(p, 16) > 0x7F for i, p in enumerate(pieces)])
@@ -119,19 +119,19 @@ def load(path: str = MODEL, theta: float = THETA) -> Vocabulary:
     )
 
 
-def _slot(name: np.ndarray) -> np.ndarray:
-    return ((name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slot(name: np.ndarray, slots: int) -> np.ndarray:
+    return ((name * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 def _find(v: Vocabulary, name: np.ndarray) -> np.ndarray:
     """Slot of each name, or -1."""
-    slot = _slot(name)
+    slot = _slot(name, len(v.names))
     other = np.flatnonzero(v.names[slot] != name)
     while len(other):
         empty = v.names[slot[other]] == 0
         slot[other[empty]] = -1
         other = other[~empty]
-        slot[other] = (slot[other] + 1) & ((1 << SLOT_BITS) - 1)
+        slot[other] = (slot[other] + 1) & (len(v.names) - 1)
         other = other[v.names[slot[other]] != name[other]]
     return slot
 
