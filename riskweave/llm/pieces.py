@@ -98,7 +98,7 @@ def load(path: str = MODEL, theta: float = THETA) -> Vocabulary:
             name = _extend(name, np.array([ord(char)], dtype=np.uint64))
             key = int(name[0])
             found[key] = i if k == len(piece) - 1 else found.get(key, -1)
-    slots = 1 << (2 * len(found)).bit_length()  # at most half of them are taken
+    slots = max(1 << 18, 1 << (2 * len(found)).bit_length())  # at most half of them are taken
     names, ids = np.zeros(slots, dtype=np.uint64), np.full(slots, -1)
     for key, i in found.items():
         slot = _slot(np.array([key], dtype=np.uint64), slots)[0]
