@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     frame = queries.queries()[name](spark, SF)
     names = sorted(frame.columns)
     other = db.sql(queries.oracle_sql()[name])
