@@ -32,7 +32,9 @@ def _digit(i: int) -> str:
 
 
 def _dot(weights: list[int], start: int = 0) -> str:
-    return "(" + " + ".join(f"{_digit(start + i)} * {w}" for i, w in enumerate(weights)) + ")"
+    """The digits' sum by weights; the code of '0' goes off the whole sum instead of each digit."""
+    each = " + ".join(f"ascii(substring(d, {start + i + 1}, 1)) * {w}" for i, w in enumerate(weights))
+    return f"({each} - {48 * sum(weights)})"
 
 
 def _valid(value: str, n: int, checks: list[str]) -> str:
@@ -48,15 +50,13 @@ def cpf_sql(value: str) -> str:
 
 def cnpj_sql(value: str) -> str:
     weights = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
-    rests = [(f"{_dot(w)} % 11", _digit(len(w))) for w in (weights, [6, *weights])]
-    return _valid(value, 14, [f"CASE WHEN {rest} < 2 THEN 0 ELSE 11 - {rest} END = {digit}" for rest, digit in rests])
+    return _valid(value, 14, [f"(11 - {_dot(w)} % 11) % 11 % 10 = {_digit(len(w))}" for w in (weights, [6, *weights])])  # rests 0 and 1 give 0
 
 
 def cnh_sql(value: str) -> str:
     one = f"{_dot(list(range(9, 0, -1)))} % 11"
-    two = f"({_dot(list(range(1, 10)))} % 11 - CASE WHEN {one} >= 10 THEN 2 ELSE 0 END)"
-    two = f"CASE WHEN {two} < 0 THEN {two} + 11 ELSE {two} END"
-    return _valid(value, 11, [f"CASE WHEN {x} >= 10 THEN 0 ELSE {x} END = {_digit(n)}" for n, x in ((9, one), (10, f"({two})"))])
+    two = f"({_dot(list(range(1, 10)))} % 11 + CASE WHEN {one} = 10 THEN 9 ELSE 0 END) % 11"  # two less, modulo 11
+    return _valid(value, 11, [f"{x} % 10 = {_digit(n)}" for n, x in ((9, one), (10, two))])
 
 
 def titulo_sql(value: str) -> str:
@@ -93,10 +93,14 @@ def is_pis(value: Column) -> Column:
 VALIDATORS = {"cpf": cpf_sql, "cnpj": cnpj_sql, "cnh": cnh_sql, "titulo_eleitor": titulo_sql}
 
 
+def valid_sql(kind: str, value: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {check(value)}" for name, check in VALIDATORS.items())
+    return f"CASE {kind} {cases} ELSE true END"
+
+
 def is_valid(kind: Column, value: Column) -> Column:
     """Whether a candidate of the kind has right check digits; kinds without such digits pass."""
-    cases = " ".join(f"WHEN '{name}' THEN {check('x.v')}" for name, check in VALIDATORS.items())
-    return applied(f"CASE x.k {cases} ELSE true END", k=kind, v=value)
+    return applied(valid_sql("x.k", "x.v"), k=kind, v=value)
 
 
 def masked(kind: Column, value: Column) -> Column:
@@ -124,12 +128,33 @@ def _quoted(word: str) -> str:
     return word.replace("-", r"\-")
 
 
+def _word(word: str) -> str:
+    return f"(?<![a-z0-9]){word}(?![a-z0-9])"
+
+
+def _keyword(kind: str) -> str:
+    """A pattern that any keyword of the kind fits."""
+    return _word(f"(?:{'|'.join(map(_quoted, rules.KEYWORDS[kind]))})")
+
+
+def _first_keyword(low: str, kind: str) -> str:
+    each = " ".join(f"WHEN {low} RLIKE {literal(_word(_quoted(w)))} THEN {literal(w)}" for w in rules.KEYWORDS[kind])
+    return f"CASE {each} END"
+
+
 def keyword_sql(line: str, kind: str) -> str:
     """The first keyword of the kind that stands in the line between other characters than a-z and 0-9."""
-    word = lambda w: literal(f"(?<![a-z0-9]){w}(?![a-z0-9])")
-    each = " ".join(f"WHEN low RLIKE {word(_quoted(w))} THEN {literal(w)}" for w in rules.KEYWORDS[kind])
-    any_of = "|".join(map(_quoted, rules.KEYWORDS[kind]))
-    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {word(f'(?:{any_of})')} THEN CASE {each} END END")  # most lines need one test only
+    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {literal(_keyword(kind))} THEN {_first_keyword('low', kind)} END")  # most lines need one test only
+
+
+def keyword_near_sql(lines: str, kind: str) -> str:
+    """What ``keyword_sql`` says of the first line of which it says anything. ``lines`` is one text of lines in lower case: the
+    line from its first keyword on is found in one search, and has the same keywords as the whole line."""
+    rest = f"regexp_extract({lines}, {literal(_keyword(kind) + '[^\n]*')}, 0)"
+    return bound(rest, "low", f"CASE WHEN low != '' THEN {_first_keyword('low', kind)} END")
+
+
+ANY_MARKER = "|".join(rules.MARKERS)
 
 
 def marker_sql(line: str) -> str:
@@ -138,7 +163,7 @@ def marker_sql(line: str) -> str:
     inside = " ".join(f"WHEN body RLIKE {literal(f'(?<![a-z0-9]){w}(?![a-z0-9])')} THEN 'marker:{w}'" for w in rules.MARKERS)
     outside = " ".join(f"WHEN low RLIKE {literal(f'(?U)(?<![a-z0-9]){w}' + chr(92) + 'w*' + chr(92) + 's*[=:]')} THEN 'var_marker:{w}'" for w in rules.MARKERS)
     said = bound(f"lower(regexp_extract({line}, {comment}, 1))", "body", f"CASE {inside} END")
-    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {literal('|'.join(rules.MARKERS))} THEN CASE WHEN {line} RLIKE {comment} THEN {said} ELSE CASE {outside} END END END")
+    return bound(f"lower({line})", "low", f"CASE WHEN low RLIKE {literal(ANY_MARKER)} THEN CASE WHEN {line} RLIKE {comment} THEN {said} ELSE CASE {outside} END END END")
 
 
 def keyword_hit(line: Column, kind: str) -> Column:

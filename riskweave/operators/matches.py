@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.columns import bound, literal
 
 BLOCK = 256
+FEW = 4  # matches that are searched for one by one
 MARK, OTHER = "\uffff", "\ufffe"  # two characters that no pattern tells apart
 
 
@@ -30,30 +31,34 @@ def running(values: str) -> str:
 
 
 def _breaks(text: str) -> str:
-    return f"cast(length({text}) - length(replace({text}, '\\n', '')) AS bigint)"
+    return f"cast(octet_length({text}) - octet_length(replace({text}, '\\n', '')) AS bigint)"
 
 
 def found_in(text: str, kind: str, pattern: str, groups: int = 0, hint: str | None = None) -> str:
     """SQL of an array of (kind, seq, value, line, at, groups), one for each match in a column, or null if there is none.
 
-    ``hint`` is a cheaper test that every text with a match passes.
+    ``hint`` is a cheaper test that every text with a match passes. Where FEW matches or less have values that the text has
+    nowhere else, their places are those of the values; else the text between matches tells them.
     """
     p = literal(pattern)
-    every = ", ".join(f"'g{g}', regexp_extract_all({text}, {p}, {g})" for g in range(groups + 1))
+    groups_of = range(1, groups + 1)
+    own = "array(" + ", ".join(f"get(p.g{g}, k)" for g in groups_of) + ")" if groups else "cast(array() AS array<string>)"
+    row = lambda line, at: f"named_struct('kind', '{kind}', 'seq', k, 'value', v, 'line', cast({line} AS int), 'at', cast({at} AS bigint), 'groups', {own})"
+    every = "'g0', g0" + "".join(f", 'g{g}', regexp_extract_all({text}, {p}, {g})" for g in groups_of)
     # Piece k comes before match k; what follows a match begins with the next piece.
     lines = running(f"transform(p.g0, (v, k) -> {_breaks('get(p.b, k)')} + {_breaks('v')})")
     places = running("transform(p.g0, (v, k) -> cast(length(get(p.b, k)) + length(v) AS bigint))")
-    own = "array(" + ", ".join(f"get(p.g{g}, k)" for g in range(1, groups + 1)) + ")" if groups else "cast(array() AS array<string>)"
-    row = (
-        f"named_struct('kind', '{kind}', 'seq', k, 'value', v, 'line', cast(1 + get(q.l, k) + {_breaks('get(p.b, k)')} AS int),"
-        f" 'at', get(q.a, k) + length(get(p.b, k)), 'groups', {own})"
-    )
-    rows = bound(f"named_struct('l', {lines}, 'a', {places})", "q", f"transform(p.g0, (v, k) -> {row})")
-    tested = f"{text} RLIKE {p}" if hint is None else f"({hint}) AND {text} RLIKE {p}"
+    each = row(f"1 + get(q.l, k) + {_breaks('get(p.b, k)')}", "get(q.a, k) + length(get(p.b, k))")
+    rows = bound(f"named_struct('l', {lines}, 'a', {places})", "q", f"transform(p.g0, (v, k) -> {each})")
     # Spark's split would compile the pattern for each row, its replacement does not. Only lengths and line breaks of the
     # pieces count, so the mark may be taken out of the text before.
-    between = f"split(regexp_replace(translate({text}, '{MARK}', '{OTHER}'), {p}, '{MARK}'), '{MARK}', -1)"
-    return f"CASE WHEN {tested} THEN {bound(f'named_struct({chr(39)}b{chr(39)}, {between}, {every})', 'p', rows)} END"
+    between = f"split(regexp_replace(replace({text}, '{MARK}', '{OTHER}'), {p}, '{MARK}'), '{MARK}', -1)"
+    many = bound(f"named_struct('b', {between}, {every})", "p", rows)
+    few = f"transform(g0, (v, k) -> {bound(f'substring({text}, 1, instr({text}, v) - 1)', 'b', row(f'1 + {_breaks('b')}', 'length(b)'))})"
+    few = bound(f"named_struct({every})", "p", few) if groups else few
+    once = f"size(g0) <= {FEW} AND forall(g0, v -> locate(v, {text}, instr({text}, v) + 1) = 0)"
+    found = bound(f"regexp_extract_all({text}, {p}, 0)", "g0", f"CASE WHEN size(g0) > 0 THEN CASE WHEN {once} THEN {few} ELSE {many} END END")
+    return found if hint is None else f"CASE WHEN {hint} THEN {found} END"
 
 
 def all_found(parts: list[str]) -> str:
