@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import columns, rules
@@ -42,9 +42,9 @@ def candidates(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFr
 KINDS = tuple(kind for kind, *_ in rules.CANDIDATES)
 
 
-def _first(lines: str, test: str) -> Column:
-    """What ``test``, SQL over a line ``l``, says of the first line of which it says anything."""
-    return F.expr(f"get(filter(transform({lines}, l -> {test}), h -> h IS NOT NULL), 0)")
+def _first(lines: str, test: str) -> str:
+    """SQL of what ``test``, SQL over a line ``l``, says of the first line of which it says anything."""
+    return f"get(filter(transform({lines}, l -> {test}), h -> h IS NOT NULL), 0)"
 
 
 PIECE = ["piece", "pieces", "own_from", "own_to"]
@@ -79,26 +79,34 @@ def tiered(files: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Candidates with confidence, tier (high, low, discarded) and the signals that led to it.
 
     Each match takes the lines around it from its own text, so nothing is joined or shuffled; only for files in pieces, lines and
-    numbers are completed with what comes before the piece.
+    numbers are completed with what comes before the piece. A text is put into lower case once, and lines are looked at one by one
+    only where the whole text has a marker or a pattern in it. Keyword and marker are made with the match, before the rows are:
+    a filter by tier, which Spark moves down and repeats, then finds plain columns.
     """
     in_pieces = "piece" in files.columns
     wanted = [c for c in rules.CANDIDATES if c[0] in (kinds or KINDS)]
     found = all_found([found_in("text", kind, pattern, hint=_hints("text").get(kind)) for kind, pattern, *_ in wanted])
-    around, near = rules.LINES_AROUND, rules.MARKER_LINES
-    first = f"greatest(1, m.line - {around})"
-    row = f"named_struct('kind', m.kind, 'seq', m.seq, 'value', m.value, 'line', m.line, 'at', m.at, 'near', slice(ls, {first}, m.line + {around} - {first} + 1), 'own', m.line - {first})"
+    if not in_pieces:  # a piece's other matches count too
+        found = f"filter({found}, m -> {columns.valid_sql('m.kind', 'm.value')})"
     keys = ["path", *(PIECE if in_pieces else [])]
-    every = _own(files.select(*keys, F.explode(F.expr(bound("split(text, '\\n', -1)", "ls", f"transform({found}, m -> {row})"))).alias("m")).select(*keys, "m.*"))
-    rows = every.where(columns.is_valid(F.col("kind"), F.col("value")))
-    close = f"slice(near, greatest(0, own - {near}) + 1, own + {near} - greatest(0, own - {near}) + 1)"
-    rows = rows.withColumns({"mark": _first(close, columns.marker_sql("l")), "is_regex": columns.is_regex_line(F.get("near", F.col("own")))})
-    keyword, checked, confidence = F.lit(None).cast("string"), F.lit(False), F.lit(0.0)
+    of_path = {"test": columns.is_test_path(F.col("path")), "meta": columns.is_meta_path(F.col("path"))}
+    of_text = {"marked": F.col("low").rlike(columns.ANY_MARKER), "regexy": columns.is_regex_line(F.col("text"))}
+    texts = files.select(*keys, "text", F.lower("text").alias("low")).withColumns(of_path | of_text)
+    part = lambda lines, n: f"slice({lines}, greatest(1, m.line - {n}), m.line + {n + 1} - greatest(1, m.line - {n}))"
+    keyword = " ".join(f"WHEN '{kind}' THEN {columns.keyword_near_sql('near', kind)}" for kind, *_ in wanted)
+    keyword = bound(f"array_join({part('s.lows', rules.LINES_AROUND)}, '\\n')", "near", f"CASE m.kind {keyword} END")
+    mark = f"CASE WHEN marked THEN {_first(part('s.ls', rules.MARKER_LINES), columns.marker_sql('l'))} END"
+    is_regex = f"coalesce(regexy AND get(s.ls, m.line - 1) RLIKE {literal(rules.REGEX_ARTIFACT)}, false)"
+    row = f"named_struct('kind', m.kind, 'seq', m.seq, 'value', m.value, 'line', m.line, 'at', m.at, 'keyword', {keyword}, 'mark', {mark}, 'is_regex', {is_regex})"
+    split = "named_struct('lows', split(low, '\\n', -1), 'ls', CASE WHEN marked OR regexy THEN split(text, '\\n', -1) END)"
+    placed = bound(found, "found", f"CASE WHEN size(found) > 0 THEN {bound(split, 's', f'transform(found, m -> {row})')} END")
+    every = _own(texts.select(*keys, *of_path, F.explode(F.expr(placed)).alias("m")).select(*keys, *of_path, "m.*"))
+    rows = every.where(columns.is_valid(F.col("kind"), F.col("value"))) if in_pieces else every
+    checked, confidence = F.lit(False), F.lit(0.0)
     for kind, _, check, how in wanted:
         is_kind = F.col("kind") == kind
-        keyword = F.when(is_kind, _first("near", columns.keyword_sql("l", kind))).otherwise(keyword)
         checked = F.when(is_kind, F.lit(check)).otherwise(checked)
         confidence = F.when(is_kind, F.lit(how)).otherwise(confidence)
-    rows = rows.withColumns({"keyword": keyword, "test": columns.is_test_path(F.col("path")), "meta": columns.is_meta_path(F.col("path"))})
     keyword = F.col("keyword")
     compromised = F.col("mark").isNotNull() | F.col("test") | F.col("meta") | F.col("is_regex")
     level = columns.tier(keyword.isNotNull(), compromised, checked)
