@@ -11,7 +11,7 @@ CLASSES = ("entrypoint", "operation", "tool", "external_call")
 
 
 def _stable(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint: ranges are drawn by sampling, so they must not be drawn twice."""
+    """``df`` from a checkpoint: ranges are drawn by sampling, so they must not be drawn twice, nor rows made twice."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
@@ -22,8 +22,9 @@ def _stable(df: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     """Adds ``into``: 1, 2, ... in ascending order of the columns. Rows are dealt by ranges of the order and numbered within
-    their range; a range begins where those before it end. Only the ranges' sizes, a row each, are summed in one task and broadcast."""
-    dealt = _stable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    their range; a range begins where those before it end. Only the ranges' sizes, a row each, are summed in one task and broadcast.
+    Drawing the ranges reads all rows before they are dealt, so what makes them is run once and kept."""
+    dealt = _stable(_stable(df).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))

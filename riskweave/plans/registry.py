@@ -227,7 +227,9 @@ def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facts of the derived modules in canonical order."""
-    rows = order.canonical(python_facts(as_files(derived(spark, sf_dir, PY))), facts.js_facts(as_files(derived(spark, sf_dir, JS))))
+    needed = ("path", "fact", "kind", "name", "provider", "at")
+    python, javascript = python_facts(as_files(derived(spark, sf_dir, PY))), facts.js_facts(as_files(derived(spark, sf_dir, JS)))
+    rows = order.canonical(python.select(*needed), javascript.select(*needed))
     return rows.select("place", "lang", "path", "fact", "kind", "at")
 
 
