@@ -120,11 +120,14 @@ def chunk_terms(units: DataFrame, least: int) -> DataFrame:
     sums = each.groupBy("chunk", "lang", "code", "most", "docs").agg(F.sum("n").alias("n"))
     chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "code", "n", "most", "docs")).alias("found"))
     lowered = F.translate("chunk", string.ascii_uppercase, string.ascii_lowercase)
-    terms = F.array_sort(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
-    # Equal terms are neighbours: how often each occurs is told by where the next one begins.
+    terms = F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
+    # Equal terms are neighbours: how often each occurs is told by where the next one begins. Most chunks are one term, and need
+    # no look at neighbours; one without terms gives no row (a filter would cut each chunk a second time).
     begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
-    rows = chunks.select(terms.alias("terms"), "found").where(F.size("terms") > 0).withColumn("begins", begins)
-    pairs = F.transform("begins", lambda b, i: F.struct(F.get("terms", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.size("terms")) - b).alias("k")))
+    rows = chunks.select(terms.alias("terms"), "found").withColumn("begins", F.when(F.size("terms") > 1, begins))
+    several = F.transform("begins", lambda b, i: F.struct(F.get("terms", b).alias("term"), (F.coalesce(F.get("begins", i + 1), F.size("terms")) - b).alias("k")))
+    alone = F.array(F.struct(F.get("terms", F.lit(0)).alias("term"), F.lit(1).alias("k")))
+    pairs = F.when(F.size("terms") == 1, alone).when(F.size("terms") > 1, several)
     return rows.select("found", F.explode(pairs).alias("x")).select("x.term", "x.k", "found")
 
 
