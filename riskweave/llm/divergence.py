@@ -57,14 +57,18 @@ def _lists(sizes: np.ndarray, values: pa.Array, present: np.ndarray | None = Non
 def _unit(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Counts of whitespace chunks of some whole documents (id, lang, code of the source, text)."""
     rows = pa.Table.from_batches(held).combine_chunks()
+    held.clear()  # texts, words and their copies go as soon as they have served
     words = pc.ascii_split_whitespace(pc.fill_null(rows["text"].cast(pa.large_string()), ""))
     words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+    rows = rows.drop_columns(["text"])
     flat, doc = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
+    del words
     filled = pc.not_equal(flat, "")
     flat, doc = flat.filter(filled), doc[filled.to_numpy(zero_copy_only=False)]
     if not len(flat):
         return
     coded = flat.dictionary_encode()
+    del flat, filled
     size = len(coded.dictionary)
     keys, n = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)  # by document and chunk
     doc, chunk = keys // size, keys % size
