@@ -2,17 +2,17 @@
 
 1. Whitespace chunks are counted per document, a unit of about UNIT bytes of texts at a time: a row for each language and
    chunk of a unit has its occurrences by source (a source goes by a 64-bit code until the end), its number of documents and, below ``least`` of them, which ones they are.
-2. Those rows meet by chunk. Each globally distinct chunk is cut into terms once, and its counts go to each of its terms;
-   occurrences of a term are sums over its chunks.
-3. Distinct documents of a term: a chunk in ``least`` documents of the language settles it, and so do rare chunks that come
-   to fewer in all. Only for the terms between does the union of documents matter. All their chunks are rare, so the lists
-   of step 1 are complete for them; distinct documents are counted.
+2. Those rows meet by chunk. Each globally distinct chunk is cut into terms once, and its counts go to each of its terms.
+   Lists of documents are united; from ``least`` documents on they are dropped, as their number no longer matters.
+3. Rows of a term are merged in the same way, where they are and then by language and term: occurrences of a term are sums over
+   its chunks, and it is kept if one chunk or the union of the rare chunks' lists has ``least`` documents. Nothing is written
+   or shuffled any more of terms that aren't kept.
 4. Sources are compared in blocks of BLOCK sources. Each kept term of a language has a row for each block, with the
    probabilities of the block's sources; pairs of blocks meet by term, and a batch's contributions are summed in Python
    as whole matrices before they are shuffled.
 
-A hot language adds a row a unit to a chunk, no more; a chunk's own counts have an entry a source, and joins have unique right
-sides or can be split. Only counts are shuffled, no texts. What is asked for has a row for each pair of sources, so work on
+A hot language adds a row a unit to a chunk, no more, and a term of very many chunks has a row a slab; a chunk's and a term's own counts
+have an entry a source, and joins have unique right sides or can be split. Rows that meet are sorted by Spark and merged SLAB bytes at a time. Only counts are shuffled, no texts. What is asked for has a row for each pair of sources, so work on
 pairs grows with their number.
 
 Nulls: a null language or source is '', a null text has no terms; its group still counts. A document is a row, so
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import bounded_batches, table, written
+from riskweave.llm.words import starts
 
 LEAST = 10  # documents of a kept term
 TOP = 10  # terms of a group that are told
@@ -40,6 +41,7 @@ SCALE = 1_000_000_000
 UNIT = 24 << 20
 BLOCK = 64
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SLAB = 8 << 20  # bytes of rows that are merged at once
 COUNTED = "lang string, chunk string, sources array<long>, ns array<long>, df long, docs array<long>"
 
 
@@ -63,30 +65,30 @@ def _unit(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     rows = rows.drop_columns(["text"])
     flat, doc = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy()
     del words
-    filled = pc.not_equal(flat, "")
-    flat, doc = flat.filter(filled), doc[filled.to_numpy(zero_copy_only=False)]
-    if not len(flat):
-        return
     coded = flat.dictionary_encode()
-    del flat, filled
-    size = len(coded.dictionary)
-    keys, n = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)  # by document and chunk
-    doc, chunk = keys // size, keys % size
-    (lang, langs), (sources, source) = _codes(rows, "lang"), np.unique(rows["code"].to_numpy(), return_inverse=True)
-    keys = (lang[doc] * size + chunk) * len(sources) + source[doc]
-    order = np.argsort(keys, kind="stable")
-    keys, docs, n = keys[order], rows["id"].to_numpy()[doc[order]], n[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    each = np.flatnonzero(new)  # language, chunk and source
-    whole = keys // len(sources)
-    both = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))  # language and chunk
+    del flat
+    # Documents are numbered by language and source, so that one sort puts words by chunk, language, source and document.
+    (lang, langs), source = _codes(rows, "lang"), rows["code"].to_numpy()
+    order = np.lexsort((source, lang))
+    place, bits = np.empty_like(order), len(order).bit_length()
+    place[order] = np.arange(len(order))
+    keys, n = np.unique((coded.indices.to_numpy().astype(np.int64) << bits) | place[doc], return_counts=True)
+    if (empty := pc.index(coded.dictionary, "").as_py()) >= 0:  # before a text's first word and after its last
+        filled = keys >> bits != empty
+        keys, n = keys[filled], n[filled]
+    if not len(keys):
+        return
+    chunk, doc = keys >> bits, order[keys & ((1 << bits) - 1)]
+    lang, source = lang[doc], source[doc]
+    whole = starts([chunk, lang])
+    both, each = np.flatnonzero(whole), np.flatnonzero(whole | starts([source]))
     df = np.diff(np.append(both, len(keys)))
     n, few = np.add.reduceat(n, each).astype(np.int64), df < least
     per = np.diff(np.append(np.searchsorted(each, both), len(each)))
     out = [
-        langs.take(pa.array(whole[both] // size)), coded.dictionary.take(pa.array(whole[both] % size)).cast(pa.string()),
-        _lists(per, pa.array(sources[keys[each] % len(sources)])), _lists(per, pa.array(n)), pa.array(df.astype(np.int64)),
-        _lists(np.where(few, df, 0), pa.array(docs[np.repeat(few, df)]), few),
+        langs.take(pa.array(lang[both])), coded.dictionary.take(pa.array(chunk[both])).cast(pa.string()),
+        _lists(per, pa.array(source[each])), _lists(per, pa.array(n)), pa.array(df.astype(np.int64)),
+        _lists(np.where(few, df, 0), pa.array(rows["id"].to_numpy()[doc[np.repeat(few, df)]]), few),
     ]
     yield from pa.Table.from_arrays(out, names=["lang", "chunk", "sources", "ns", "df", "docs"]).to_batches(max_chunksize=20_000)
 
@@ -109,20 +111,109 @@ def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("id"), "lang", "code", "text").mapInArrow(count, COUNTED)
 
 
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each beginning on, as many as its size says."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _packed(per: np.ndarray, source: np.ndarray, n: np.ndarray, listed: np.ndarray, docs: np.ndarray, many: np.ndarray) -> pa.ListArray:
+    """One list a row, as a column of its own for each would cost Arrow several times over: the number of sources (negative if
+    the documents are too many to be listed), the sources, their counts, and the documents."""
+    sizes = 1 + 2 * per + listed
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(sizes.sum(), dtype=np.int64)
+    out[begins] = np.where(many, -per, per)
+    out[_runs(begins + 1, per)], out[_runs(begins + 1 + per, per)], out[_runs(begins + 1 + 2 * per, listed)] = source, n, docs
+    return _lists(sizes, pa.array(out))
+
+
+def _unpacked(counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    values, sizes = counts.flatten().to_numpy(), pc.list_value_length(counts).to_numpy().astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    per = np.abs(values[begins])
+    listed = sizes - 1 - 2 * per
+    at = (_runs(begins + 1, per), _runs(begins + 1 + per, per), _runs(begins + 1 + 2 * per, listed))
+    return per, values[at[0]], values[at[1]], listed, values[at[2]], values[begins] < 0
+
+
+def _merged(rows: pa.Table, least: int) -> pa.Table:
+    """One row for each key and language of rows (name, lang, key, counts), in this order: counts of a source are added,
+    documents are united, and no longer listed where there are ``least`` of them or more."""
+    rows = rows.combine_chunks()
+    (lang, langs), (key, keys) = _codes(rows, "lang"), _codes(rows, "key")
+    groups, first, at = np.unique(key * len(langs) + lang, return_index=True, return_inverse=True)
+    per, source, n, listed, docs, over = _unpacked(rows["counts"].chunk(0))
+    coded = pa.array(source).dictionary_encode()
+    known, source = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    entry = np.repeat(at, per) * len(known) + source
+    order = np.argsort(entry, kind="stable")
+    entry = entry[order]
+    each = np.flatnonzero(starts([entry]))
+    group, source = np.divmod(entry[each], len(known))
+    counts = [np.bincount(group, minlength=len(groups)), known[source], np.add.reduceat(n[order], each)]
+
+    group = np.repeat(at, listed)
+    order = np.lexsort((docs, group))
+    group, docs = group[order], docs[order]
+    new = starts([group, docs])
+    group, docs = group[new], docs[new]
+    many = np.bincount(group, minlength=len(groups)) >= least
+    many[at[over]] = True
+    docs, group = docs[~many[group]], group[~many[group]]
+    counts = _packed(*counts, np.bincount(group, minlength=len(groups)), docs, many)
+    out = [rows["name"].take(pa.array(first)), langs.take(pa.array(groups % len(langs))), keys.take(pa.array(groups // len(langs))), counts]
+    return pa.Table.from_arrays(out, names=["name", "lang", "key", "counts"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], least: int, slab: int) -> Iterator[pa.Table]:
+    """Merged rows of batches in order of the name, about ``slab`` bytes at a time. All rows of a name come in one table; of a name
+    that goes on, the rows so far are merged, so they take little room."""
+    held, size, most = [], 0, slab
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            rows = _merged(pa.Table.from_batches(held), least)
+            last = pc.equal(rows["name"], batch.column("name")[-1])
+            yield rows.filter(pc.invert(last))
+            held = rows.filter(last).cast(batch.schema).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held)
+            most = max(slab, 2 * size)
+    if held:
+        yield _merged(pa.Table.from_batches(held), least)
+
+
+def _by_name(rows: DataFrame, *of: str) -> DataFrame:
+    """Rows of (lang, key, counts) by a hash of some columns, the name: those of a name are side by side in one partition."""
+    named = rows.repartition(*of).select(F.xxhash64(*of).alias("name"), "lang", "key", "counts")
+    return named.sortWithinPartitions("name")
+
+
 def chunk_terms(units: DataFrame, least: int) -> DataFrame:
-    """A row for each term of each distinct chunk: term, k (how often the chunk has it) and found, the chunk's counts as
-    (lang, code, n, most, docs): most is the chunk's number of documents in the language, docs tells them if they are few.
+    """A row for each term of each distinct chunk: term, k (how often the chunk has it) and found, the chunk's counts in each
+    language (see _packed).
 
-    Rows meet by chunk alone. What is known of a chunk's documents in a language comes first, so that only lists of chunks that
-    are rare in all go on; ``found`` then has an entry for each language and source and these few lists.
+    Rows meet by chunk alone, in order of its hash, a slab at a time.
     """
-    by = Window.partitionBy("chunk", "lang")
-    met = units.repartition("chunk").withColumn("most", F.sum("df").over(by))
-    each = met.select("chunk", "lang", "most", "docs", F.posexplode(F.arrays_zip("sources", "ns")).alias("at", "x"))
-    docs = F.when((F.col("most") < least) & (F.col("at") == 0), F.col("docs")).alias("docs")
-    each = each.select("chunk", "lang", F.col("x.sources").alias("code"), "most", docs, F.col("x.ns").alias("n"))
-    sums = each.groupBy("chunk", "lang", "code", "most", "docs").agg(F.sum("n").alias("n"))
-    chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "code", "n", "most", "docs")).alias("found"))
+    slab = SLAB
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _met(batches, least, slab):
+            rows = rows.combine_chunks()
+            if not rows.num_rows:
+                continue
+            key = rows["key"].chunk(0)
+            begins = np.flatnonzero(starts([key.dictionary_encode().indices.to_numpy()]))
+            found = pa.StructArray.from_arrays([rows[c].chunk(0) for c in ("lang", "counts")], names=["lang", "counts"])
+            out = [key.take(pa.array(begins)), _lists(np.diff(np.append(begins, len(key))), found)]
+            yield from pa.Table.from_arrays(out, names=["chunk", "found"]).to_batches(max_chunksize=20_000)
+
+    per = F.size("sources").cast("long")
+    head = F.array(F.when(F.col("docs").isNull(), -per).otherwise(per))
+    counts = F.concat(head, "sources", "ns", F.coalesce("docs", F.array().cast("array<long>"))).alias("counts")
+    chunks = _by_name(units.select("lang", F.col("chunk").alias("key"), counts), "key").mapInArrow(meet, "chunk string, found array<struct<lang: string, counts: array<long>>>")
     lowered = F.translate("chunk", string.ascii_uppercase, string.ascii_lowercase)
     terms = F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
     # Equal terms are neighbours: how often each occurs is told by where the next one begins. Most chunks are one term, and need
@@ -135,21 +226,58 @@ def chunk_terms(units: DataFrame, least: int) -> DataFrame:
     return rows.select("found", F.explode(pairs).alias("x")).select("x.term", "x.k", "found")
 
 
-def kept_terms(forms: DataFrame, met: DataFrame, least: int) -> DataFrame:
-    """lang and term, for terms in ``least`` documents of the language or more. ``met`` has lang, term, most (the documents
-    of the term's most frequent chunk) and few (the sum over its rare chunks)."""
-    sure = met.where(F.col("most") >= least).select("lang", "term")
-    open_ = met.where((F.col("most") < least) & (F.col("few") >= least)).select(F.col("lang").alias("_lang"), F.col("term").alias("_term"))
-    rare = forms.select("term", F.explode(F.filter("found", lambda x: x["docs"].isNotNull())).alias("x")).select("term", "x.lang", "x.docs")
-    listed = rare.join(open_, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term")))
-    seen = listed.select("lang", "term", F.explode("docs").alias("doc")).distinct()
-    return sure.union(seen.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang", "term"))
+def kept_terms(forms: DataFrame, least: int) -> DataFrame:
+    """lang, term, sources and ns of the terms in ``least`` documents of the language or more; forms as chunk_terms gives them.
+
+    Forms of a term are merged where they are, a slab at a time, before rows meet by language and term: a term of very many
+    chunks has a row a slab. Its documents are those of a chunk in ``least`` of them or the union of its rare chunks' lists.
+    """
+    slab = SLAB
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= slab:
+                yield from _of_terms(held, least)
+                held, size = [], 0
+        if held:
+            yield from _of_terms(held, least)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _met(batches, least, slab):
+            rows = rows.filter(pc.less(pc.list_element(rows["counts"], 0), 0)).combine_chunks()
+            if rows.num_rows:
+                per, source, n, *_ = _unpacked(rows["counts"].chunk(0))
+                out = [rows["lang"], rows["key"], _lists(per, pa.array(source)), _lists(per, pa.array(n))]
+                yield from pa.Table.from_arrays(out, names=["lang", "term", "sources", "ns"]).to_batches(max_chunksize=20_000)
+
+    slabs = forms.select("term", "k", "found").mapInArrow(combine, "lang string, key string, counts array<long>")
+    return _by_name(slabs, "lang", "key").mapInArrow(meet, "lang string, term string, sources array<long>, ns array<long>")
+
+
+def _of_terms(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Merged rows (lang, key, counts) of some forms, the key being the term."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    if not rows.num_rows:
+        return
+    held.clear()
+    found = rows["found"].chunk(0)
+    form = pc.list_parent_indices(found).to_numpy()
+    lang, counts = found.flatten().flatten()
+    per, source, n, *rest = _unpacked(counts)
+    counts = _packed(per, source, n * np.repeat(rows["k"].to_numpy()[form], per), *rest)
+    parts = [pa.array(np.zeros(len(form), dtype=np.int64)), lang, rows["term"].chunk(0).take(pa.array(form)), counts]
+    rows = _merged(pa.Table.from_arrays(parts, names=["name", "lang", "key", "counts"]), least)
+    yield from rows.drop_columns(["name"]).to_batches(max_chunksize=20_000)
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)), in decimals: no rounding, no overflow."""
+    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)): no rounding; in decimals where 64 bits might overflow."""
     top = (count + 2).cast("decimal(27,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return (F.call_function("div", top, (total + 2 * terms).cast("decimal(20,0)")) + 1).cast("long")
+    wide = F.call_function("div", top, (total + 2 * terms).cast("decimal(20,0)")).cast("long")
+    return F.when(count < 2**63 // SCALE - 2, F.call_function("div", (count + 2).cast("long") * SCALE, total + 2 * terms)).otherwise(wide) + 1
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -205,13 +333,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     groups = written(docs.select("lang", "source", "code").distinct(), "groups")
     if not groups.groupBy("lang", "code").count().where("count > 1").isEmpty():
         raise ValueError("two sources have one code")  # 2**-64 a pair
-    forms = written(chunk_terms(chunk_counts(docs, least), least), "chunk-terms", compression="zstd")
-    each = forms.select("term", "k", F.explode("found").alias("x")).select("term", "k", "x.*")
-    counted = each.groupBy("lang", "term", "code").agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.max("most").alias("most"), F.sum(F.coalesce(F.size("docs"), F.lit(0))).alias("few"))
-    counted = written(counted, "term-counts", compression="zstd")
-    met = counted.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("few").alias("few"), F.sum("n").alias("lang_n"))
-    kept = written(kept_terms(forms, met, least).join(met.select("lang", "term", "lang_n"), ["lang", "term"]), "kept-terms")
-    counted = counted.select("lang", "term", "code", "n").join(kept, ["lang", "term"])
+    kept = written(kept_terms(chunk_terms(chunk_counts(docs, least), least), least), "kept-terms")
+    kept = kept.withColumn("lang_n", F.aggregate("ns", F.lit(0).cast("long"), lambda s, n: s + n))
+    counted = kept.select("lang", "term", "lang_n", F.explode(F.arrays_zip("sources", "ns")).alias("x"))
+    counted = counted.select("lang", "term", "lang_n", F.col("x.sources").alias("code"), F.col("x.ns").alias("n"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "code"], "left").join(langs, ["lang"], "left")
@@ -220,10 +345,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("at"),
     )
     groups = written(groups, "groups")
-    counted = written(counted.join(groups, ["lang", "code"]).withColumn("p", probability(F.col("n"), F.col("total"), F.col("terms"))), "probabilities")
+    p, q = (probability(F.col(n), F.col(total), F.col("terms")) for n, total in (("n", "total"), ("lang_n", "lang_total")))
+    counted = written(counted.join(groups, ["lang", "code"]).select("lang", "source", "term", "at", p.alias("p"), q.alias("q")), "probabilities")
 
-    q = probability(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    told = counted.withColumn("q", q).where("n > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+    told = counted.where("p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).cast("int").alias("rank")
     told = told.select("lang", "source", F.lit("term").alias("part"), "item", "value", ranked).where(F.col("rank") <= top)
 
