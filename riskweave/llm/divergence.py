@@ -69,24 +69,34 @@ def _unit(held: list[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     del flat
     # Documents are numbered by language and source, so that one sort puts words by chunk, language, source and document.
     (lang, langs), source = _codes(rows, "lang"), rows["code"].to_numpy()
-    order = np.lexsort((source, lang))
-    place, bits = np.empty_like(order), len(order).bit_length()
+    lang, order = lang.astype(np.int32), np.lexsort((source, lang)).astype(np.int32)
+    place, bits = np.empty(len(order), dtype=np.int32), len(order).bit_length()
     place[order] = np.arange(len(order))
-    keys, n = np.unique((coded.indices.to_numpy().astype(np.int64) << bits) | place[doc], return_counts=True)
-    if (empty := pc.index(coded.dictionary, "").as_py()) >= 0:  # before a text's first word and after its last
+    keys, forms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    del coded
+    keys <<= bits
+    keys |= place[doc]
+    del doc
+    pa.default_memory_pool().release_unused()  # what the words took is not needed any more
+    keys.sort()
+    first = np.flatnonzero(starts([keys]))
+    n, keys = np.diff(np.append(first, len(keys))).astype(np.int32), keys[first]
+    del first
+    if (empty := pc.index(forms, "").as_py()) >= 0:  # before a text's first word and after its last
         filled = keys >> bits != empty
         keys, n = keys[filled], n[filled]
     if not len(keys):
         return
-    chunk, doc = keys >> bits, order[keys & ((1 << bits) - 1)]
+    chunk, doc = (keys >> bits).astype(np.int32), order[keys & ((1 << bits) - 1)]
+    del keys
     lang, source = lang[doc], source[doc]
     whole = starts([chunk, lang])
     both, each = np.flatnonzero(whole), np.flatnonzero(whole | starts([source]))
-    df = np.diff(np.append(both, len(keys)))
-    n, few = np.add.reduceat(n, each).astype(np.int64), df < least
+    df = np.diff(np.append(both, len(doc)))
+    n, few = np.add.reduceat(n, each, dtype=np.int64), df < least
     per = np.diff(np.append(np.searchsorted(each, both), len(each)))
     out = [
-        langs.take(pa.array(lang[both])), coded.dictionary.take(pa.array(chunk[both])).cast(pa.string()),
+        langs.take(pa.array(lang[both])), forms.take(pa.array(chunk[both])).cast(pa.string()),
         _lists(per, pa.array(source[each])), _lists(per, pa.array(n)), pa.array(df.astype(np.int64)),
         _lists(np.where(few, df, 0), pa.array(rows["id"].to_numpy()[doc[np.repeat(few, df)]]), few),
     ]
