@@ -2,8 +2,8 @@
 
 The model is a logistic regression on hashed n-grams: words (1 and 2) and characters (2 and 4). A text's feature in a
 family is the share of its n-grams that fall in a hashed place, so that a score is a sum of mean weights and needs no
-counting table. The steps of the fit end when rows that it doesn't see get no better. Platt's scaling on those rows makes
-the score a probability; a text is kept from KEEP_AT upwards. The fit uses up to SAMPLE labelled documents in hash order (an id
+counting table. The steps of the fit end when rows that it doesn't see get no better. Platt's scaling on those rows (on
+all, where those are of one kind) makes the score a probability; a text is kept from KEEP_AT upwards. The fit uses up to SAMPLE labelled documents in hash order (an id
 counts once, with its row of least hash), of whose texts each is taken that still fits in FIT_BYTES; counts and scores cover
 all rows and whole texts, however long.
 
@@ -125,7 +125,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None:
             val.append((count / all_of[key // PLACES]).astype(np.float32))
     idx, val, of = np.concatenate(idx), np.concatenate(val), np.concatenate(of)
     test = np.arange(len(rows)) % 4 == 3
-    if len(set(wanted[test])) < 2 or len(set(wanted[~test])) < 2:
+    if len(set(wanted[~test])) < 2:
         test[:] = False
     share = np.where(wanted == 1, 0.5 / max(1, wanted[~test].sum()), 0.5 / max(1, (1 - wanted[~test]).sum())) * ~test
     w, bias = np.zeros(4 * PLACES), 0.0
@@ -147,6 +147,8 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None:
                 break
             least, best = loss, (w, score)
     w, score = best
+    if len(set(wanted[held])) < 2:  # one kind alone can't calibrate
+        held = np.ones(len(rows), dtype=bool)
     return w.reshape(4, PLACES).astype(np.float32), *platt(score[held], wanted[held])
 
 
